@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from loreweave.llm import bytebpe, sstable
+from loreweave.llm import bytebpe, licenses, media, packing, simhash, sstable, topk
 
 
 def queries() -> dict:
     return {
         "op1_sorted_string_tables": sstable.op1,
         "op2_byte_bpe_rank_queue": bytebpe.op2,
+        "op3_bounded_best_fit": packing.op3,
+        "op5_covering_simhash": simhash.op5,
+        "op6_columnar_top_k": topk.op6,
+        "op8_license_notices": licenses.op8,
+        "op9_wav_fingerprints": media.op9,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op6_columnar_top_k": topk.ORACLE}
