@@ -9,7 +9,7 @@ whose pair has changed since is stale and skipped. A merge costs the same for
 a pre-token of ten bytes or a hundred thousand.
 
 Pre-tokens repeat, so each worker keeps the ids of short ones in a bounded
-two-generation memory; unknown and long ones go through the queue.
+two-generation memory (``tokens``); unknown and long ones go through the queue.
 
 Defined cases: null text is empty (no ids, hashes of nothing); rows are
 independent, so repeated rows repeat; other columns are ignored.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from loreweave.llm.common import slices, texts_of
-from loreweave.llm.tokens import Memory
+from loreweave.llm.tokens import Chunks, Memory
 
 
 class RankQueue:
@@ -84,19 +84,30 @@ class RankQueue:
         return position
 
 
-class ByteBPE:
+#: Fixed value: a pre-token pattern under which a space before a solid character begins a pre-token.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+class ByteBPE(Chunks):
     """Encodes and decodes by a table of ``bytes -> rank``; ids are ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
+        super().__init__()
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.memory = Memory(self._packed)
+        self.memory = Memory(lambda pre_token: self.letters(pre_token, ""))
+        self.packed = self.spaces_kept if pattern == SPACED else self.whole
+
+    def letters(self, word: str, space: str) -> bytes:
+        """One pre-token, by the queue."""
+        return np.asarray(self.merge((space + word).encode()), "<u4").tobytes()
 
-    def _packed(self, pre_token: str) -> bytes:
-        return np.asarray(self.merge(pre_token.encode()), "<u4").tobytes()
+    def whole(self, text: str) -> bytes:
+        """Any text by the pattern's matches, as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.memory.__getitem__, self.split(text)))
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -105,7 +116,7 @@ class ByteBPE:
         if whole is not None:
             return [whole]
         n = len(data)
-        start, after, before = list(range(n)), list(range(1, n + 1)), list(range(-1, n - 1))
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         end = list(range(1, n + 1))  # of the symbol at a position; 0 once it is merged away
         pair = [-1] * n  # rank of the pair whose left symbol is at a position
         queue = self.queue
@@ -140,14 +151,10 @@ class ByteBPE:
                     push(r, h)
         out, i = [], 0
         while i < n:
-            out.append(ranks[data[start[i] : end[i]]])
+            out.append(ranks[data[i : end[i]]])
             i = after[i]
         return out
 
-    def packed(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.memory.__getitem__, self.split(text)))
-
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
 

@@ -1,11 +1,10 @@
-"""Token ids by the tokenizers library, with a bounded memory of the chunks met before.
+"""Token ids by chunks of text, with a bounded memory of the chunks met before.
 
 A pre-token is encoded without regard to its neighbours, so a text can be cut
 at any border between pre-tokens and each chunk encoded alone. Chunks repeat
 far more than texts do: each worker keeps their packed ids in two generations
 (the older one goes when the younger is full), and only a chunk that is in
-neither is given to the library. Texts whose cuts could be doubtful go to the
-library whole.
+neither is encoded. Texts whose cuts could be doubtful are encoded whole.
 """
 
 from __future__ import annotations
@@ -16,13 +15,19 @@ import json
 import numpy as np
 
 #: Chunks in one generation of the memory.
-GENERATION = 200_000
+GENERATION = 500_000
 #: Longer chunks are encoded each time and not kept.
 LONGEST_KEPT = 64
 #: Characters that str.split() takes for white space and the tokenizer files do not.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Marks that end many words and never join a pre-token of letters.
-CLOSING = frozenset(".,;:!?")
+#: ASCII marks that never join a pre-token of letters (the apostrophe may); a run of them is one pre-token.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+
+
+#: Byte-level BPE writes bytes as characters: printable ones as themselves, the rest from U+0100 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_REST = [b for b in range(256) if b not in _PLAIN]
+BYTE_CHARS = str.maketrans({b: chr(256 + i) for i, b in enumerate(_REST)})
 
 
 class Whole(Exception):
@@ -30,12 +35,12 @@ class Whole(Exception):
 
 
 class Memory(dict):
-    """chunk -> packed ids. A subclass says how an unknown chunk is encoded."""
+    """chunk -> packed ids; ``encode`` makes those of an unknown chunk."""
 
     def __init__(self, encode):
         self.encode, self.old = encode, {}
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: str):
         found = self.old.get(chunk)
         if found is None:
             found = self.encode(chunk)
@@ -47,51 +52,43 @@ class Memory(dict):
         return found
 
 
-class Encoder:
-    """``packed(text)``: the ids of a whole text as little-endian ``dtype`` integers."""
+class Chunks:
+    """Cuts texts for pre-token patterns of letters, digits and marks with, at most, one space before.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    A subclass gives ``letters(word, space)``, the packed ids of one such
+    pre-token, and ``whole(text)``, those of any text.
+    """
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 65536 else "<u4")
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer"):
-            self.packed = self._spaces_kept
-        elif pre.get("type") == "Sequence" and any(p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert") for p in pre["pretokenizers"]):
-            self.packed = self._spaces_dropped
-        else:
-            self.packed = self.whole
+    def __init__(self):
         self.bare, self.spaced = Memory(self._bare), Memory(self._spaced)
 
-    def whole(self, text: str) -> bytes:
-        """The library's ids of a text in one go."""
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
     def _bare(self, chunk: str) -> bytes:
-        if len(chunk) > 1 and chunk[-1] in CLOSING and chunk[:-1].isalpha():
-            return self.bare[chunk[:-1]] + self.bare[chunk[-1]]
+        if chunk.isalpha():
+            return self.letters(chunk, "")
+        word = chunk.rstrip(MARKS)
+        if word.isalpha():
+            return self.bare[word] + self.bare[chunk[len(word) :]]
         return self.whole(chunk)
 
     def _spaced(self, chunk: str) -> bytes:
         """A chunk that follows one space and so begins a pre-token with it."""
+        if chunk.isalpha():
+            return self.letters(chunk, " ")
         if not chunk or chunk[0].isspace() or chunk[0] == "᠎":
             raise Whole
-        if len(chunk) > 1 and chunk[-1] in CLOSING and chunk[:-1].isalpha():
-            return self.spaced[chunk[:-1]] + self.bare[chunk[-1]]
+        word = chunk.rstrip(MARKS)
+        if word.isalpha():
+            return self.spaced[word] + self.bare[chunk[len(word) :]]
         return self.whole(" " + chunk)
 
-    def _spaces_dropped(self, text: str) -> bytes:
-        """White space separates pre-tokens and yields no ids."""
+    def spaces_dropped(self, text: str) -> bytes:
+        """Packed ids where white space separates pre-tokens and yields no ids."""
         if any(c in text for c in SEPARATORS):
             return self.whole(text)
         return b"".join(map(self.bare.__getitem__, text.split()))
 
-    def _spaces_kept(self, text: str) -> bytes:
-        """A space before a character that is not white space begins a pre-token."""
+    def spaces_kept(self, text: str) -> bytes:
+        """Packed ids where a space before a character that is not white space begins a pre-token."""
         first, *rest = text.split(" ")
         try:
             return (self.bare[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
@@ -99,6 +96,47 @@ class Encoder:
             return self.whole(text)
 
 
+class Encoder(Chunks):
+    """``packed(text)``: ids by the tokenizers library as little-endian ``dtype`` integers.
+
+    An unknown run of letters, which is one pre-token, goes to the library's BPE
+    model alone, any other unknown chunk to its full encoding.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 65536 else "<u4")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        self.model = self.library.model
+        self.normalize = self.library.normalizer.normalize_str if spec.get("normalizer") else None
+        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not self.normalize:
+            self.packed = self.spaces_kept
+        elif pre.get("type") == "Sequence" and any(p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert") for p in pre["pretokenizers"]):
+            self.packed = self.spaces_dropped
+        else:
+            self.packed = self.whole
+
+    def whole(self, text: str) -> bytes:
+        """The library's ids of a text in one go."""
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def letters(self, word: str, space: str) -> bytes:
+        if self.normalize:
+            lower = word.lower() if word.isascii() else self.normalize(word)
+            if not lower.isalpha():
+                return self.whole(word)
+            if lower != word:
+                return self.bare[lower]
+        chunk = space + word if word.isascii() else (space + word).encode().decode("latin-1")
+        return np.asarray([t.id for t in self.model.tokenize(chunk.translate(BYTE_CHARS))], self.dtype).tobytes()
+
+
 @functools.cache
 def encoder(path: str) -> Encoder:
     """One encoder for each file and worker process."""
