@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import slices, staged, texts_of
+from loreweave.llm.common import fresh_name, slices, staged, texts_of
 from loreweave.llm.graph import components
 
 BITS = 64
@@ -172,14 +172,49 @@ def links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.repartition(n, "t", "key").sortWithinPartitions("t", "key").mapInArrow(run, "u long, v long")
 
 
-def near_components(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, hot: int = HOT) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row."""
+def _linked(docs: DataFrame, radius: int, width: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, fp`` of every row, and ``fp, root, component_id`` of every fingerprint."""
     docs_fp = staged(fingerprints(docs, width), "fingerprints")
     reps = staged(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
     rooted = components(links(buckets(reps.select("fp"), radius, hot), radius))
     roots = staged(reps.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "roots")
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return docs_fp.join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return docs_fp, roots.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_components(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, hot: int = HOT) -> DataFrame:
+    """``doc_id, fp, component_id`` for every row."""
+    docs_fp, of_fp = _linked(docs, radius, width, hot)
+    return docs_fp.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, hot: int = HOT) -> DataFrame:
+    """One row of each component, all columns kept: the one with the smallest identifier.
+
+    Rows without an identifier stay only where their component has none; where
+    identifiers repeat, one row of the smallest stays.
+    """
+    docs_fp, of_fp = _linked(docs, radius, width, hot)
+    found = staged(docs_fp.join(of_fp, "fp").select("doc_id", "component_id"), "near-copies")
+    odd = staged(found.groupBy("doc_id").count().filter("doc_id is null or count > 1").select("doc_id"), "odd-identifiers")
+    key, fp, root, least = (fresh_name(docs, c) for c in ("key_id", "fp", "root_fp", "least_id"))
+    keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
+    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias(key))
+    if odd.isEmpty():
+        return keyed.join(gone.hint("shuffle_hash"), key, "left_anti").drop(key).select(docs.columns)
+    odd = odd.select(F.col("doc_id").alias(key))
+    plain = keyed.filter(F.col(key).isNotNull()).join(gone.unionByName(odd).distinct().hint("shuffle_hash"), key, "left_anti")
+
+    @F.pandas_udf("long")
+    def fp_of(texts):
+        import pandas as pd
+
+        return pd.Series([signed(fingerprint(t or "", width)) for t in texts], dtype="int64")
+
+    rest = keyed.join(odd.withColumnRenamed(key, key + "_odd"), F.col(key).eqNullSafe(F.col(key + "_odd")), "left_semi").withColumn(fp, fp_of(F.col("text").cast("string")))
+    rest = rest.join(of_fp.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(least)), fp)
+    rest = rest.filter(F.col(key).eqNullSafe(F.col(least))).dropDuplicates([root])
+    return plain.select(docs.columns).unionByName(rest.select(docs.columns))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

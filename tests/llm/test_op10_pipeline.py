@@ -1,0 +1,143 @@
+import collections
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from loreweave.llm import pii
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 3000), st.binary(min_size=1, max_size=8))
+def test_permutation(n, key):
+    p = pii.Permutation(n, key, b"t")
+    sample = range(n) if n < 300 else random.Random(n).sample(range(n), 100)
+    moved = [p.moved(x) for x in sample]
+    assert len(set(moved)) == len(moved)
+    assert all(0 <= y < n and y != x and p.backward(p.forward(x)) == x for x, y in zip(sample, moved, strict=True))
+
+
+TEXT = 'write john.doe12@mail3.example.com, JOHN.DOE12@MAIL3.EXAMPLE.COM; call +1 (017) 555-7713 from 97.51.17.173, card 9807915762804490 or 4111 1111 1111 1111, token = "04dbebab91ab85687d33eeaaf9ac699e1188f962". SSN 123-45-6789. IBAN DE89 3704 0044 0532 0130 00. Mr. Smith met Alice Smith; Мария Петрова too.'
+
+
+def test_formats():
+    new, found = pii.replace(TEXT)
+    kinds = collections.Counter(k for *_, k in found)
+    assert kinds == {"email": 2, "phone": 1, "ip": 1, "card": 2, "secret": 1, "ssn": 1, "iban": 1, "surname": 3, "given": 2}
+    for a, b, kind in found:
+        if kind != "given":
+            assert TEXT[a:b] not in new
+    emails = re.findall(r"[\w.]+@[\w.]+\w", new)
+    assert emails[0].upper() == emails[1]
+    assert emails[0].endswith(".example.com")
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", new)
+    cards = re.findall(r"\d{16}|\d{4} \d{4} \d{4} \d{4} ?", new)
+    assert pii.luhn(re.sub(r"\D", "", cards[1])[:-1]) == int(re.sub(r"\D", "", cards[1])[-1])
+    assert re.search(r'token = "[0-9a-f]{40}"', new)
+    iban = re.search(r"IBAN ([A-Z]{2}\d\d(?: \w{2,4})+)", new)[1].replace(" ", "")
+    assert pii.iban_check(iban[:2], iban[4:]) == iban[2:4]
+    m = re.search(r"Mr\. (\w+) met (\w+) (\w+); (\w+) (\w+) too", new)
+    assert m[1] == m[3] != "Smith"
+    assert m[2] in pii.FEMALE
+    assert m[4] in pii.FEMALE_CYRILLIC
+    assert all("Ѐ" <= c <= "ӿ" for c in m[5])
+    assert pii.replace(new)[0] != new
+    assert pii.replace(TEXT, b"other key")[0] != new
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.from_regex(r"[a-z]{1,3}[0-9]{0,2}@[a-c]{1,2}\.(com|org)", fullmatch=True), unique=True, max_size=40))
+def test_distinct_stay_distinct(emails):
+    new = [pii.surrogates().of("email", e) for e in emails]
+    assert len(set(new)) == len(emails)
+    assert all(a != b for a, b in zip(emails, new, strict=True))
+
+
+@pytest.mark.parametrize("text", ["Version 4.0.1 and 300.1.2.3 of 2024", "Licensed under CC BY-NC 4.0.", "a 12-34 b 1234567 c", "plain words only", "@home or a@b", "Mister smith"])
+def test_clean_texts_stay(text):
+    assert pii.replace(text) == (text, [])
+
+
+def test_noise_around_entities():
+    new, found = pii.replace('+1%%% (017)*** 555-7713### token%%% =*** "1eb9c654e721b4f812088970e66a6345cee33dd6"### that.92@mail2.example.com*** x')
+    assert [k for *_, k in found] == ["phone", "secret", "email"]
+    assert new.endswith(".example.com*** x")
+
+
+def test_rows(make_docs, odd_rows):
+    rows = [*odd_rows, (50, TEXT), (51, TEXT)]
+    got = pii.surrogate_texts(make_docs(rows, ["kinds", "n_entities"])).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(rows)
+    assert by[50].text == by[51].text != TEXT
+    assert by[3].text is None
+    assert all(by[i].text == t and by[i].n_entities == 0 for i, t in odd_rows)
+    docs = make_docs(rows, ["KINDS"])
+    out = pii.with_surrogates(docs)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    for r in out.collect():
+        assert r.text == by[r.doc_id].text or r.doc_id is None
+        assert r.n_chars == (None if r.text is None else len(r.text))
+    assert pii.surrogate_texts(make_docs([])).count() == 0
+
+
+def test_op10_query(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in pii.op10(spark, sf_dir).collect()}
+    assert set(got) == set(texts)
+    seen = {}
+    for i, t in texts.items():
+        for email in re.findall(r"[\w.]+@[\w.]+\w", t):
+            assert email not in got[i].text
+        assert (got[i].text == t) == (got[i].n_entities == 0)
+        old, new = ([m.lower() for m in re.findall(r"[\w.]+@[\w.]+\w", x)] for x in (t, got[i].text))
+        for a, b in zip(old, new, strict=True):
+            assert seen.setdefault(a, b) == b
+    assert len(set(seen.values())) == len(seen)
+
+
+class TestPipeline:
+    def test_stages(self, spark, sf_dir):
+        import corpus_pipeline as c
+
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        assert len(c.STAGES) == 5
+        labels = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+        now = docs
+        seen = []
+        for _, stage in c.STAGES[:-1]:
+            now = stage(spark, now, sf_dir)
+            assert now.columns == docs.columns
+            now = spark.createDataFrame(now.collect(), now.schema)
+            seen.append({r.doc_id: r for r in now.collect()})
+        assert set(seen[1]) <= set(seen[0])
+        assert set(seen[2]) < set(seen[1])
+        assert set(seen[3]) == set(seen[2])
+        assert len(now.collect()) == len(seen[3])
+        clean = [i for i, r in labels.items() if r.quality == 1 and r.toxic == 0]
+        assert sum(i in seen[1] for i in clean) > 0.9 * len(clean)
+        packed = c.run(spark, sf_dir).collect()
+        assert {r.doc_id for r in packed} == set(seen[3])
+
+    def test_odd_rows(self, spark, make_docs, odd_rows, sf_dir):
+        import corpus_pipeline as c
+
+        long = " ".join(f"w{i}" for i in range(300))
+        rows = [*odd_rows, (20, long), (21, long), (21, long), (22, long.replace("w7 ", "w8 ")), (None, long), (None, "only nulls here now"), (None, "only nulls here now"), (30, "first text of thirty"), (30, "another text altogether of thirty")]
+        docs = make_docs(rows, ["key_id", "FP", "root_fp", "toxic_score"])
+        kept = c.remove_near_copies(spark, docs, sf_dir)
+        assert kept.columns == docs.columns
+        got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+        assert got[(20, long)] == 1
+        assert not any(i in (21, 22) for i, _ in got)
+        assert got[(None, "only nulls here now")] == 1
+        assert (None, long) not in got
+        assert got[(30, "first text of thirty")] == got[(30, "another text altogether of thirty")] == 1
+        assert got[(-2, odd_rows[0][1])] == 1
+        assert (5, odd_rows[0][1]) not in got
+        assert max(got.values()) == 1
+        for _, stage in c.STAGES:
+            assert stage(spark, docs, sf_dir).count() >= 0
+            assert stage(spark, docs.limit(0), sf_dir).count() == 0
