@@ -84,6 +84,8 @@ class RankQueue:
         return position
 
 
+#: Chunks in one generation of the memory: a merge costs more than the library's, so more are kept.
+GENERATION = 500_000
 #: Fixed value: a pre-token pattern under which a space before a solid character begins a pre-token.
 SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -94,7 +96,7 @@ class ByteBPE(Chunks):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        super().__init__()
+        super().__init__(GENERATION)
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.queue = RankQueue(max(ranks.values()) + 1)
@@ -162,9 +164,15 @@ class ByteBPE(Chunks):
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@functools.cache
 def codec(path: str, pattern: str) -> ByteBPE:
     """One codec for each rank file and worker process."""
+    found = _codec(path, pattern)
+    Memory.only(found.bare, found.spaced, found.memory)
+    return found
+
+
+@functools.cache
+def _codec(path: str, pattern: str) -> ByteBPE:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, f))}
     return ByteBPE(ranks, pattern)

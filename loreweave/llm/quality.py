@@ -35,6 +35,8 @@ BAD, GOOD, UNSURE, ABSTAIN = range(4)
 ROWS_PER_CLASS = 3000
 SPACE = 1 << 14
 ROUNDS = 100
+#: Words in one generation of a worker's memory.
+WORDS = 100_000
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -178,7 +180,7 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(raw, -60, 60)))
 
     def memory(self) -> Memory:
-        found = Memory(shape)
+        found = Memory(shape, WORDS)
         if self.linear:
             found.weights = np.zeros(SPACE + 2)
             found.weights[self.places] = self.values
@@ -211,7 +213,8 @@ def learn(docs: DataFrame, per_class: int = ROWS_PER_CLASS) -> Scorer:
     texts = texts_of(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("doc_id", "text")  # bounded: two times per_class
 
     def run(batches):
-        memory = Memory(shape)
+        memory = Memory(shape, WORDS)
+        Memory.only(memory)
         for part in slices(batches):
             rows = []
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
@@ -235,6 +238,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     def run(batches):
         memory = scorer.memory()
+        Memory.only(memory)
         for part in slices(batches):
             texts = part.column(1).to_pylist()
             p = scorer(texts, memory)
@@ -266,6 +270,7 @@ def _memory(scorer: Scorer) -> Memory:
     if key not in _MEMORIES:
         _MEMORIES.clear()
         _MEMORIES[key] = scorer.memory()
+    Memory.only(_MEMORIES[key])
     return _MEMORIES[key]
 
 

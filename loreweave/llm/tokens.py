@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import functools
 import json
+import weakref
 
 import numpy as np
 
-#: Chunks in one generation of the memory.
-GENERATION = 500_000
+#: Chunks in one generation of an encoder's memory; an entry takes about 200 bytes.
+GENERATION = 300_000
 #: Longer chunks are encoded each time and not kept.
 LONGEST_KEPT = 64
 #: Characters that str.split() takes for white space and the tokenizer files do not.
@@ -35,17 +36,33 @@ class Whole(Exception):
 
 
 class Memory(dict):
-    """chunk -> packed ids; ``encode`` makes those of an unknown chunk."""
+    """chunk -> what ``encode`` makes of it; two generations of at most ``size`` chunks each."""
 
-    def __init__(self, encode):
-        self.encode, self.old = encode, {}
+    live: list[weakref.ref] = []
+
+    def __init__(self, encode, size: int = GENERATION):
+        self.encode, self.size, self.old = encode, size, {}
+        Memory.live.append(weakref.ref(self))
+
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
+    @classmethod
+    def only(cls, *used: Memory) -> None:
+        """Empty all memories of this process but those in use: stages that share workers do not add up."""
+        alive = [m for r in cls.live if (m := r()) is not None]
+        for m in alive:
+            if not any(m is u for u in used):
+                m.forget()
+        cls.live = [weakref.ref(m) for m in alive]
 
     def __missing__(self, chunk: str):
         found = self.old.get(chunk)
         if found is None:
             found = self.encode(chunk)
         if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= GENERATION:
+            if len(self) >= self.size:
                 self.old = dict(self)
                 self.clear()
             self[chunk] = found
@@ -59,8 +76,8 @@ class Chunks:
     pre-token, and ``whole(text)``, those of any text.
     """
 
-    def __init__(self):
-        self.bare, self.spaced = Memory(self._bare), Memory(self._spaced)
+    def __init__(self, size: int = GENERATION):
+        self.bare, self.spaced = Memory(self._bare, size), Memory(self._spaced, size)
 
     def _bare(self, chunk: str) -> bytes:
         if chunk.isalpha():
@@ -138,6 +155,12 @@ class Encoder(Chunks):
 
 
 @functools.cache
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each file and worker process."""
-    return Encoder(path)
+    found = _encoder(path)
+    Memory.only(found.bare, found.spaced)
+    return found

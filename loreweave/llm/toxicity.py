@@ -36,6 +36,8 @@ ROWS_PER_CLASS = 3000
 KEPT = 2048
 LATENT = 8
 STEPS = 200
+#: Words in one generation of a worker's memory.
+WORDS = 150_000
 EDGES = MARKS + "'«»“”„¡¿…"
 
 
@@ -67,7 +69,7 @@ class Machine:
     def places(self) -> Memory:
         """A memory of chunk -> places in ``kept``; most words have none."""
         index = {int(t): i for i, t in enumerate(self.kept)}
-        return Memory(lambda chunk: tuple(index[t] for t in terms_of(chunk) if t in index))
+        return Memory(lambda chunk: tuple(index[t] for t in terms_of(chunk) if t in index), WORDS)
 
 
 def constant(share: float) -> Machine:
@@ -143,7 +145,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -
     texts = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("toxic", "text", "doc_id")  # at most two times per_class rows are broadcast
 
     def run(batches):
-        memory = Memory(terms_of)
+        memory = Memory(terms_of, WORDS)
+        Memory.only(memory)
         for part in slices(batches):
             packed = [np.sort(np.fromiter(terms(t, memory), np.int32)).tobytes() for t in part.column(1).to_pylist()]
             yield pa.record_batch([part.column(0), part.column(2), pa.array(packed, pa.binary())], names=["toxic", "doc_id", "terms"])
@@ -163,6 +166,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def run(batches):
         memory = machine.places()
+        Memory.only(memory)
         for part in slices(batches):
             yield pa.record_batch([part.column(0), pa.array(_scores(part.column(1).to_pylist(), machine, memory))], names=["doc_id", "score"])
 
@@ -193,6 +197,7 @@ def _memory(machine: Machine) -> Memory:
     if key not in _MEMORIES:
         _MEMORIES.clear()
         _MEMORIES[key] = machine.places()
+    Memory.only(_MEMORIES[key])
     return _MEMORIES[key]
 
 
