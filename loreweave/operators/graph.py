@@ -123,7 +123,7 @@ def transitive_closure(rel: DataFrame, rounds: int = 2) -> DataFrame:
     does not hang on row order. Relations of small diameter end early.
     """
     key = ["head", "relation", "tail"]
-    edges = rel.filter(F.col("relation").isin(TRANSITIVE)).groupBy(*key).agg(F.max("weight").alias("weight"))
+    edges = rel.filter(F.col("relation").isin(TRANSITIVE)).groupBy(*key).agg(F.max("weight").alias("weight")).persist()
     known, front, derived = edges, edges, None
     for _ in range(rounds):
         step = front.select(F.col("head"), "relation", F.col("tail").alias("mid"), F.col("weight").alias("wa")).join(known.select(F.col("head").alias("mid"), "relation", "tail", F.col("weight").alias("wb")), ["relation", "mid"])
@@ -141,7 +141,7 @@ def k_hop(rel: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """
     out = rel.select("head", "relation", "tail", F.col("head").alias("at"), F.col("tail").alias("next"))
     back = rel.filter(F.col("relation").isin(SYMMETRIC)).select("head", "relation", "tail", F.col("tail").alias("at"), F.col("head").alias("next"))
-    walk = out.unionByName(back)
+    walk = out.unionByName(back).persist()
     front = seeds.select(F.col("id").alias("seed"), F.col("id").alias("at")).distinct()
     visited, rows = front, None
     for hop in range(1, hops + 1):
@@ -154,7 +154,7 @@ def k_hop(rel: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
 
 def shortest_paths(rel: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
     """``source, target, length``: unweighted undirected distance of stated pairs, up to ``most`` steps."""
-    walk = rel.select(F.col("head").alias("at"), F.col("tail").alias("next")).unionByName(rel.select(F.col("tail").alias("at"), F.col("head").alias("next"))).distinct()
+    walk = rel.select(F.col("head").alias("at"), F.col("tail").alias("next")).unionByName(rel.select(F.col("tail").alias("at"), F.col("head").alias("next"))).distinct().persist()
     front = pairs.select("source", F.col("source").alias("at")).distinct()
     visited = front.withColumn("length", F.lit(0))
     for step in range(1, most + 1):

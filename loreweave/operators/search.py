@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +16,12 @@ from loreweave.operators import rank
 
 #: Distinct terms that one automaton holds and one broadcast carries.
 TERMS_PER_PASS = 200_000
+#: Characters of terms: what a term can lie in is a run of one of these kinds.
+RUN = re.compile("[a-z0-9_.+#-]+|[\u4e00-\u9fa5]+")
+#: Runs that a task remembers with the terms in them.
+RUNS_KEPT = 200_000
+#: Questions scored in one pass over the passages.
+QUESTIONS_PER_ROUND = 5_000
 SOURCE = ["source_type", "source_id"]
 PASSAGE = ["source_type", "source_id", "seq"]
 
@@ -73,21 +83,122 @@ def _scan(passages: DataFrame, words: list[str], schema: str) -> DataFrame:
     return passages.select("source_type", F.col("source_id").cast("long"), F.col("seq").cast("int"), low("title"), low("body")).mapInArrow(run, schema)
 
 
-def keyword_scores(passages: DataFrame, questions: DataFrame) -> DataFrame:
-    """``question_id, source_type, source_id, seq, score`` of every passage that holds a term.
+def keyword_scores(passages: DataFrame, questions: DataFrame, cfg: Config | None = None) -> DataFrame:
+    """``question_id, source_type, source_id, seq, score`` of the passages that hold a term.
 
     ``passages``: source_type, source_id, seq, title, body. Per term 5 for title
-    and body, 3 for the title only, 3 for the body only.
+    and body, 3 for the title only, 3 for the body only. The terms of all
+    questions go into one automaton, so a passage is read once and scored for
+    every question where it is read. With ``cfg`` a task only keeps hits that
+    can still be among the diversified candidates of a question: its best
+    ``source_priority * candidates`` first hits of a source, and its best
+    ``candidates`` of all. Questions are a stated set, in rounds of
+    ``QUESTIONS_PER_ROUND``.
     """
-    asked = question_terms(questions)
-    hits = term_hits(passages, asked.select("term").distinct())
-    return hits.join(asked, "term").groupBy("question_id", *PASSAGE).agg(F.sum("weight").alias("score"))
+    n = questions.count()
+    rounds = max(1, -(-n // QUESTIONS_PER_ROUND))
+    found = None
+    for turn in range(rounds):
+        part = questions if rounds == 1 else questions.filter(F.pmod(F.xxhash64("question_id"), F.lit(rounds)) == turn)
+        asked = part.select("question_id", F.array_distinct(F.transform(text.retrieval_terms(F.col("question")), lambda x: F.lower(x))).alias("terms")).collect()  # bounded by the round
+        scored = _scored(passages, [(r.question_id, r.terms) for r in asked], cfg)
+        found = scored if found is None else found.unionByName(scored)
+    return found
+
+
+def _scored(passages: DataFrame, asked: list, cfg: Config | None) -> DataFrame:
+    ids = np.asarray([q for q, _ in asked], np.int64)
+    of_term: dict[str, list[int]] = {}
+    for i, (_, terms) in enumerate(asked):
+        for t in terms:
+            of_term.setdefault(t, []).append(i)
+    words = list(of_term)
+    members = [np.asarray(of_term[w], np.int32) for w in words]
+    schema = pa.schema([("question_id", pa.int64()), ("source_type", pa.string()), ("source_id", pa.int64()), ("seq", pa.int32()), ("score", pa.int64())])
+
+    def kept(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.Series]:
+        """Rows that can still count, by the order of the channel, and the least score that can join them, where it is known."""
+        key = rows.source_type + ":" + rows.source_id.astype(str) + ":" + rows.seq.astype(str)
+        rows = rows.assign(_key=key).sort_values(["question_id", "score", "_key"], ascending=[True, False, True], kind="stable").drop(columns="_key").reset_index(drop=True)
+        first = rows.groupby(["question_id", "source_type", "source_id"]).cumcount() < cfg.source_priority
+        among, most = first.groupby(rows.question_id).cumsum(), cfg.source_priority * cfg.candidates
+        rows = rows[(first & (among <= most)) | (rows.groupby("question_id").cumcount() < cfg.candidates)]
+        enough = rows.score[first.loc[rows.index] & (among.loc[rows.index] == most)]
+        return rows.reset_index(drop=True), enough.groupby(rows.question_id.loc[enough.index]).min()
+
+    def run(batches):
+        if not words:
+            return
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, w in enumerate(words):
+            automaton.add_word(w, i)
+        automaton.make_automaton()
+        known: dict[str, frozenset] = {}
+
+        def terms_in(body: str) -> set:
+            """Places of the terms in a text; no term spans two runs, and runs repeat."""
+            found = set()
+            for r in set(RUN.findall(body)):
+                hit = known.get(r)
+                if hit is None:
+                    if len(known) >= RUNS_KEPT:
+                        known.clear()
+                    hit = known[r] = frozenset(i for _, i in automaton.iter(r))
+                found |= hit
+            return found
+
+        least = np.ones(len(ids), np.int64)  # a lower score can no longer count for a question
+        held, sizes = None, len(ids)
+        rows: list[tuple] = []
+
+        def frame() -> pd.DataFrame:
+            some, scores, keys = (list(x) for x in zip(*rows, strict=True))
+            n = [len(x) for x in some]
+            kinds, sources, seqs = (np.repeat(np.asarray(x, dtype=object if i == 0 else None), n) for i, x in enumerate(zip(*keys, strict=True)))
+            rows.clear()
+            return pd.DataFrame({"question_id": ids[np.concatenate(some)], "source_type": kinds, "source_id": sources, "seq": seqs, "score": np.concatenate(scores)})
+
+        def prune() -> None:
+            nonlocal held
+            held, best = kept(frame() if held is None else pd.concat([held, frame()]))
+            least[order[np.searchsorted(ids[order], best.index.to_numpy())]] = np.maximum(best.to_numpy(), 1)
+
+        order = np.argsort(ids)
+        waiting = 0
+        for batch in batches:
+            for kind, source, seq, title, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                in_title, in_body = terms_in(title), terms_in(body)
+                hit = in_title | in_body
+                if not hit:
+                    continue
+                score = np.bincount(np.concatenate([members[i] for i in hit]), minlength=sizes) * 3
+                if both := in_title & in_body:
+                    score = score + 2 * np.bincount(np.concatenate([members[i] for i in both]), minlength=sizes)
+                some = np.nonzero(score >= least)[0]
+                if len(some):
+                    rows.append((some, score[some], (kind, source, seq)))
+                    waiting += len(some)
+                if cfg and waiting >= 50_000:
+                    prune()
+                    waiting = 0
+            if rows and not cfg:
+                yield pa.RecordBatch.from_pandas(frame(), schema, preserve_index=False)
+        if rows and cfg:
+            prune()
+        if held is not None:
+            yield pa.RecordBatch.from_pandas(held, schema, preserve_index=False)
+
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    source = passages.select("source_type", F.col("source_id").cast("long"), F.col("seq").cast("int"), low("title"), low("body"))
+    return source.mapInArrow(run, "question_id long, source_type string, source_id long, seq int, score long")
 
 
 def keyword_channel(passages: DataFrame, questions: DataFrame, cfg: Config | None = None) -> DataFrame:
     """The ranked keyword hits of every question: score, then key; diversified by source."""
     cfg = cfg or Config()
-    scored = keyword_scores(passages, questions)
+    scored = keyword_scores(passages, questions, cfg)
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), passage_key())))
     return rank.diversify(ranked, ["question_id"], SOURCE, cfg.source_priority, cfg.candidates)
 

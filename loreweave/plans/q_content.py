@@ -8,17 +8,17 @@ from loreweave.config import Config
 from loreweave.operators import chunk, code, context, evaluate, html, lineage, search, workflow
 from loreweave.plans.q_retrieval import KEYWORD, passages
 from loreweave.plans.registry import query
-from loreweave.sources import table, views
+from loreweave.sources import spread, table, views
 
 
 @query("html_markdown")
 def html_markdown(spark, sf_dir):
-    return html.markdown(table(spark, sf_dir, "pages"))
+    return html.markdown(spread(table(spark, sf_dir, "pages")))
 
 
 @query("html_dom_markdown")
 def html_dom_markdown(spark, sf_dir):
-    return html.markdown(table(spark, sf_dir, "pages"), html.dom_markdown)
+    return html.markdown(spread(table(spark, sf_dir, "pages")), html.dom_markdown)
 
 
 @query("html_title_links", r"select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, cast(len(regexp_extract_all(html, '<a href=')) as integer) as links, contains(html, '<pre') as has_code from pages")
@@ -43,7 +43,7 @@ def page_furniture(spark, sf_dir):
 
 @query("chunk_structural")
 def chunk_structural(spark, sf_dir):
-    return chunk.chunk(views.corpus(spark, sf_dir))
+    return chunk.chunk(spread(views.corpus(spark, sf_dir)))
 
 
 @query("chunk_strategy", "select doc_id, case when length(text) >= 4000 then 'semantic' else 'structure' end as strategy from documents")

@@ -9,7 +9,7 @@ from loreweave.config import Config
 from loreweave.functions import text, vector
 from loreweave.operators import rank, search
 from loreweave.plans.registry import query
-from loreweave.sources import table, views
+from loreweave.sources import spread, table, views
 
 TERMS = """
 found as (select item_id, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.+#-]{1,23}')) as term, generate_subscripts(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_.+#-]{1,23}'), 1) as pos from benchmark),
@@ -26,7 +26,7 @@ ranked as (select *, row_number() over (partition by question_id order by score
 
 def passages(spark, sf_dir):
     """Sources as passages: one for each document."""
-    return views.corpus(spark, sf_dir).select("source_type", "source_id", F.lit(0).alias("seq"), "title", F.col("content").alias("body"), "category")
+    return spread(views.corpus(spark, sf_dir)).select("source_type", "source_id", F.lit(0).alias("seq"), "title", F.col("content").alias("body"), "category")
 
 
 @query("terms_ascii", f"with {TERMS} select question_id, term from terms")
