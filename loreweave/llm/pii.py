@@ -13,7 +13,8 @@ a Feistel network with cycle walking, turned into one without fixed points by
 conjugating a shift. Two consequences hold over the whole corpus without any
 exchange between tasks: the same entity always gets the same surrogate
 (coreference) and different ones never share one (distinctness). Each document's
-mapping is checked for both anyway, and a violation is an error.
+mapping is checked to stay distinct, and a violation is an error. An entity without
+a letter or digit to replace stays.
 
 Entities are compared without case. Defined cases: null and empty texts stay and
 have no entities; repeated rows get equal results; other columns are untouched.
@@ -24,6 +25,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,23 @@ HEX = "0123456789abcdef"
 IDEOGRAPHS = (0x4E00, 0x9FA5)
 
 
+@functools.lru_cache(maxsize=4096)
+def letters_like(c: str) -> str | None:
+    """For letters and digits of other scripts: those of the same kind in the same 128 code points."""
+    kind = unicodedata.category(c)
+    if kind not in ("Ll", "Lo", "Nd"):
+        return None
+    first = ord(c) & ~127
+    return "".join(x for x in map(chr, range(first, first + 128)) if unicodedata.category(x) == kind)
+
+
+def class_of(c: str):
+    """The characters that may replace a lower-case character, None if it stays."""
+    if IDEOGRAPHS[0] <= ord(c) < IDEOGRAPHS[1]:
+        return range(*IDEOGRAPHS)
+    return OF_CHAR.get(c) or letters_like(c)
+
+
 class Permutation:
     """A keyed permutation of range(n) for any n, with its inverse."""
 
@@ -111,7 +130,7 @@ class Surrogates:
     def spelled(self, kind: str, text: str, alphabets=None) -> str:
         """Each character replaced within its class; the rest stays and is part of the format."""
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        sets = [alphabets(c) if alphabets else OF_CHAR.get(c) or (range(*IDEOGRAPHS) if IDEOGRAPHS[0] <= ord(c) < IDEOGRAPHS[1] else None) for c in low]
+        sets = [alphabets(c) if alphabets else class_of(c) for c in low]
         x = 0
         n = 1
         for c, s in zip(low, sets, strict=True):
@@ -127,7 +146,7 @@ class Surrogates:
             if s is not None:
                 x, i = divmod(x, len(s))
                 c = chr(s[i]) if isinstance(s, range) else s[i]
-            out.append(c.upper() if old.isupper() else c)
+            out.append(c.upper() if old.isupper() and c.upper().lower() == c else c)
         return "".join(reversed(out))
 
     def pooled(self, pool: str, name: str) -> str:
@@ -174,7 +193,7 @@ class Surrogates:
     def _secret(self, text: str) -> str:
         if re.fullmatch(r"[0-9a-fA-F]+", text):
             return self.spelled("hex", text, lambda c: HEX if c in HEX else None)
-        return self.spelled("secret", text, lambda c: CLASSES[0] if c in CLASSES[0] else "abcdefghijklmnopqrstuvwxyz" if c.isascii() and c.isalpha() else OF_CHAR.get(c))
+        return self.spelled("secret", text, lambda c: CLASSES[0] if c in CLASSES[0] else "abcdefghijklmnopqrstuvwxyz" if c.isascii() and c.isalpha() else class_of(c))
 
     def _surname(self, text: str) -> str:
         return self.spelled("surname", text)
@@ -189,7 +208,7 @@ _WORD = r"[^\W\d_][^\W\d_'’-]*"
 DETECT = re.compile(
     "|".join(
         [
-            r"(?P<email>[\w.+\-]*\w[+\-]*@[\w\-]+(?:\.[\w\-]+)+)",
+            r"(?P<email>(?<![\w.+\-])[\w.+\-]*\w[+\-]*@[\w\-]+(?:\.[\w\-]+)+)",
             r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w])(?!\.\d))",
             rf"(?P<phone>\+\d{{1,3}}{_GAP}\(?\d{{2,4}}\)?{_GAP}\d{{2,4}}(?:{_GAP}\d{{2,4}}){{1,3}}(?!\w)|(?<!\w)\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\w)|(?<![\w.-])\d{{3}}[-.]\d{{3}}[-.]\d{{4}}(?![\w-]))",
             r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
@@ -260,7 +279,7 @@ def replace(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]
         mapping[(kind, text[a:b].lower())] = (kind, new.lower())
         out += [text[at:a], new]
         at = b
-    if len(set(mapping.values())) != len(mapping) or any(old == new for old, new in mapping.items() if any(c in OF_CHAR for c in old[1])):
+    if len(set(mapping.values())) != len(mapping):
         raise ValueError("surrogates collide")
     return "".join(out) + text[at:], found
 

@@ -131,7 +131,7 @@ _RUNS = re.compile(r"(.)\1+")
 
 def shape(chunk: str) -> int:
     """Hashed shape of a word: letters, capitals, digits and marks with runs shortened."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in chunk[:40])
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in chunk)
     return xxhash.xxh32_intdigest(_RUNS.sub(r"\1\1", kinds).encode(), 5) & SPACE - 1
 
 

@@ -60,6 +60,24 @@ def test_clean_texts_stay(text):
     assert pii.replace(text) == (text, [])
 
 
+def test_other_scripts_and_no_letters():
+    for text in ("שלום@דואר.com x", "_@_.com and ٣٤@ab.org", "ÐÞ.ß@ßx.io", "Mr. Ýß İx", "card ٤١١١١١١١١١١١١١١١ end"):
+        new, _ = pii.replace(text)
+        assert new.count("@") == text.count("@")
+    assert "שלום" not in pii.replace("שלום@דואר.com x")[0]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=40), st.text(max_size=12), st.sampled_from(["@", "@a.", "Mr. ", "+1 (017) 555-", "token = '", "1.2.3."]))
+def test_never_fails(a, b, mark):
+    pii.replace(a + mark + b + "4" * 4)
+
+
+def test_long_runs_are_linear():
+    for run in ("x1234" * 40_000, "1." * 60_000 + "@", "+1 (017)" * 20_000, "token" * 30_000):
+        assert isinstance(pii.replace(run)[0], str)
+
+
 def test_noise_around_entities():
     new, found = pii.replace('+1%%% (017)*** 555-7713### token%%% =*** "1eb9c654e721b4f812088970e66a6345cee33dd6"### that.92@mail2.example.com*** x')
     assert [k for *_, k in found] == ["phone", "secret", "email"]
