@@ -45,10 +45,15 @@ with """ + TERMS + """, h as (select doc_id, term, case when contains(lower(sour
 select question_id, doc_id, cast(sum(w) as bigint) as score from h join terms using (term) group by 1, 2
 """)
 def lexical_score_pairs(spark, sf_dir):
-    """H02 of every question and document with a term in common: the stated questions against all documents."""
-    q = views.questions(spark, sf_dir).select("question_id", F.array_distinct(F.transform(text.retrieval_terms(F.col("question")), lambda x: F.lower(x))).alias("ts"))
-    scored = table(spark, sf_dir, "documents").join(F.broadcast(q)).select("question_id", "doc_id", text.lexical_score(F.col("ts"), F.col("source"), F.col("text")).cast("long").alias("score"))
-    return scored.filter("score > 0")
+    """H02 of every question and document with a term in common: one scan of titles and one of texts finds the terms."""
+    d = table(spark, sf_dir, "documents")
+    terms = search.question_terms(views.questions(spark, sf_dir))
+    words = terms.select("term").distinct()
+    place = [F.lit("file").alias("source_type"), F.col("doc_id").alias("source_id"), F.lit(0).alias("seq")]
+    titles = search.term_hits(d.select(*place, F.col("source").alias("title"), F.lit("").alias("body")), words).select("source_id", "term", F.lit(3).alias("w"))
+    bodies = search.term_hits(d.select(*place, F.lit("").alias("title"), F.col("text").alias("body")), words).select("source_id", "term", F.lit(1).alias("w"))
+    best = titles.unionByName(bodies).groupBy("source_id", "term").agg(F.max("w").alias("w"))
+    return best.join(terms, "term").groupBy("question_id", F.col("source_id").alias("doc_id")).agg(F.sum("w").alias("score"))
 
 
 VECTORS = "v as (select vec_id, embedding::double[] as e from embeddings)"
