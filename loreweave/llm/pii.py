@@ -220,7 +220,8 @@ DETECT = re.compile(
     )
 )
 NAMES = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\b\.? (?P<titled>(?=[^\W\d_]){_WORD}(?: {_WORD})?)|(?P<first>{'|'.join(n for p in POOLS.values() for n in p)}) (?P<last>{_WORD}))")
-HINT = re.compile(r"\d{3}|@|(?i:token|secret|passw|key)")
+#: What every match of DETECT holds, so that texts with neither are not searched: words and marks, shapes of digits and letters.
+HINTS = re.compile(r"@|(?i:token|secret|passw|key)"), re.compile(r"\d(?:\d\d|\.\d)|\+\d|[A-Z]{2}\d\d|[0-9a-f]{32}|[0-9A-F]{32}")
 NAME_HINT = re.compile(r"\b(?:" + "|".join([*TITLES, *(n for p in POOLS.values() for n in p)]) + r")\b")
 
 
@@ -237,7 +238,7 @@ def _is_kind(kind: str, text: str) -> bool:
 def entities(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of the entities of a text, in order, not overlapping."""
     found = []
-    if HINT.search(text):
+    if any(h.search(text) for h in HINTS):
         for m in DETECT.finditer(text):
             kind = m.lastgroup
             span = m.span(kind) if kind != "value" else m.span("value")
@@ -276,7 +277,8 @@ def replace(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]
     make, out, at, mapping = surrogates(key), [], 0, {}
     for a, b, kind in found:
         new = make.of(kind, text[a:b])
-        mapping[(kind, text[a:b].lower())] = (kind, new.lower())
+        same = tuple(map(int, text[a:b].split("."))) if kind == "ip" else text[a:b].lower()  # 01.2.3.4 is 1.2.3.4
+        mapping[(kind, same)] = (kind, new.lower())
         out += [text[at:a], new]
         at = b
     if len(set(mapping.values())) != len(mapping):

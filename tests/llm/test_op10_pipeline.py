@@ -84,6 +84,42 @@ def test_noise_around_entities():
     assert new.endswith(".example.com*** x")
 
 
+ALONE = {
+    "10.0.0.1": "ip",
+    "59.36.80.30": "ip",
+    "+49 30 12 34 56 78": "phone",
+    "(017) 555-7713": "phone",
+    "017-555-7713": "phone",
+    "a@b.org": "email",
+    "123-45-6789": "ssn",
+    "DE89 3704 0044 0532 0130 00": "iban",
+    f"GB{pii.iban_check('GB', 'ABCDEFGHIJKL')} ABCD EFGH IJKL": "iban",
+    "9807915762804490": "card",
+    "4111 1111 1111 1111": "card",
+    "abcdefabcdefabcdefabcdefabcdefab": "secret",
+    "ABCDEF12" * 4: "secret",
+}
+
+
+@pytest.mark.parametrize(("entity", "kind"), ALONE.items())
+def test_each_kind_alone(entity, kind):
+    new, found = pii.replace(f"see {entity} here")
+    assert [(k, b - a) for a, b, k in found] == [(kind, len(entity))]
+    assert entity not in new
+    assert pii.replace(f"see {entity} here, mail x@y.org")[0].startswith(new)  # other hints change nothing
+
+
+@pytest.mark.parametrize("word", ["token", "SECRET", "password", "passwd", "api_key", "Access-Key", "apikey"])
+def test_each_assignment_alone(word):
+    assert [k for *_, k in pii.replace(f"{word}: abcdefgh")[1]] == ["secret"]
+
+
+def test_spellings_of_one_address():
+    new, found = pii.replace("1.2.3.4 or 01.2.3.4 or 001.02.03.004")
+    assert [k for *_, k in found] == ["ip"] * 3
+    assert len(set(new.split(" or "))) == 1
+
+
 def test_rows(make_docs, odd_rows):
     rows = [*odd_rows, (50, TEXT), (51, TEXT)]
     got = pii.surrogate_texts(make_docs(rows, ["kinds", "n_entities"])).collect()
