@@ -9,9 +9,9 @@ all bins are open and a piece fits none, the fullest bin closes.
 
 Packing starts inside the scan tasks, so no document moves: a task emits the
 closed bins and hands over the pieces of those still open. They are dealt anew over
-fewer tasks and packed by the same packer, level by level, until one bounded
-task is left, which places what its open bins hold anew, longest first, and
-closes all. No task holds more than its open bins.
+fewer tasks, at most half as many from level to level, and packed by the same
+packer until one bounded task is left, which places what its open bins hold
+anew, longest first, and closes all. No task holds more than its open bins.
 
 Defined cases: a null text is the document of the end id alone; repeated rows
 are packed once each; ties go to the bin opened first; an empty table gives no
@@ -33,7 +33,7 @@ from loreweave.llm.tokens import encoder
 
 #: Open bins of one packer.
 OPEN_BINS = 512
-#: Pieces that one task packs at the later levels, a few times those that its open bins hold.
+#: Pieces that one task packs at the later levels, a few times those that its open bins hold; of short pieces more.
 PIECES_PER_TASK = 8192
 
 PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
@@ -118,18 +118,20 @@ class _Out:
         self.rows.append({"bin": self.next, "used": used, "open": is_open, "pieces": pieces})
         self.next += 1
 
-    def finish(self, last: bool) -> None:
+    def finish(self, last: bool):
         """Hand over the pieces of the open bins; at the last level place them anew, longest first, and close all."""
         pieces = [x for _, bin_ in self.packer.rest() for x in bin_]
         if not last:
             for piece in pieces:
                 self.put(piece["length"], [piece], True)
-            return
-        self.packer = Packer(self.packer.capacity, max(1, len(pieces)))
-        for piece in sorted(pieces, key=lambda x: -x["length"]):
-            self.add(piece)
-        for used, bin_ in self.packer.rest():
-            self.put(used, bin_, False)
+                yield from self.batches()
+        else:
+            self.packer = Packer(self.packer.capacity, max(1, len(pieces)))
+            for piece in sorted(pieces, key=lambda x: -x["length"]):
+                self.add(piece)
+            for used, bin_ in self.packer.rest():
+                self.put(used, bin_, False)
+        yield from self.batches(1)
 
     def batches(self, least: int = 2048):
         if len(self.rows) >= least:
@@ -148,8 +150,7 @@ def first_level(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: i
                 for piece in pieces_of(doc_id, codec.packed(text) + tail, codec.dtype.itemsize, capacity):
                     out.add(piece)
             yield from out.batches()
-        out.finish(False)
-        yield from out.batches(1)
+        yield from out.finish(False)
 
     return texts_of(docs).mapInArrow(run, BINS_DDL)
 
@@ -163,8 +164,7 @@ def next_level(pieces: DataFrame, capacity: int, open_bins: int, tasks: int) ->
             for (piece,) in batch.column(0).to_pylist():
                 out.add(piece)
             yield from out.batches()
-        out.finish(tasks == 1)
-        yield from out.batches(1)
+        yield from out.finish(tasks == 1)
 
     return pieces.select("pieces").repartition(tasks).mapInArrow(run, BINS_DDL)
 
@@ -173,8 +173,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = None, capacity: i
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of every document."""
     bins = staged(first_level(docs, tokenizer, end_id, capacity, open_bins), "packing")
     done = [bins.filter("not open")]
-    while left := (open_ := bins.filter("open")).count():
-        tasks = -(-left // PIECES_PER_TASK)
+    tasks = None
+    while True:
+        open_ = bins.filter("open")
+        left, tokens = open_.agg(F.count("*"), F.sum("used")).first()
+        if not left:
+            break
+        # a task gets at least twice what its open bins hold, and the halving ends the levels whatever they close
+        fitting = max(1, min(-(-left // PIECES_PER_TASK), -(-tokens // (2 * open_bins * capacity))))
+        tasks = fitting if tasks is None else max(1, min(fitting, tasks // 2))
         bins = staged(next_level(open_, capacity, open_bins, tasks), "packing")
         done.append(bins.filter("not open"))
     parts = [b.select((F.col("bin") * 64 + F.lit(k)).alias("sequence_id"), F.explode("pieces").alias("p")) for k, b in enumerate(done)]

@@ -89,6 +89,23 @@ def test_levels(make_docs, monkeypatch):
     assert n <= 1.06 * math.ceil(sum(r.length for r in got) / 64)
 
 
+@pytest.mark.parametrize(("n", "capacity", "open_bins", "per_task"), [(20_000, 1024, packing.OPEN_BINS, packing.PIECES_PER_TASK), (400, 64, 4, 20)])
+def test_equal_short_texts_end(make_docs, monkeypatch, n, capacity, open_bins, per_task):
+    levels, staged = [], packing.staged
+
+    def counted(*args):
+        levels.append(args)
+        assert len(levels) < 8, "the levels do not end"
+        return staged(*args)
+
+    monkeypatch.setattr(packing, "staged", counted)
+    monkeypatch.setattr(packing, "PIECES_PER_TASK", per_task)
+    rows = [(i, "word" + " word" * 8) for i in range(n)]
+    got = packing.pack(make_docs(rows).repartition(6), PATH, 2, capacity, open_bins).collect()
+    assert {r.length for r in got} == {10}
+    assert verify(rows, got, capacity) == math.ceil(n / (capacity // 10))
+
+
 def test_op3_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = packing.op3(spark, sf_dir).collect()
