@@ -45,10 +45,11 @@ def material_sample(spark, sf_dir):
 
 @query("section_outline")
 def section_outline(spark, sf_dir):
-    """Sentences of documents as passages under numbered headings made from their place."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 8)).alias("seq", "word"))
-    number = F.element_at(F.array(*map(F.lit, ["1", "1.1", "1.1.1", "1.1.2", "1.2", "1.2.1", "2", "2.1"])), F.col("seq") + 1)
-    body = F.concat(number, F.lit(" Section "), F.lit("of words"), F.lit("\n\n"), F.col("word"))
+    """All sentences of documents as passages under numbered headings made from their place, six to a root."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?。！？])\s+|\n+")).alias("seq", "sentence"))
+    below = F.element_at(F.array(*map(F.lit, ["", ".1", ".1.1", ".1.2", ".2", ".2.1"])), F.col("seq") % 6 + 1)
+    root = F.floor(F.col("seq") / 6) % 999 + 1  # headings have numbers of three digits at most
+    body = F.concat(root.cast("string"), below, F.lit(" Section of words\n\n"), F.col("sentence"))
     return material.outline(d.select("doc_id", "seq", F.lit("").alias("heading"), body.alias("chunk_text")), ["doc_id"])
 
 

@@ -52,6 +52,16 @@ def test_outline_needs_no_own_headings(spark):
     assert sorted((r.k, r.seq, r.parent_seq, r.parent_heading) for r in got) == [(1, s, 0, "1.1 Part") for s in (1, 2, 3)]
 
 
+def test_section_outline_takes_whole_texts(spark, tmp_path):
+    from loreweave.plans.q_material import section_outline
+
+    rows = [(1, "one two three four. " * 6_100), (2, "a b.\nc d! e f? g"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.seq, r.parent_seq, r.parent_heading) for r in section_outline(spark, str(tmp_path)).collect())
+    long = [(1, s, s // 6 * 6 + 1, f"{s // 6 % 999 + 1}.1 Section of words") for s in range(6_100) if s % 6 in (2, 3)]
+    assert got == [*long, (2, 2, 1, "1.1 Section of words"), (2, 3, 1, "1.1 Section of words")]
+
+
 SAMPLE = "concept_id int, names array<string>, place int, source_type string, source_id long, title string, seq int, heading string, chunk_text string"
 
 
