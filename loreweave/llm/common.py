@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,14 +20,16 @@ SLICE_CHARS = 4_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent (tests, a single machine) a temporary folder is
-    made once and set as the checkpoint folder.
+    Where the setting is absent, the context's checkpoint folder is used; a session
+    on one machine (tests) that has none gets a temporary one, any other is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loreweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loreweave-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -68,6 +71,37 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             at += step
 
 
+#: A key is heavy if it has more than this share of the rows, and more rows than this.
+HEAVY_SHARE = 1 / 1000
+HEAVY_ROWS = 64
+
+
+def heavy_limit(rows: int) -> int:
+    """Rows beyond which a key is heavy: a table has at most 1 / HEAVY_SHARE such keys, whatever its size."""
+    return max(HEAVY_ROWS, int(rows * HEAVY_SHARE))
+
+
+def spread_join(rows: DataFrame, one_each: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` to a table with one row for each key.
+
+    The few heavy keys (``heavy_limit``) are joined where their rows are, by a
+    broadcast of at most 1 / HEAVY_SHARE rows; only the others are shuffled.
+    """
+    counts = rows.groupBy(key).count().filter(F.col("count") > heavy_limit(rows.count()))
+    heavy = [r[0] for r in counts.filter(F.col(key).isNotNull()).select(key).collect()]
+    if not heavy:
+        return rows.join(one_each, key)
+    hot = F.col(key).isin(heavy)
+    return rows.filter(~hot).join(one_each, key).unionByName(rows.filter(hot).join(F.broadcast(one_each.filter(hot)), key))
+
+
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """One row for each ``doc_id``: that whose ``text`` has the smallest hash."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    least = F.min_by(F.struct(*rest), F.struct(F.xxhash64("text"), F.col("text")))
+    return rows.groupBy("doc_id").agg(least.alias("kept")).select("doc_id", "kept.*")
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """A column name that no column of ``df`` has, whatever its case."""
     taken, name = {c.lower() for c in df.columns}, base

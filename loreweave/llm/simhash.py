@@ -15,7 +15,9 @@ places are cut into r + 1 blocks, a pair within the radius agrees on one of
 them, and each block is a table of its own inside the bucket. Splits repeat
 until 2^(free places) is at most ``HOT``, so that every bucket ends within that
 bound. A bucket emits a spanning forest, never its pairs; each link in it is
-verified. Components then come from distributed stars (``graph``).
+verified. Components then come from distributed stars (``graph``). Fingerprints
+and roots that a large share of the rows have are joined where those rows are
+(``spread_join``).
 
 Defined cases: no words (null, empty, blank) gives fingerprint zero, linked
 like any other; one or two words give one shingle; a null identifier takes part
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import fresh_name, slices, staged, texts_of
+from loreweave.llm.common import fresh_name, slices, spread_join, staged, texts_of
 from loreweave.llm.graph import components
 
 BITS = 64
@@ -179,13 +181,13 @@ def _linked(docs: DataFrame, radius: int, width: int, hot: int) -> tuple[DataFra
     rooted = components(links(buckets(reps.select("fp"), radius, hot), radius))
     roots = staged(reps.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "roots")
     least = roots.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return docs_fp, roots.join(least, "root").select("fp", "root", "component_id")
+    return docs_fp, staged(spread_join(roots.select("fp", "root"), least, "root").select("fp", "root", "component_id"), "components-of-fingerprints")
 
 
 def near_components(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """``doc_id, fp, component_id`` for every row."""
     docs_fp, of_fp = _linked(docs, radius, width, hot)
-    return docs_fp.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return spread_join(docs_fp, of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, hot: int = HOT) -> DataFrame:
@@ -195,7 +197,7 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, width: int = SHINGLE, hot
     identifiers repeat, one row of the smallest stays.
     """
     docs_fp, of_fp = _linked(docs, radius, width, hot)
-    found = staged(docs_fp.join(of_fp, "fp").select("doc_id", "component_id"), "near-copies")
+    found = staged(spread_join(docs_fp, of_fp, "fp").select("doc_id", "component_id"), "near-copies")
     odd = staged(found.groupBy("doc_id").count().filter("doc_id is null or count > 1").select("doc_id"), "odd-identifiers")
     key, fp, root, least = (fresh_name(docs, c) for c in ("key_id", "fp", "root_fp", "least_id"))
     keyed = docs.withColumn(key, F.col("doc_id").cast("long"))
