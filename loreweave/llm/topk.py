@@ -6,8 +6,8 @@ each group of dimensions. A query adds up partial products group by group; by
 Cauchy-Schwarz the rest of a product is at most the product of the remaining
 masses, so a candidate whose partial product plus that bound is below the
 query's k-th best score is dropped and the survivors are compacted. Thresholds
-start from one bounded block of vectors scored for all queries and tighten as a
-task goes through its blocks.
+start from one bounded block of vectors, which goes to the tasks that hold the
+queries, and tighten as a task goes through its blocks.
 
 Queries go out in rounds of at most ``ROUND`` vectors: a round is broadcast
 (bounded size, whatever the table) and meets every block once; a task returns k
@@ -35,6 +35,7 @@ BLOCK = 16384
 GROUP = 16
 TOGETHER = 128
 ROUND = 16384
+SEEDED = 4
 
 BLOCKS_DDL = "dims int, n int, ids binary, columns binary"
 
@@ -61,13 +62,8 @@ def blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"dims": dims, "n": len(part), "ids": ids[at : at + size].tobytes(), "columns": np.ascontiguousarray(part.T).tobytes()}], VERTICAL)
 
         for batch in batches:
-            ids, lists = np.asarray(batch.column(0)), batch.column(1)
-            lengths = np.diff(np.asarray(lists.offsets))
-            flat = np.asarray(lists.flatten()).astype(np.int64)
-            ends = np.cumsum(lengths)
-            for dims in np.unique(lengths).tolist():
-                at = np.nonzero(lengths == dims)[0]
-                rows = flat[(ends[at] - dims)[:, None] + np.arange(dims)]
+            ids = np.asarray(batch.column(0))
+            for dims, (at, rows) in _matrices(batch.column(1)).items():
                 held.setdefault(dims, []).append((ids[at], rows))
                 if sum(len(i) for i, _ in held[dims]) >= size:
                     yield from cut(dims)
@@ -161,34 +157,51 @@ class Search:
         return out
 
 
-def _round(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Queries of a round by length: identifiers and a matrix."""
-    by: dict[int, list] = {}
-    for r in rows:
-        by.setdefault(len(r.v), []).append(r)
-    return {d: (np.asarray([r.vec_id for r in x], np.int64), np.asarray([r.v for r in x], np.int64).reshape(len(x), d)) for d, x in by.items()}
+def _matrices(lists: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows of a list column by length: their places and a matrix."""
+    lengths = np.diff(np.asarray(lists.offsets))
+    flat, ends = np.asarray(lists.flatten()).astype(np.int64), np.cumsum(lengths)
+    out = {}
+    for d in np.unique(lengths).tolist():
+        at = np.nonzero(lengths == d)[0]
+        out[d] = at, flat[(ends[at] - d)[:, None] + np.arange(d)]
+    return out
+
+
+def seeded(asked: DataFrame, seeds: dict[int, tuple], k: int) -> DataFrame:
+    """``vec_id, v, least``: queries with the k-th best score that one block gives each."""
+
+    def run(batches):
+        for batch in batches:
+            ids, least = np.asarray(batch.column(0)), np.full(batch.num_rows, -np.inf)
+            for d, (at, matrix) in _matrices(batch.column(1)).items():
+                if d in seeds:
+                    search = Search(ids[at], matrix, k)
+                    search.show(Block(*seeds[d]))
+                    least[at] = search.least
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(least)], names=["vec_id", "v", "least"])
+
+    return asked.mapInArrow(run, "vec_id long, v array<long>, least double")
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, size: int = BLOCK, per_round: int = ROUND) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best of ``vectors(vec_id, v)`` for each of ``queries(vec_id, v)``."""
     spark = vectors.sparkSession
     stored = staged(blocks(vectors, size), "vector-blocks")
-    asked = staged(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
-    seeds: dict[int, Block] = {}
-    for dims in [r.dims for r in stored.select("dims").distinct().limit(64).collect()]:
+    seeds = {}  # of at most SEEDED lengths; queries of others start without a threshold
+    for dims in [r.dims for r in stored.groupBy("dims").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "dims").limit(SEEDED).collect()]:
         row = stored.filter(F.col("dims") == dims).orderBy(F.desc("n"), F.desc("ids")).limit(1).first()
-        seeds[dims] = Block(row.dims, row.ids, row["columns"])
+        seeds[dims] = (row.dims, bytes(row.ids), bytes(row["columns"]))
+    asked = staged(seeded(queries.groupBy("vec_id").agg(F.min("v").alias("v")), seeds, k), "queries")
     path = staging_path(spark, "top-k")
     n = asked.count()
     rounds = max(1, -(-n // per_round))
     for turn in range(rounds):
         part = asked if rounds == 1 else asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == turn)
-        sent = {}
-        for dims, (ids, matrix) in _round(part.collect()).items():
-            first = Search(ids, matrix, k)
-            if dims in seeds:
-                first.show(seeds[dims])
-            sent[dims] = (ids, matrix, first.least)
+        rows = part.toArrow().combine_chunks()  # at most per_round queries, in the mean
+        ids, least = rows["vec_id"].to_numpy(), rows["least"].to_numpy()
+        lists = pa.concat_arrays(rows["v"].chunks) if rows.num_rows else pa.array([], pa.list_(pa.int64()))
+        sent = {d: (ids[at], matrix, least[at]) for d, (at, matrix) in _matrices(lists).items()}
         shared = spark.sparkContext.broadcast(sent)
 
         def run(batches, shared=shared):
