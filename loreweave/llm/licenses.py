@@ -20,6 +20,7 @@ fewest edits first; other columns are ignored.
 from __future__ import annotations
 
 import functools
+from bisect import bisect
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -74,9 +75,10 @@ class Scanner:
         """``(first word, label)`` of every place of every base phrase."""
         found = []
         for phrase, label in self.base:
-            at = joined.find(phrase)
+            at, words, counted = joined.find(phrase), 0, 0
             while at >= 0:
-                found.append((joined.count(b" ", 0, at), label))
+                words, counted = words + joined.count(b" ", counted, at), at
+                found.append((words, label))
                 at = joined.find(phrase, at + 1)
         return found
 
@@ -88,10 +90,10 @@ class Scanner:
             for offset, piece in parts:
                 at = joined.find(piece)
                 while at >= 0:
-                    begin = max(0, at - offset - edits - 1)
-                    if begin not in seen:
-                        seen.add(begin)
-                        window = joined[begin : at - offset + len(raw) + edits + 1]
+                    begin, finish = max(0, at - offset - edits - 1), at - offset + len(raw) + edits + 1
+                    if (begin, finish) not in seen:
+                        seen.add((begin, finish))
+                        window = joined[begin:finish]
                         for m in match.finditer(window, overlapped=False):
                             e = sum(m.fuzzy_counts)
                             key = (label, begin + m.start(), begin + m.end())
@@ -99,12 +101,17 @@ class Scanner:
                             if key not in best or best[key][0] > e:
                                 best[key] = (e, score)
                     at = joined.find(piece, at + 1)
-        out = []
-        for (label, a, b), (e, score) in sorted(best.items(), key=lambda x: (x[1][0], x[0])):
-            if not any(label == x[0] and a < x[5] and x[6] < b for x in out):
-                first = joined.count(b" ", 0, a) - 1
-                out.append((label, first, first + joined.count(b" ", a, b) + 1, e, score, b, a))
-        return sorted(x[:5] for x in out)
+        chosen: dict[str, list[tuple[int, int]]] = {}
+        for (label, a, b), (e, _) in sorted(best.items(), key=lambda x: (x[1][0], x[0])):
+            spans = chosen.setdefault(label, [])
+            i = bisect(spans, (a, b))  # kept spans do not overlap: only those beside this one can meet it
+            if (i == 0 or spans[i - 1][1] <= a) and (i == len(spans) or b <= spans[i][0]):
+                spans.insert(i, (a, b))
+        out, words, counted = [], 0, 0
+        for a, b, label in sorted((a, b, label) for label, spans in chosen.items() for a, b in spans):
+            words, counted = words + joined.count(b" ", counted, a), a
+            out.append((label, words - 1, words + joined.count(b" ", a, b), *best[label, a, b]))
+        return sorted(out)
 
 
 @functools.cache

@@ -63,6 +63,13 @@ def test_fuzzy_spans():
     assert licenses.scan("cc by sa and cc by nd")["labels"] == ""
 
 
+def test_many_notices_in_one_text():
+    text = "x under the mit license. " * 3 + "undr the mit licence; " * 3
+    spans = [(s["first_word"], s["end_word"], s["edits"]) for s in licenses.scan(text)["spans"]]
+    assert spans == [(1, 5, 0), (6, 10, 0), (11, 15, 0), (15, 19, 2), (19, 23, 2), (23, 27, 2)]
+    assert licenses.scan("nder the mit license under the mit license")["spans"][0]["first_word"] == 0
+
+
 def test_op8_rows(make_docs, odd_rows):
     rows = [*odd_rows, (70, "under the mit license " * 3000), (71, "under the mit-license. Apache License, Version 2.0")]
     got = licenses.scan_documents(make_docs(rows, ["labels", "score"])).collect()
@@ -109,6 +116,45 @@ def test_blocks_do_not_change_pairs(monkeypatch):
     assert (codes >> 15 < 257).all()
 
 
+def plain_pairs(samples):
+    """Fingerprints by a plain discrete Fourier transform and loops."""
+    n, frame, hop = len(samples), media.FRAME, media.HOP
+    frames = max(1, -(-(n - frame) // hop) + 1)
+    padded = np.zeros((frames - 1) * hop + frame)
+    padded[:n] = samples.astype(float) - 128
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(frame) / (frame - 1))
+    basis = np.exp(-2j * np.pi * np.outer(np.arange(frame // 2 + 1), np.arange(frame)) / frame)
+    size = [np.abs(basis @ (padded[t * hop : t * hop + frame] * window)) for t in range(frames)]
+    found = []
+    for t in range(frames):
+        for a, b in media.BANDS:
+            best = max(range(a, b), key=lambda f: (size[t][f], -f))
+            here = size[t][best]
+            beside = [size[x][best] for x in (t - 1, t + 1) if 0 <= x < frames]
+            if here > 1e-3 and all(here >= x for x in beside):
+                found.append((t, best))
+    out = []
+    for i, (t, f) in enumerate(sorted(found)):
+        for u, g in sorted(found)[i + 1 : i + 1 + media.FAN_OUT]:
+            if u - t <= media.REACH:
+                out.append((t, f << 15 | g << 6 | (u - t)))
+    return out
+
+
+@pytest.mark.parametrize("n", [64, 512, 576, 5000, 12_032])
+def test_pairs_are_the_plain_ones(n):
+    samples = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8)
+    times, codes = media.pairs(samples)
+    assert list(zip(times.tolist(), codes.tolist(), strict=True)) == plain_pairs(samples)
+
+
+def test_features_of_texts_are_the_plain_ones(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(12).collect():
+        samples = np.frombuffer(media.payload_of(r.text or "")[1], np.uint8)
+        times, codes = media.pairs(samples)
+        assert list(zip(times.tolist(), codes.tolist(), strict=True)) == plain_pairs(samples)
+
+
 def test_op9_rows(make_docs, odd_rows):
     got = media.media_digests(make_docs(odd_rows, ["feature", "media"])).collect()
     by = {}
