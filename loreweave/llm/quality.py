@@ -9,7 +9,7 @@ counts estimates every labeller's accuracies (probability of each vote, if it
 casts one, given the class) and the share of good rows, and gives each pattern its posterior.
 
 The posteriors label a bounded sample (``ROWS_PER_CLASS`` rows for each side, the
-smallest identifier hashes) on which a logistic scorer over hashed word shapes
+smallest identifier hashes, one row for each identifier) on which a logistic scorer over hashed word shapes
 is fitted; it scores every whole text. No human label is used.
 
 Defined cases: null and empty texts score what the scorer gives no words; repeated
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import fresh_name, slices, staged, texts_of
+from loreweave.llm.common import fresh_name, one_text_each, slices, staged, texts_of
 from loreweave.llm.tokens import Memory
 
 BAD, GOOD, UNSURE, ABSTAIN = range(4)
@@ -211,6 +211,7 @@ def learn(docs: DataFrame, per_class: int = ROWS_PER_CLASS) -> Scorer:
     known = voted.filter("doc_id is not null").select("doc_id", F.col("pattern").isin(good).alias("good"))
     chosen = known.filter("good").orderBy(*order).limit(per_class).unionByName(known.filter("not good").orderBy(*order).limit(per_class))
     texts = texts_of(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id").select("doc_id", "text")  # bounded: two times per_class
+    texts = one_text_each(texts)
 
     def run(batches):
         memory = Memory(shape, WORDS)
@@ -222,7 +223,8 @@ def learn(docs: DataFrame, per_class: int = ROWS_PER_CLASS) -> Scorer:
                 rows.append({"doc_id": doc_id, "pattern": pattern(stats(text, text.split())), "places": places, "values": values})
             yield pa.RecordBatch.from_pylist(rows, SAMPLE)
 
-    rows = texts.mapInArrow(run, "doc_id long, pattern int, places array<long>, values array<double>").toArrow().sort_by([("doc_id", "ascending"), ("pattern", "ascending")])
+    # one row for each identifier, of at most SPACE + 2 places
+    rows = texts.mapInArrow(run, "doc_id long, pattern int, places array<int>, values array<float>").toArrow().sort_by("doc_id")
     target = np.asarray([posterior[c] for c in rows["pattern"].to_pylist()])
     if not len(target) or not 0 < target.sum() < len(target):
         return Scorer(None, posterior, share)
@@ -230,7 +232,7 @@ def learn(docs: DataFrame, per_class: int = ROWS_PER_CLASS) -> Scorer:
     return Scorer(fit(pairs, target), posterior, share)
 
 
-SAMPLE = pa.schema([("doc_id", pa.int64()), ("pattern", pa.int32()), ("places", pa.list_(pa.int64())), ("values", pa.list_(pa.float64()))])
+SAMPLE = pa.schema([("doc_id", pa.int64()), ("pattern", pa.int32()), ("places", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))])
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:

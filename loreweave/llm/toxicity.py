@@ -8,10 +8,13 @@ next to a group's name can weigh more than the two apart.
 
 Fitting: labelled rows whose crc32 of the identifier as text is not divisible by
 five, at most ``ROWS_PER_CLASS`` for each label (a documented bound: the rows with
-the smallest hashes of their identifiers). Terms that separate the classes
-(log-odds z-score) are kept, at most ``KEPT``; the machine is fitted by full-batch
-Adam, classes weighted back to their share in all learnable labels. Scoring goes
-over whole texts of every row with the fitted machine, a few hundred kB.
+the smallest hashes of their identifiers; of rows that repeat an identifier one).
+Terms are screened by counts made in Spark: kept are those that separate the
+classes alone (log-odds z-score of ``SINGLE_Z``, at most ``KEPT``), and of the
+``COMMON`` most frequent others those that do so in a pair (``PAIR_Z``, at most
+``PAIRED``). Only the kept terms' places reach the driver. The machine is fitted by
+full-batch Adam, classes weighted back to their share in all learnable labels.
+Scoring goes over whole texts of every row with the fitted machine, a few hundred kB.
 
 Defined cases: null and empty texts score what the machine gives no terms; a null
 identifier is held out; without any learnable label the score is 0, with labels of
@@ -27,13 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import fresh_name, slices, texts_of
+from loreweave.llm.common import fresh_name, one_text_each, slices, staged, texts_of
 from loreweave.llm.tokens import MARKS, Memory
 
 SPACE = 1 << 24
 PREFIXES = (4, 5, 6)
 ROWS_PER_CLASS = 3000
 KEPT = 2048
+SINGLE_Z = 2.5
+#: Frequent terms whose pairs are looked at, those kept of them at most, the least rows and z-score of a pair.
+COMMON, PAIRED, LEAST_PAIRS, PAIR_Z = 512, 256, 8, 7.0
 LATENT = 8
 STEPS = 200
 #: Words in one generation of a worker's memory.
@@ -77,34 +83,39 @@ def constant(share: float) -> Machine:
     return Machine(np.empty(0, np.int64), np.empty(0), np.empty((0, LATENT)), bias)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, share: float, seed: int = 11) -> Machine:
-    """Fit on rows of distinct hashed terms; ``share``: of the toxic label among all learnable rows."""
+def log_odds_z(c1, c0, n1: float, n0: float):
+    """z-score of the log-odds with which something in c1 of n1 toxic and c0 of n0 other rows separates the classes."""
+    return np.log((c1 + 0.5) / (n1 + 1) * (n0 + 1) / (c0 + 0.5)) / np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
+
+
+def paired(rows: list[np.ndarray], toxic: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """Of ``candidates`` (places), those in a pair that separates the classes."""
+    column = np.full(candidates.max(initial=-1) + 2, -1)
+    column[candidates] = np.arange(len(candidates))
+    inside = np.zeros((len(rows), len(candidates)), np.float32)
+    for i, r in enumerate(rows):
+        c = column[np.minimum(r, len(column) - 1)]
+        inside[i, c[c >= 0]] = 1
+    c1, c0 = (inside[rows].T @ inside[rows] for rows in (toxic, ~toxic))
+    n1, n0 = toxic.sum(), (~toxic).sum()
+    share = (c1 + c0) / (n1 + n0)
+    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))  # of two proportions
+    z[c1 + c0 < LEAST_PAIRS] = 0
+    np.fill_diagonal(z, 0)
+    best = z.max(1, initial=0)
+    return candidates[best >= PAIR_Z][np.argsort(-best[best >= PAIR_Z], kind="stable")][:PAIRED]
+
+
+def fit(kept: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, share: float, seed: int = 11) -> Machine:
+    """Fit on rows of places in ``kept``; ``share``: of the toxic label among all learnable rows."""
     labels = np.asarray(labels, float)
     n1, n0 = labels.sum(), len(labels) - labels.sum()
-    if not n1 or not n0:
-        return constant(share)
-    toxic = labels == 1
-    all_terms, df = np.unique(np.concatenate(rows), return_counts=True)
-    c1 = np.zeros(len(all_terms))
-    u, c = np.unique(np.concatenate([r for r, t in zip(rows, toxic, strict=True) if t]), return_counts=True)
-    c1[np.searchsorted(all_terms, u)] = c
-    c0 = df - c1
-    z = np.log((c1 + 0.5) / (n1 + 1) * (n0 + 1) / (c0 + 0.5)) / np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
-    chosen = np.nonzero((df >= 3) & (np.abs(z) >= 2.5))[0]
-    chosen = chosen[np.lexsort((all_terms[chosen], -np.abs(z[chosen])))][:KEPT]
-    kept = np.sort(all_terms[chosen])
-    if not len(kept):
+    if not n1 or not n0 or not len(kept):
         return constant(share)
     # one term more, in every row, is the bias and keeps rows from being empty
-    at, sizes = [], []
-    for r in rows:
-        p = np.searchsorted(kept, r)
-        p = p[(p < len(kept)) & (kept[np.minimum(p, len(kept) - 1)] == r)]
-        at.append(np.append(p, len(kept)))
-        sizes.append(len(p) + 1)
-    at, sizes = np.concatenate(at), np.asarray(sizes)
+    at, sizes = np.concatenate([np.append(r, len(kept)) for r in rows]), np.asarray([len(r) + 1 for r in rows])
     start, row = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(rows)), sizes)
-    weight = np.where(toxic, share / n1, (1 - share) / n0)
+    weight = np.where(labels == 1, share / n1, (1 - share) / n0)
     m = len(kept) + 1
     rng = np.random.default_rng(seed)
     w, v = np.zeros(m), rng.normal(0, 0.05, (m, LATENT))
@@ -142,19 +153,41 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = ROWS_PER_CLASS) -
         return constant(n1 / n if n else 0.0)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.filter("toxic = 1").orderBy(*order).limit(per_class).unionByName(known.filter("toxic = 0").orderBy(*order).limit(per_class))
-    texts = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("toxic", "text", "doc_id")  # at most two times per_class rows are broadcast
+    labelled = texts_of(docs).join(F.broadcast(chosen), "doc_id")  # at most two times per_class rows are broadcast
 
-    def run(batches):
+    def hashed(batches):
         memory = Memory(terms_of, WORDS)
         Memory.only(memory)
         for part in slices(batches):
-            packed = [np.sort(np.fromiter(terms(t, memory), np.int32)).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.record_batch([part.column(0), part.column(2), pa.array(packed, pa.binary())], names=["toxic", "doc_id", "terms"])
+            found = [np.sort(np.fromiter(terms(t, memory), np.int32)) for t in part.column(1).to_pylist()]
+            yield pa.record_batch([part.column(0), part.column(2), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
 
-    rows = texts.mapInArrow(run, "toxic int, doc_id long, terms binary").toArrow().sort_by([("doc_id", "ascending"), ("terms", "ascending")])
-    if not rows.num_rows:
+    rows = staged(one_text_each(labelled.select("doc_id", "text", "toxic")).select("doc_id", "text", "toxic").mapInArrow(hashed, "doc_id long, toxic int, terms array<int>"), "toxic-terms")
+    s, s1 = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not s1 or s1 == s:
         return constant(n1 / n)
-    return fit([np.frombuffer(t, np.int32).astype(np.int64) for t in rows["terms"].to_pylist()], rows["toxic"].to_numpy(), n1 / n)
+    counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("c1"))
+    c1, c0 = F.col("c1") + 0.5, F.col("df") - F.col("c1") + 0.5
+    z = F.log(c1 / float(s1 + 1) * float(s - s1 + 1) / c0) / F.sqrt(1 / c1 + 1 / c0)
+    scored = staged(counts.filter("df >= 3").withColumn("z", F.abs(z)), "toxic-counts")
+    single = [r.term for r in scored.filter(F.col("z") >= SINGLE_Z).orderBy(F.desc("z"), "term").limit(KEPT).collect()]
+    common = [r.term for r in scored.filter(F.col("z") < SINGLE_Z).orderBy(F.desc("df"), "term").limit(COMMON).collect()]
+    kept = np.sort(np.asarray(single + common, np.int64))
+
+    def placed(batches):
+        for batch in batches:
+            found = []
+            for t in batch.column(2).to_pylist():
+                at = np.searchsorted(kept, t)
+                found.append(at[(at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == t)].astype(np.int32) if len(kept) else [])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "places"])
+
+    table = rows.mapInArrow(placed, "doc_id long, toxic int, places array<int>").toArrow().sort_by("doc_id")  # at most two times per_class rows of KEPT + COMMON places
+    labels_of, places = table["toxic"].to_numpy(), [np.asarray(p, np.int64) for p in table["places"].to_pylist()]
+    chosen = np.union1d(np.searchsorted(kept, sorted(single)), paired(places, labels_of == 1, np.searchsorted(kept, sorted(common)))).astype(np.int64)
+    new = np.full(len(kept), -1)
+    new[chosen] = np.arange(len(chosen))
+    return fit(kept[chosen], [x[x >= 0] for x in (new[p] for p in places)], labels_of, n1 / n)
 
 
 def _scores(texts: list[str], machine: Machine, memory) -> np.ndarray:

@@ -57,6 +57,41 @@ def test_scores_are_the_machines_formula(learned):
         assert machine.scores([r])[0] == pytest.approx(1 / (1 + np.exp(-raw)))
 
 
+def test_pairs_of_neutral_terms(make_docs, spark):
+    """Toxic only where exactly one of two words stands: each word alone is as common in both classes."""
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(1200):
+        a, b = i & 1, i >> 1 & 1
+        rows.append((i, " ".join([*rng.choices([f"w{j}" for j in range(60)], k=12), *["alpha"] * a, *["omega"] * b])))
+        labels.append((i, 1, a ^ b))
+    machine = toxicity.learn(make_docs(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score(make_docs(rows), machine).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == (i & 1 ^ i >> 1 & 1) for i in held]) > 0.95
+
+
+def test_repeated_identifiers_count_once(learned, make_docs):
+    rows, _, labels, machine = learned
+    again = toxicity.learn(make_docs(rows + rows[:50] * 5), labels)
+    assert (again.kept == machine.kept).all()
+    assert np.allclose(again.weights, machine.weights)
+
+
+def test_screen_is_brute_force(learned, make_docs):
+    """Terms kept alone are those whose z-score, counted plainly, is large enough."""
+    rows, toxic, _, machine = learned
+    use = [(set(toxicity.terms(t, Memory(toxicity.terms_of))), toxic[i]) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    n1 = sum(y for _, y in use)
+    z = {}
+    for term in set().union(*(x for x, _ in use)):
+        c1, df = sum(y for x, y in use if term in x), sum(term in x for x, _ in use)
+        if df >= 3:
+            z[term] = abs(toxicity.log_odds_z(c1, df - c1, n1, len(use) - n1))
+    alone = {t for t, x in z.items() if x >= toxicity.SINGLE_Z}
+    assert alone <= set(machine.kept.tolist()) <= set(z)
+
+
 def test_toxic_odd_rows(learned, make_docs, odd_rows, spark):
     rows, _, labels, machine = learned
     got = toxicity.score(make_docs(odd_rows, ["toxic"]), machine).collect()
@@ -133,6 +168,32 @@ def test_em_finds_accuracies():
     assert quality.estimate({quality.pattern(quality.stats("", [])): 3})[2] > 0.5
 
 
+def test_em_and_scorer_by_plain_loops(make_docs):
+    """Votes, posteriors and scores against the model's formulas, one text at a time."""
+    rng = random.Random(5)
+    rows = [(i, junk(rng, i // 5) if i % 5 == 0 else prose(rng)) for i in range(200)]
+    codes = [quality.pattern(quality.stats(t, t.split())) for _, t in rows]
+    posterior, accuracies, share = quality.estimate({c: codes.count(c) for c in codes})
+    for c in set(codes):
+        odds = share / (1 - share)
+        for labeller, vote in enumerate(quality.votes_of(c)):
+            if vote != quality.ABSTAIN:
+                odds *= accuracies[quality.GOOD, labeller, vote] / accuracies[quality.BAD, labeller, vote]
+        assert posterior[c] == pytest.approx(odds / (1 + odds), abs=1e-4)
+    docs = make_docs([*rows, *rows[:40], *rows[:40]])
+    scorer = quality.learn(docs)
+    weights = dict(zip(scorer.places.tolist(), scorer.values.tolist(), strict=True))
+    for r in quality.score(docs, scorer).collect():
+        words = rows[r.doc_id][1].split()
+        counts = {}
+        for w in words:
+            counts[quality.shape(w)] = counts.get(quality.shape(w), 0) + 1
+        n = len(words) + quality.LEAST_WORDS
+        repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
+        raw = weights.get(quality.BIAS, 0) + weights.get(quality.REPEAT, 0) * (repeats / n) ** 0.5 + sum(weights.get(p, 0) * (c / n) ** 0.5 for p, c in counts.items())
+        assert r.score == pytest.approx(1 / (1 + np.exp(-raw)))
+
+
 def test_quality_odd_rows(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     got = quality.score(docs, quality.learn(docs)).collect()
