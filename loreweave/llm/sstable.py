@@ -18,11 +18,14 @@ Shards are written by range of identifier, so shard number, then place in the
 shard, is ascending order over the whole table. A task streams its sorted rows:
 it holds one block, the sparse index and the Bloom filter's hashes. A shard is
 written under a name of its own attempt and moved into place when complete, so
-a repeated task replaces it with equal bytes.
+a repeated task replaces it with equal bytes. The folder is reached through
+pyarrow's file systems (local, HDFS, S3, GCS); what a failed attempt leaves
+(``attempt-*``) is no shard, and goes with the folder where that is the default.
 
 Defined cases: null text is the empty document (end id only); a null identifier
-sorts before all others; repeated identifiers give one entry each, ordered by
-their ids; an empty table gives no shards and no rows; other columns are ignored.
+sorts before all others; repeated identifiers give one entry each, in no stated
+order (one that fills several ranges is dealt over all of them, so that no shard
+grows with it); an empty table gives no shards and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -301,7 +304,7 @@ def write_shards(rows: DataFrame, folder: str, shards: int) -> DataFrame:
         if writer:
             yield finish()
 
-    dealt = rows.repartition(shards, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    dealt = rows.repartitionById(shards, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")  # one range a task
     return dealt.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long, bytes long, first_id long, last_id long")
 
 
