@@ -12,9 +12,16 @@ and script. The replacement is a keyed permutation of all strings of that format
 a Feistel network with cycle walking, turned into one without fixed points by
 conjugating a shift. Two consequences hold over the whole corpus without any
 exchange between tasks: the same entity always gets the same surrogate
-(coreference) and different ones never share one (distinctness). Each document's
-mapping is checked to stay distinct, and a violation is an error. An entity without
-a letter or digit to replace stays.
+(coreference) and different ones of a kind never share one (distinctness). Given
+names come from a pool that has none of the names the detector knows.
+
+Each document is checked over all kinds: a surrogate that equals an entity of the
+document or another surrogate in it is drawn anew, by the next of ``DRAWS`` derived
+keys, for that document (coreference within the document stays). An entity without a
+letter or digit to replace stays.
+
+The permutation can be undone by who has the key, so a caller has to give one; the
+queries take it from the session's setting ``KEY_SETTING``.
 
 Entities are compared without case. Defined cases: null and empty texts stay and
 have no entities; repeated rows get equal results; other columns are untouched.
@@ -31,16 +38,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import slices
+from loreweave.llm.common import fresh_name, slices
 
-KEY = b"loreweave surrogates"
+#: The session's setting that holds the key, and the key of tests and examples: published, so it protects nothing.
+KEY_SETTING = "spark.loreweave.surrogates.key"
+EXAMPLE_KEY = b"loreweave surrogates"
+#: Keys tried for an entity of a document until its surrogate meets nothing else there.
+DRAWS = 16
 
 # Given names by gender and script, all alternatives of one pool.
 FEMALE = "Alice Amelia Barbara Caroline Charlotte Deborah Dorothy Eleanor Elizabeth Emily Florence Frances Hannah Isabella Jennifer Jessica Katherine Laura Margaret Martha Michelle Nancy Olivia Patricia Rachel Rebecca Rosemary Samantha Sophia Stephanie Susan Victoria".split()
 MALE = "Alexander Andrew Anthony Benjamin Charles Christopher Daniel Edward Frederick George Gregory Harold Henry James Jonathan Joseph Kenneth Lawrence Leonard Matthew Michael Nicholas Oliver Patrick Raymond Richard Robert Samuel Stephen Thomas Timothy William".split()
 FEMALE_CYRILLIC = "Александра Анастасия Екатерина Елена Ирина Ксения Людмила Мария Наталья Ольга Светлана Татьяна".split()
 MALE_CYRILLIC = "Александр Алексей Владимир Григорий Дмитрий Евгений Иван Михаил Николай Павел Сергей Фёдор".split()
+# The names that stand for them, none of which is among them.
+FOR_FEMALE = "Abigail Adele Agnes Beatrice Brenda Camilla Cecilia Clara Daphne Edith Felicity Georgia Harriet Helen Imogen Josephine Judith Lavinia Lucinda Marjorie Miriam Nadine Penelope Phoebe Regina Rosalind Sylvia Tabitha Ursula Vanessa Wilhelmina Yvonne".split()
+FOR_MALE = "Adrian Albert Ambrose Archibald Barnaby Bernard Clement Cornelius Desmond Edgar Ernest Felix Gilbert Harvey Horace Hugh Ignatius Julian Lionel Magnus Maurice Neville Norman Percival Quentin Reginald Roland Rupert Sebastian Sidney Vincent Walter".split()
+FOR_FEMALE_CYRILLIC = "Алла Валентина Вера Галина Евгения Зинаида Лариса Маргарита Надежда Полина Раиса Тамара".split()
+FOR_MALE_CYRILLIC = "Анатолий Борис Валерий Виктор Геннадий Денис Игорь Константин Леонид Олег Роман Юрий".split()
 POOLS = {"female": FEMALE, "male": MALE, "female-cyrillic": FEMALE_CYRILLIC, "male-cyrillic": MALE_CYRILLIC}
+FOR_POOLS = {"female": FOR_FEMALE, "male": FOR_MALE, "female-cyrillic": FOR_FEMALE_CYRILLIC, "male-cyrillic": FOR_MALE_CYRILLIC}
 # Titles.
 TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "Mme"]
 
@@ -123,7 +140,7 @@ def iban_check(country: str, bban: str) -> str:
 class Surrogates:
     """Surrogates under one key."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.key = key
         self.of = functools.lru_cache(maxsize=100_000)(self._of)
 
@@ -150,8 +167,7 @@ class Surrogates:
         return "".join(reversed(out))
 
     def pooled(self, pool: str, name: str) -> str:
-        names = POOLS[pool]
-        found = names[Permutation(len(names), self.key, pool.encode()).moved([n.lower() for n in names].index(name.lower()))]
+        found = FOR_POOLS[pool][Permutation(len(FOR_POOLS[pool]), self.key, pool.encode()).moved([n.lower() for n in POOLS[pool]].index(name.lower()))]
         return found.upper() if name.isupper() and len(name) > 1 else found
 
     def _of(self, kind: str, text: str) -> str:
@@ -265,28 +281,36 @@ def entities(text: str) -> list[tuple[int, int, str]]:
 
 
 @functools.cache
-def surrogates(key: bytes = KEY) -> Surrogates:
-    return Surrogates(key)
+def surrogates(key: bytes, draw: int = 0) -> Surrogates:
+    """The surrogates of a key, or of one of those derived from it."""
+    return Surrogates(key if not draw else hashlib.blake2b(b"%d" % draw, key=hashlib.blake2b(key).digest()).digest())
 
 
-def replace(text: str, key: bytes = KEY) -> tuple[str, list[tuple[int, int, str]]]:
+def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with surrogates, and the entities by their places in the original."""
     found = entities(text)
     if not found:
         return text, found
-    make, out, at, mapping = surrogates(key), [], 0, {}
+    out, at, draws = [], 0, {}
+    taken = {text[a:b].lower() for a, b, _ in found}
     for a, b, kind in found:
-        new = make.of(kind, text[a:b])
-        same = tuple(map(int, text[a:b].split("."))) if kind == "ip" else text[a:b].lower()  # 01.2.3.4 is 1.2.3.4
-        mapping[(kind, same)] = (kind, new.lower())
+        old = text[a:b]
+        same = kind, tuple(map(int, old.split("."))) if kind == "ip" else old.lower()  # 01.2.3.4 is 1.2.3.4
+        if same in draws:
+            new = surrogates(key, draws[same]).of(kind, old)
+        else:
+            for draw in range(DRAWS):
+                new = surrogates(key, draw).of(kind, old)
+                if new.lower() == old.lower() or new.lower() not in taken:
+                    break
+            draws[same] = draw
+            taken.add(new.lower())
         out += [text[at:a], new]
         at = b
-    if len(set(mapping.values())) != len(mapping):
-        raise ValueError("surrogates collide")
     return "".join(out) + text[at:], found
 
 
-def surrogate_texts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def surrogate_texts(docs: DataFrame, key: bytes) -> DataFrame:
     """``doc_id, text, n_entities, kinds`` of every row; null texts stay null."""
 
     def run(batches):
@@ -303,7 +327,7 @@ def surrogate_texts(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_entities", pa.int32()), ("kinds", pa.string())])
 
 
-def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with ``text`` replaced, and ``n_chars`` counted anew where it was the text's length."""
 
     @F.pandas_udf("string")
@@ -312,15 +336,20 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
         return pd.Series([replace(t, key)[0] if t else t for t in texts], dtype=object)
 
-    out = {"text": replaced(F.col("text").cast("string"))}
-    old = F.char_length(F.col("text"))
     if "n_chars" not in docs.columns:
-        return docs.withColumns(out)
-    types = dict(docs.dtypes)
-    marked = docs.withColumns({"n_chars": F.when(F.col("n_chars") == old, F.lit(-1)).otherwise(F.col("n_chars")).cast(types["n_chars"])}).withColumns(out)
-    return marked.withColumn("n_chars", F.when(F.col("n_chars") == -1, F.char_length("text")).otherwise(F.col("n_chars")).cast(types["n_chars"]))
+        return docs.withColumn("text", replaced(F.col("text").cast("string")))
+    counted = fresh_name(docs, "n_chars_counted")
+    marked = docs.withColumn(counted, F.col("n_chars") == F.char_length("text")).withColumn("text", replaced(F.col("text").cast("string")))
+    length = F.when(F.col(counted), F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    return marked.withColumn("n_chars", length).drop(counted)
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key; the published example where none is set."""
+    key = spark.conf.get(KEY_SETTING, None)
+    return key.encode() if key else EXAMPLE_KEY
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: every whole text with surrogates."""
-    return surrogate_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return surrogate_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), key_of(spark))

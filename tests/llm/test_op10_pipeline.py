@@ -9,6 +9,9 @@ from hypothesis import strategies as st
 from loreweave.llm import pii
 
 
+KEY = pii.EXAMPLE_KEY
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(2, 3000), st.binary(min_size=1, max_size=8))
 def test_permutation(n, key):
@@ -23,7 +26,7 @@ TEXT = 'write john.doe12@mail3.example.com, JOHN.DOE12@MAIL3.EXAMPLE.COM; call +
 
 
 def test_formats():
-    new, found = pii.replace(TEXT)
+    new, found = pii.replace(TEXT, KEY)
     kinds = collections.Counter(k for *_, k in found)
     assert kinds == {"email": 2, "phone": 1, "ip": 1, "card": 2, "secret": 1, "ssn": 1, "iban": 1, "surname": 3, "given": 2}
     for a, b, kind in found:
@@ -40,46 +43,46 @@ def test_formats():
     assert pii.iban_check(iban[:2], iban[4:]) == iban[2:4]
     m = re.search(r"Mr\. (\w+) met (\w+) (\w+); (\w+) (\w+) too", new)
     assert m[1] == m[3] != "Smith"
-    assert m[2] in pii.FEMALE
-    assert m[4] in pii.FEMALE_CYRILLIC
+    assert m[2] in pii.FOR_FEMALE
+    assert m[4] in pii.FOR_FEMALE_CYRILLIC
     assert all("Ѐ" <= c <= "ӿ" for c in m[5])
-    assert pii.replace(new)[0] != new
+    assert pii.replace(new, KEY)[0] != new
     assert pii.replace(TEXT, b"other key")[0] != new
 
 
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.from_regex(r"[a-z]{1,3}[0-9]{0,2}@[a-c]{1,2}\.(com|org)", fullmatch=True), unique=True, max_size=40))
 def test_distinct_stay_distinct(emails):
-    new = [pii.surrogates().of("email", e) for e in emails]
+    new = [pii.surrogates(KEY).of("email", e) for e in emails]
     assert len(set(new)) == len(emails)
     assert all(a != b for a, b in zip(emails, new, strict=True))
 
 
 @pytest.mark.parametrize("text", ["Version 4.0.1 and 300.1.2.3 of 2024", "Licensed under CC BY-NC 4.0.", "a 12-34 b 1234567 c", "plain words only", "@home or a@b", "Mister smith"])
 def test_clean_texts_stay(text):
-    assert pii.replace(text) == (text, [])
+    assert pii.replace(text, KEY) == (text, [])
 
 
 def test_other_scripts_and_no_letters():
     for text in ("שלום@דואר.com x", "_@_.com and ٣٤@ab.org", "ÐÞ.ß@ßx.io", "Mr. Ýß İx", "card ٤١١١١١١١١١١١١١١١ end"):
-        new, _ = pii.replace(text)
+        new, _ = pii.replace(text, KEY)
         assert new.count("@") == text.count("@")
-    assert "שלום" not in pii.replace("שלום@דואר.com x")[0]
+    assert "שלום" not in pii.replace("שלום@דואר.com x", KEY)[0]
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=40), st.text(max_size=12), st.sampled_from(["@", "@a.", "Mr. ", "+1 (017) 555-", "token = '", "1.2.3."]))
 def test_never_fails(a, b, mark):
-    pii.replace(a + mark + b + "4" * 4)
+    pii.replace(a + mark + b + "4" * 4, KEY)
 
 
 def test_long_runs_are_linear():
     for run in ("x1234" * 40_000, "1." * 60_000 + "@", "+1 (017)" * 20_000, "token" * 30_000):
-        assert isinstance(pii.replace(run)[0], str)
+        assert isinstance(pii.replace(run, KEY)[0], str)
 
 
 def test_noise_around_entities():
-    new, found = pii.replace('+1%%% (017)*** 555-7713### token%%% =*** "1eb9c654e721b4f812088970e66a6345cee33dd6"### that.92@mail2.example.com*** x')
+    new, found = pii.replace('+1%%% (017)*** 555-7713### token%%% =*** "1eb9c654e721b4f812088970e66a6345cee33dd6"### that.92@mail2.example.com*** x', KEY)
     assert [k for *_, k in found] == ["phone", "secret", "email"]
     assert new.endswith(".example.com*** x")
 
@@ -103,38 +106,76 @@ ALONE = {
 
 @pytest.mark.parametrize(("entity", "kind"), ALONE.items())
 def test_each_kind_alone(entity, kind):
-    new, found = pii.replace(f"see {entity} here")
+    new, found = pii.replace(f"see {entity} here", KEY)
     assert [(k, b - a) for a, b, k in found] == [(kind, len(entity))]
     assert entity not in new
-    assert pii.replace(f"see {entity} here, mail x@y.org")[0].startswith(new)  # other hints change nothing
+    assert pii.replace(f"see {entity} here, mail x@y.org", KEY)[0].startswith(new)  # other hints change nothing
 
 
 @pytest.mark.parametrize("word", ["token", "SECRET", "password", "passwd", "api_key", "Access-Key", "apikey"])
 def test_each_assignment_alone(word):
-    assert [k for *_, k in pii.replace(f"{word}: abcdefgh")[1]] == ["secret"]
+    assert [k for *_, k in pii.replace(f"{word}: abcdefgh", KEY)[1]] == ["secret"]
 
 
 def test_spellings_of_one_address():
-    new, found = pii.replace("1.2.3.4 or 01.2.3.4 or 001.02.03.004")
+    new, found = pii.replace("1.2.3.4 or 01.2.3.4 or 001.02.03.004", KEY)
     assert [k for *_, k in found] == ["ip"] * 3
     assert len(set(new.split(" or "))) == 1
 
 
+def test_pools_do_not_meet():
+    for pool, names in pii.POOLS.items():
+        stands = pii.FOR_POOLS[pool]
+        assert len(set(stands)) == len(stands) == len(set(names))
+        assert not {n.lower() for n in stands} & set(pii.GIVEN)
+
+
+def test_collisions_are_drawn_anew():
+    """A surrogate that stands in the document, as a name of any kind, is not used there."""
+    first = pii.replace("Alice Smith came.", KEY)[0].split()[0]
+    new, found = pii.replace(f"Alice Smith met Mrs {first}. Alice Smith left.", KEY)
+    words = new.split()
+    assert len(found) == 5
+    assert words[0] == words[5] != first
+    assert words[1] == words[6]
+    assert words[4].rstrip(".") != first
+
+
+def test_no_surrogate_meets_another_entity():
+    rng = random.Random(4)
+    for _ in range(200):
+        text = " ".join(rng.choice(["Mr {}", "Mrs {}", "Alice {}", "Henry {}", "Martha {}"]).format(rng.choice(["Li", "Wu", "Ek", "Oe", "Ab", "Xi"])) + "," for _ in range(8))
+        new, found = pii.replace(text, KEY)
+        old = [(k, text[a:b].lower()) for a, b, k in found]
+        shift, mapped = 0, {}
+        for (a, b, _), o in zip(found, old, strict=True):
+            mapped.setdefault(o, set()).add(new[a + shift : a + shift + len(re.match(r"\w+", new[a + shift :])[0])].lower())
+            shift += len(re.match(r"\w+", new[a + shift :])[0]) - (b - a)
+        assert all(len(x) == 1 for x in mapped.values())
+        surfaces = [x for s in mapped.values() for x in s]
+        assert len(set(surfaces)) == len(surfaces)
+        assert not set(surfaces) & {x for _, x in old}
+
+
 def test_rows(make_docs, odd_rows):
     rows = [*odd_rows, (50, TEXT), (51, TEXT)]
-    got = pii.surrogate_texts(make_docs(rows, ["kinds", "n_entities"])).collect()
+    got = pii.surrogate_texts(make_docs(rows, ["kinds", "n_entities"]), KEY).collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == len(rows)
     assert by[50].text == by[51].text != TEXT
     assert by[3].text is None
     assert all(by[i].text == t and by[i].n_entities == 0 for i, t in odd_rows)
+    from pyspark.sql import functions as F
+
+    odd = make_docs(rows, ["n_chars_counted"]).withColumn("n_chars", F.lit(-1).cast("long"))
+    assert {r.n_chars for r in pii.with_surrogates(odd, KEY).collect()} == {-1}
     docs = make_docs(rows, ["KINDS"])
-    out = pii.with_surrogates(docs)
+    out = pii.with_surrogates(docs, KEY)
     assert out.schema.simpleString() == docs.schema.simpleString()
     for r in out.collect():
         assert r.text == by[r.doc_id].text or r.doc_id is None
         assert r.n_chars == (None if r.text is None else len(r.text))
-    assert pii.surrogate_texts(make_docs([])).count() == 0
+    assert pii.surrogate_texts(make_docs([]), KEY).count() == 0
 
 
 def test_op10_query(spark, sf_dir):
