@@ -2,142 +2,160 @@
 
 from __future__ import annotations
 
-import html as entities
 import re
 from html.parser import HTMLParser
+from itertools import accumulate
 from urllib.parse import urljoin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loreweave.functions.text import ENTITIES, decode_entities
+from loreweave.functions.text import decode_entities
 
-# Element groups of the conversion.
-DROPPED = ["script", "style", "noscript", "svg", "nav", "footer", "header", "aside", "form", "iframe"]
-BLOCKS = ["p", "div", "section", "article", "ul", "ol", "table", "tr", "main", "body"]
+# Elements that go with their content, those that part paragraphs, and those that part lines.
+DROPPED = {"script", "style", "noscript", "template", "svg", "iframe", "head"}
+BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "aside", "nav", "form", "figure", "figcaption", "tr", "table", "ul", "ol", "dl", "dd", "dt", "body"}
+LINES = {"span", "label", "time", "small", "sup", "sub", "u"}
+# Fixed value: a main or article element with more characters of markup is the page's content.
 LEAST_MAIN = 400
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Navigation and forms, which the stricter conversion drops as well.
+CHROME = {"nav", "footer", "form", "button"}
+MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*", "del": "~~", "s": "~~"}
+_LANGUAGE = re.compile(r"(?i)\b(?:language|lang|brush)[-:]\s*([\w+#-]+)")
 
 
-def _inline(s: str) -> str:
-    return re.sub(r"<[^>]+>", " ", s).strip()
-
-
-def main_content(page: str) -> str:
-    """The first main or article element with more than 400 characters, else the body, else everything."""
-    for tag in ("main", "article"):
-        m = re.search(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", page)
-        if m and len(m[1]) > LEAST_MAIN:
-            return m[1]
-    m = re.search(r"(?is)<body\b[^>]*>(.*?)</body>", page)
-    return m[1] if m else page
-
-
-def _decode(s: str) -> str:
-    for name, char in ENTITIES:
-        s = s.replace(name, char)
-    return s
+class _Markdown(HTMLParser):
+    """Builds Markdown from tag events: an element's parts are gathered in a frame and wrapped when it ends.
 
+    Fences and formulas are set aside as numbered tokens, so that folding white
+    space leaves them alone. Elements left open end with their parent.
+    """
 
-def to_markdown(page: str | None, url: str | None = None) -> str:
-    """Markdown of a page's main content; preformatted blocks are set aside first and restored last."""
-    if not page:
-        return ""
-    s = re.sub(r"(?s)<!--.*?-->", " ", main_content(page))
-    s = re.sub(rf"(?is)<({'|'.join(DROPPED)})\b[^>]*>.*?</\1>", " ", s)
-    kept: list[str] = []
-
-    def fence(m):
-        lang = re.search(r"(?i)class=[\"'][^\"']*\b(?:language|lang|brush)[-:]\s*([\w+#-]+)", m[0])
-        code = _decode(re.sub(r"<[^>]+>", "", m[1]).replace("\r\n", "\n").replace("\r", "\n"))
-        code = re.sub(r"(?m)[ \t]+$", "", code).strip("\n")
-        kept.append(f"```{lang[1].lower() if lang else ''}\n{code}\n```")
-        return f"\0{len(kept) - 1}\0"
-
-    s = re.sub(r"(?is)<pre\b[^>]*>(.*?)</pre>", fence, s)
-    link = lambda x: urljoin(url, _decode(x.strip())) if url else x.strip()
-    rules = [
-        (r"(?is)<img\b[^>]*\bsrc=[\"']([^\"']*)[\"'][^>]*>", lambda m: f"![]({link(m[1])})"),
-        (r"(?is)<a\b[^>]*\bhref=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>", lambda m: f"[{_inline(m[2])}]({link(m[1])})"),
-        (r"(?is)<code\b[^>]*>(.*?)</code>", lambda m: f"`{_inline(m[1])}`"),
-        (r"(?is)<(strong|b)\b[^>]*>(.*?)</\1>", lambda m: f"**{m[2].strip()}**"),
-        (r"(?is)<(em|i)\b[^>]*>(.*?)</\1>", lambda m: f"*{m[2].strip()}*"),
-        (r"(?is)<(del|s)\b[^>]*>(.*?)</\1>", lambda m: f"~~{m[2].strip()}~~"),
-        (r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1>", lambda m: f"\n\n{'#' * int(m[1])} {m[2].strip()}\n\n"),
-        (r"(?is)<li\b[^>]*>(.*?)</li>", lambda m: f"\n- {m[1].strip()}"),
-        (r"(?is)<blockquote\b[^>]*>(.*?)</blockquote>", lambda m: "\n\n> " + m[1].strip().replace("\n", "\n> ") + "\n\n"),
-        (rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n\n"),
-        (r"(?i)<hr\b[^>]*>", "\n\n---\n\n"),
-        (r"(?i)<br\b[^>]*>", "\n"),
-        (r"<[^>]+>", " "),
-    ]
-    for pattern, made in rules:
-        s = re.sub(pattern, made, s)
-    s = re.sub(r"[\t\x0b\f\r ]+", " ", _decode(s).replace(" ", " "))
-    s = re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", s))
-    s = re.sub(r"(?m)^- \n", "", s)
-    s = re.sub(r"\0(\d+)\0", lambda m: f"\n\n{kept[int(m[1])]}\n\n", s)
-    return re.sub(r"\n{3,}", "\n\n", s).strip()
-
-
-class _Dom(HTMLParser):
-    """Markdown by events, for pages whose tags do not nest well enough for patterns."""
-
-    SKIP = {"script", "style", "noscript", "svg", "nav", "footer", "form"}
-
-    def __init__(self, url):
+    def __init__(self, page: str, url: str | None, dropped: set[str]):
         super().__init__(convert_charrefs=True)
-        self.url, self.out, self.skip, self.links, self.pre = url, [], 0, [], 0
+        self.url, self.dropped = url, dropped
+        self.lines = list(accumulate((len(x) for x in page.split("\n")), lambda a, n: a + n + 1, initial=0))
+        self.frames = [("", {}, [], 0)]  # tag, attributes, parts, where the content starts
+        self.skipped, self.kept, self.contents = [], [], {}
+        self.feed(page)
+        self.close()
+        while len(self.frames) > 1:
+            self._end(len(page))
+
+    def _offset(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _inside(self, *tags: str) -> bool:
+        return any(f[0] in tags for f in self.frames)
+
+    def _set_aside(self, text: str) -> str:
+        self.kept.append(text)
+        return f"\0{len(self.kept) - 1}\0"
+
+    def _link(self, target: str | None) -> str:
+        target = (target or "").strip()
+        return urljoin(self.url, target) if self.url else target
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag in self.SKIP:
-            self.skip += 1
-        elif self.skip:
-            return
-        elif re.fullmatch("h[1-6]", tag):
-            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag == "li":
-            self.out.append("\n- ")
-        elif tag == "a":
-            self.links.append(urljoin(self.url or "", a.get("href") or ""))
-            self.out.append("[")
-        elif tag == "pre":
-            self.pre += 1
-            self.out.append("\n\n```\n")
-        elif tag == "code" and not self.pre:
-            self.out.append("`")
-        elif tag == "br":
-            self.out.append("\n")
-        elif tag in BLOCKS:
-            self.out.append("\n\n")
+        if self.skipped:
+            if tag == "body" and self.skipped == ["head"]:
+                self.skipped = []  # a head that never ended
+            else:
+                self.skipped += [tag] * (tag == self.skipped[0])
+                return
+        attrs = dict(attrs)
+        if tag in self.dropped:
+            self.skipped = [tag]
+        elif tag in VOID:
+            self.frames[-1][2].append({"br": "\n", "hr": "\n\n---\n\n", "img": f"![]({self._link(attrs.get('src'))})" if attrs.get("src") else ""}.get(tag, " "))
+        else:
+            if tag in ("li", "tr", "dd", "dt", "p") and self.frames[-1][0] == tag:
+                self._end(self._offset())  # these end where the next of them begins
+            self.frames.append((tag, attrs, [], self._offset() + len(self.get_starttag_text() or "")))
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in self.SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif self.skip:
-            return
-        elif tag == "a" and self.links:
-            self.out.append(f"]({self.links.pop()})")
-        elif tag == "pre" and self.pre:
-            self.pre -= 1
-            self.out.append("\n```\n\n")
-        elif tag == "code" and not self.pre:
-            self.out.append("`")
-        elif tag in BLOCKS or re.fullmatch("h[1-6]", tag):
-            self.out.append("\n\n")
+        if self.skipped:
+            if tag == self.skipped[0]:
+                self.skipped.pop()
+        elif self._inside(tag):
+            while self.frames[-1][0] != tag:
+                self._end(self._offset())
+            self._end(self._offset())
 
     def handle_data(self, data):
-        if not self.skip:
-            self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
+        if not self.skipped:
+            self.frames[-1][2].append(data)
+
+    def _end(self, at: int) -> None:
+        tag, attrs, parts, start = self.frames.pop()
+        text = "".join(parts)
+        if tag in ("main", "article", "body") and (tag == "body" or at - start > LEAST_MAIN):
+            self.contents.setdefault(tag, text)
+        self.frames[-1][2].append(self._wrapped(tag, attrs, text))
+
+    def _wrapped(self, tag: str, attrs: dict, text: str) -> str:
+        if tag == "math" or self._inside("math"):
+            if tag == "annotation" and "tex" in (attrs.get("encoding") or ""):
+                return f"\0tex\0{text.strip()}\0tex\0"
+            if tag != "math" or "\0tex\0" not in text:
+                return text
+            mark = "$$" if attrs.get("display") == "block" else "$"
+            return self._set_aside(mark + text.split("\0tex\0")[1] + mark)
+        if tag == "pre":
+            code = re.sub(r"\r\n?", "\n", text)
+            named = re.search("\1([\\w+#-]*)\1", code) or _LANGUAGE.search(attrs.get("class") or "")
+            code = re.sub(r"(?m)[ \t]+$", "", re.sub("\1[\\w+#-]*\1", "", code)).strip("\n")
+            return self._set_aside(f"\n\n```{named[1].lower() if named else ''}\n{code}\n```\n\n")
+        if self._inside("pre"):
+            found = _LANGUAGE.search(attrs.get("class") or "") if tag == "code" else None
+            return f"\1{found[1]}\1{text}" if found else text
+        if self._inside("a", "code"):
+            return text  # plain inside links and code
+        if tag in MARKS:
+            return MARKS[tag] + text.strip() + MARKS[tag]
+        if tag == "a":
+            return f"[{text.strip()}]({self._link(attrs['href'])})" if attrs.get("href") else text
+        if tag == "code":
+            return f"`{text.strip()}`"
+        if tag == "li":
+            return f"\n- {text.strip()}"
+        if tag == "blockquote":
+            return "\n\n> " + text.strip().replace("\n", "\n> ") + "\n\n"
+        if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
+            return f"\n\n{'#' * int(tag[1])} {text.strip()}\n\n"
+        if tag in BLOCKS:
+            return f"\n\n{text}\n\n"
+        return f"\n{text}\n" if tag in LINES else text
+
+    def markdown(self) -> str:
+        """The first main, else article, with enough markup, else the body, else everything."""
+        text = next((self.contents[t] for t in ("main", "article", "body") if t in self.contents), "".join(self.frames[0][2]))
+        text = re.sub(r"[\t\x0b\f\r \xa0]+", " ", text)
+        text = re.sub(r"\n{3,}", "\n\n", re.sub(r" *\n *", "\n", text))
+        text = re.sub(r"(?m)^- \n", "", text)
+        text = re.sub(r"\0(\d+)\0", lambda m: self.kept[int(m[1])], text)
+        return re.sub(r"\n{3,}", "\n\n", text).strip()
+
+
+def _converted(page: str | None, url: str | None, dropped: set[str]) -> str:
+    return _Markdown(re.sub(r"[\0\1]", "", page), url, dropped).markdown() if page else ""
+
+
+def to_markdown(page: str | None, url: str | None = None) -> str:
+    """Markdown of a page's main content; navigation and forms are paragraphs like others."""
+    return _converted(page, url, DROPPED)
 
 
 def dom_markdown(page: str | None, url: str | None = None, most: int = 200_000) -> str:
-    """Markdown by a tag-event parser, links absolute, at most ``most`` characters."""
-    dom = _Dom(url)
-    dom.feed(page or "")
-    dom.close()
-    s = re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(dom.out))
-    return entities.unescape(re.sub(r"\n{3,}", "\n\n", s)).strip()[:most]
+    """As ``to_markdown`` without navigation and forms, at most ``most`` characters."""
+    return _converted(page, url, DROPPED | CHROME)[:most]
 
 
 def markdown(pages: DataFrame, parser=to_markdown) -> DataFrame:

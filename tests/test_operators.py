@@ -177,14 +177,29 @@ class TestContent:
         assert "## T & U" in dom
         assert "https://h.example/q?x=1&y=2" in dom
         long = "<main>" + "m" * 500 + "</main>"
-        assert html.main_content("<body>b" + long + "</body>") == "m" * 500
-        assert html.main_content("<body>b<main>s</main></body>") == "b<main>s</main>"
+        assert html.to_markdown("<body>b" + long + "</body>") == "m" * 500
+        assert html.to_markdown("<body>b<main>s</main></body>") == "b\n\ns"
+        assert html.to_markdown("<head><title>t</title></head><nav>n</nav><p>x<template>y</template></p><footer>f</footer>") == "n\n\nx\n\nf"
+        assert html.dom_markdown("<nav>n</nav><p>x</p><footer>f</footer>") == "x"
+        assert html.to_markdown("<p>a <em>b <strong>c</em> d<ul><li>one<li>two</ul>&lt;x&gt; <br>y<hr>z").endswith("- one\n- two\n\n<x>\ny\n\n---\n\nz")
+        assert html.to_markdown('<pre class="brush: c++">x\r\n  *y*  </pre>') == "```c++\nx\n  *y*\n```"
+        assert html.to_markdown("<blockquote>a<br>b</blockquote><img src='i.png'>", "https://h.example/") == "> a\n> b\n\n![](https://h.example/i.png)"
+        assert html.to_markdown('e <math><mi>x</mi><annotation encoding="application/x-tex">x^2</annotation></math> f') == "e $x^2$ f"
+        assert html.to_markdown("<div>" * 3000 + "deep") == "deep"
 
     def test_code(self, spark):
         java = "package x;\npublic class Foo {\n  private static final int MAX_N = 3;\n  public\n  String bar(int a) {\n  }\n}\n"
         assert set(code.symbols_of(java, "java")) == {("class", "Foo", 2), ("const", "MAX_N", 3), ("method", "bar", 5)}
         assert code.symbols_of("class A:\n    def f(self):\n        pass\nLIMIT = 1", "python") == [("class", "A", 1), ("function", "f", 2), ("const", "LIMIT", 4)]
         assert ("function", "go", 1) in code.symbols_of("const go = async (x) => 1", "js")
+        js = "export class A extends B {\n  async load(x, y = (1)) {\n    if (x) { return call(x) }\n  }\n}\nfunction f(a) {}\nlet g = function () {}\nvar h = x => x\nconst LIMIT_A = 3;\nconst t = f(1)\nexport default function main() {}"
+        assert set(code.symbols_of(js, "ts")) == {("class", "A", 1), ("method", "load", 2), ("function", "f", 6), ("function", "g", 7), ("function", "h", 8), ("const", "LIMIT_A", 9), ("function", "main", 11)}
+        assert set(code.symbols_of("type T struct {}\nfunc (t *T) Run(a int) error {\n}\nfunc Top() {}\nstruct P { int x; };\nenum E { A }", "go")) == {("function", "Run", 2), ("function", "Top", 4), ("class", "P", 5), ("enum", "E", 6)}
+        assert set(code.symbols_of("interface I { }\nrecord R(int a) { }\npublic final class K<T> {\n  protected Map<String, T> of(T t) throws X { x = g(1); }\n}", "java")) == {("interface", "I", 1), ("record", "R", 2), ("class", "K", 3), ("method", "of", 4)}
+        assert code.symbols_of("deploy() {\n}\nfunction build() {\n}\n", "sh") == [("function", "deploy", 1), ("function", "build", 3)]
+        assert code.symbols_of("create or replace view a.v as select 1;\nCREATE TABLE t (x int);", "sql") == [("function", "a.v", 1), ("function", "t", 2)]
+        assert code.symbols_of("async def a(x): pass\n# class No\nX_Y = 1", "py") == [("function", "a", 1), ("const", "X_Y", 3)]
+        assert code.symbols_of(None, None) == code.symbols_of("", "java") == []
         rows = [("a/node_modules/x.js", "x", "ignored directory"), ("yarn.lock", "x", "lock or system file"), ("a.min.js", "x", "minified"), ("a.png", "x", "binary"), ("a.py", None, "unreadable"), ("a.py", " \n", "empty"), ("a.py", "x\0y", "binary content"), ("a.py", "x", None)]
         df = spark.createDataFrame(rows, "path string, text string, want string")
         from pyspark.sql import functions as F
