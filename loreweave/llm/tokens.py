@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import weakref
+from array import array
 
 import numpy as np
 
@@ -29,6 +31,11 @@ MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c !=
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _REST = [b for b in range(256) if b not in _PLAIN]
 BYTE_CHARS = str.maketrans({b: chr(256 + i) for i, b in enumerate(_REST)})
+SPACE_CHAR = " ".translate(BYTE_CHARS)
+
+
+#: Fixed value: the pre-tokens of ASCII texts under the byte-level pattern.
+ASCII_PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+").findall
 
 
 class Whole(Exception):
@@ -62,12 +69,29 @@ class Memory(dict):
         if found is None:
             found = self.encode(chunk)
         if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[chunk] = found
+            self.keep(chunk, found)
         return found
 
+    def keep(self, chunk: str, found) -> None:
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = found
+
+
+class Words(Memory):
+    """A memory that puts a word with marks behind it together from both, and keeps the word alone."""
+
+    def __init__(self, encode, marks: Memory | None, size: int = GENERATION):
+        super().__init__(encode, size)
+        self.marks = self if marks is None else marks
+
+    def __missing__(self, chunk: str):
+        word = chunk.rstrip(MARKS)
+        if len(word) < len(chunk) and word.isalpha():
+            return self[word] + self.marks[chunk[len(word) :]]
+        return super().__missing__(chunk)
+
 
 class Chunks:
     """Cuts texts for pre-token patterns of letters, digits and marks with, at most, one space before.
@@ -77,15 +101,11 @@ class Chunks:
     """
 
     def __init__(self, size: int = GENERATION):
-        self.bare, self.spaced = Memory(self._bare, size), Memory(self._spaced, size)
+        self.bare = Words(self._bare, None, size)
+        self.spaced = Words(self._spaced, self.bare, size)
 
     def _bare(self, chunk: str) -> bytes:
-        if chunk.isalpha():
-            return self.letters(chunk, "")
-        word = chunk.rstrip(MARKS)
-        if word.isalpha():
-            return self.bare[word] + self.bare[chunk[len(word) :]]
-        return self.whole(chunk)
+        return self.letters(chunk, "") if chunk.isalpha() else self.whole(chunk)
 
     def _spaced(self, chunk: str) -> bytes:
         """A chunk that follows one space and so begins a pre-token with it."""
@@ -93,9 +113,6 @@ class Chunks:
             return self.letters(chunk, " ")
         if not chunk or chunk[0].isspace() or chunk[0] == "᠎":
             raise Whole
-        word = chunk.rstrip(MARKS)
-        if word.isalpha():
-            return self.spaced[word] + self.bare[chunk[len(word) :]]
         return self.whole(" " + chunk)
 
     def spaces_dropped(self, text: str) -> bytes:
@@ -117,7 +134,9 @@ class Encoder(Chunks):
     """``packed(text)``: ids by the tokenizers library as little-endian ``dtype`` integers.
 
     An unknown run of letters, which is one pre-token, goes to the library's BPE
-    model alone, any other unknown chunk to its full encoding.
+    model alone, as do the pre-tokens of ASCII chunks under the byte-level pattern;
+    any other unknown chunk goes to its full encoding. The strings of special tokens
+    are ordinary text, as the tokenizer files' description sets the library.
     """
 
     def __init__(self, path: str):
@@ -127,6 +146,7 @@ class Encoder(Chunks):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 65536 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -134,13 +154,16 @@ class Encoder(Chunks):
         self.normalize = self.library.normalizer.normalize_str if spec.get("normalizer") else None
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not self.normalize:
             self.packed = self.spaces_kept
+            self.pre_tokens = Memory(self._pre_token, GENERATION // 4)
         elif pre.get("type") == "Sequence" and any(p.get("type") == "Split" and p.get("behavior") == "Removed" and p.get("invert") for p in pre["pretokenizers"]):
             self.packed = self.spaces_dropped
         else:
             self.packed = self.whole
 
     def whole(self, text: str) -> bytes:
-        """The library's ids of a text in one go."""
+        """The library's ids of a text, where it is not cut into known pre-tokens in one go."""
+        if self.packed == self.spaces_kept and len(text) <= LONGEST_KEPT and text.isascii() and not any(c in text for c in SEPARATORS):
+            return b"".join(map(self.pre_tokens.__getitem__, ASCII_PRE_TOKENS(text)))
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def letters(self, word: str, space: str) -> bytes:
@@ -150,8 +173,16 @@ class Encoder(Chunks):
                 return self.whole(word)
             if lower != word:
                 return self.bare[lower]
-        chunk = space + word if word.isascii() else (space + word).encode().decode("latin-1")
-        return np.asarray([t.id for t in self.model.tokenize(chunk.translate(BYTE_CHARS))], self.dtype).tobytes()
+        if word.isascii():
+            return self._modelled(SPACE_CHAR + word if space else word)
+        return self._pre_token(space + word)
+
+    def _pre_token(self, pre_token: str) -> bytes:
+        return self._modelled(pre_token.encode().decode("latin-1").translate(BYTE_CHARS))
+
+    def _modelled(self, symbols: str) -> bytes:
+        """Ids by the BPE model of a pre-token whose bytes are written as characters."""
+        return array(self.code, [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
 
 @functools.cache
@@ -162,5 +193,5 @@ def _encoder(path: str) -> Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each file and worker process."""
     found = _encoder(path)
-    Memory.only(found.bare, found.spaced)
+    Memory.only(found.bare, found.spaced, getattr(found, "pre_tokens", found.bare))
     return found
