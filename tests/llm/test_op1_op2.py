@@ -115,16 +115,26 @@ def test_very_long_pre_tokens(multi):
         assert ours.encode(text) == theirs.encode_ordinary(text)
 
 
+def test_many_pre_tokens_at_once(multi):
+    ours, theirs = multi
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abeinrst"), n)) for n in rng.integers(0, 30, 4000)] + ["abab" * 9, "é" * 11, ""]
+    packed = ours.merge([w.encode() for w in words])
+    assert [np.frombuffer(p, "<u4").tolist() for p in packed] == [theirs.encode_ordinary(w) for w in words]
+
+
 def test_rank_queue():
     q = bytebpe.RankQueue(300_000)
     rng = np.random.default_rng(2)
-    held = [(int(r), int(p)) for r, p in zip(rng.integers(0, 300_000, 3000), rng.integers(0, 99, 3000), strict=True)]
-    for r, p in held:
-        q.push(r, p)
+    ranks = sorted({int(r) for r in rng.integers(0, 300_000, 3000)})
+    for r in rng.permutation(ranks).tolist():
+        q.put(r, [r])
     out = []
     while (r := q.first()) >= 0:
-        out.append((r, q.pop(r)))
-    assert out == sorted(held)
+        out.append(r)
+        assert q.buckets[r] == [r]
+        q.drop(r)
+    assert out == ranks
     assert q.first() == -1
 
 
@@ -141,3 +151,23 @@ def test_op2_rows(make_docs, odd_rows, multi):
     whole = bytebpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
     assert sorted(bytes(r.decoded) for r in whole) == sorted((t or "").encode() for _, t in odd_rows)
     assert bytebpe.encode_digests(make_docs([]), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_op2_query(spark, sf_dir, multi):
+    _, theirs = multi
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        ids = theirs.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), sha(np.asarray(ids, "<u4").tobytes()), sha((r.text or "").encode())))
+    assert sorted(map(tuple, bytebpe.op2(spark, sf_dir).collect())) == sorted(want)
+
+
+def test_letters_are_the_libraries():
+    """Cutting by str.isalpha rests on letters never joining a neighbour of another kind."""
+    codec = encoder(P.path("byte_bpe_50k.json"))
+    for at in range(0, 0x110000, 512):
+        chars = [c for c in map(chr, range(at, at + 512)) if not 0xD800 <= ord(c) < 0xE000]
+        text = " ".join(f"a{c}b{c}" for c in chars)
+        if text:
+            assert np.frombuffer(codec.packed(text), codec.dtype).tolist() == ids_of("byte_bpe_50k.json", text), hex(at)
