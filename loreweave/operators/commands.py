@@ -151,7 +151,9 @@ def execute(spark: SparkSession, definition: dict, commands: dict[str, Command])
                 joined.append(source.select(_field(source, path).alias(name)))
             else:
                 _need(not path, "$pluck takes the rows of a step")
-                joined.append(source.limit(MOST_PAGED_ROWS).agg(F.collect_list(_field(source, pluck)).alias(name)))
+                some = source.select(_field(source, pluck).alias(name)).limit(MOST_PAGED_ROWS + 1)
+                _need(some.count() <= MOST_PAGED_ROWS, f"{step} has more than {MOST_PAGED_ROWS} rows", "pagination_limit")
+                joined.append(some.agg(F.collect_list(name).alias(name)))
             return F.col(name)
 
         columns = {k: _column(v, item, attach) for k, v in s.get("input", {}).items()}

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreweave.operators import rank
 from loreweave.operators.graph import DERIVED_SHARE, merge_triples
 
+#: Questions that meet all rows in one pass; the size of what is broadcast.
+ROUND = 2_000
+
 # Cues of questions about the whole corpus.
 OVERVIEW_CUES = ["整体", "全局", "概览", "全貌", "脉络", "哪些方面", "学了什么", "学了哪些", "主要主题", "主要方向", "涵盖", "覆盖了", "overview", "main themes"]
 SQUASH = r"[\s*_`>#\-]+"
@@ -35,20 +39,39 @@ def supported(rel: DataFrame, sources: DataFrame) -> DataFrame:
     return cited.join(body, "source_ref").filter((F.char_length(squash(F.col("evidence"))) >= 6) & F.contains("_body", squash(F.col("evidence")))).drop("_body")
 
 
-def graph_evidence(rel: DataFrame, concepts: DataFrame, sources: DataFrame, most: int = 24) -> DataFrame:
+# Concepts, edges and sources of a question that graph evidence takes, and the characters around a quote.
+MOST_CONCEPTS, MOST_EDGES, MOST_SOURCES, BEFORE, BEHIND = 12, 60, 24, 180, 240
+
+
+def graph_evidence(rel: DataFrame, concepts: DataFrame, sources: DataFrame, most: int = MOST_SOURCES) -> DataFrame:
     """``question_id, source_ref, score, rank``: cited sources of edges at a question's concepts, bridges first.
 
-    An edge between two concepts counts 2, one at a single concept 1, plus a tenth of its weight.
+    An edge between two concepts counts 2, one at a single concept 1, plus a
+    tenth of its weight. Of a question's concepts the first twelve by identifier
+    count (by ``place`` where there is one), of their edges the best sixty.
     """
-    ends = concepts.select("question_id", F.col("id"))
-    a = rel.join(ends.withColumnRenamed("id", "head"), "head").select("question_id", *rel.columns)
-    b = rel.join(ends.withColumnRenamed("id", "tail"), "tail").select("question_id", *rel.columns)
-    touched = a.unionByName(b).groupBy("question_id", "head", "relation", "tail").agg(F.count("*").alias("_sides"), F.first("evidence").alias("evidence"), F.first("sources").alias("sources"), F.max("weight").alias("weight"))
-    scored = supported(touched, sources).withColumn("_s", F.least(F.col("_sides"), F.lit(2)) + 0.1 * F.col("weight"))
+    place = F.col("place") if "place" in concepts.columns else F.lit(0)
+    ends = concepts.groupBy("question_id", "id").agg(F.min(place).alias("_p"))
+    ends = ends.withColumn("_n", F.row_number().over(Window.partitionBy("question_id").orderBy("_p", "id"))).filter(F.col("_n") <= MOST_CONCEPTS).select("question_id", "id")
+    edge = ["question_id", "head", "relation", "tail"]
+    a = rel.join(ends.withColumnRenamed("id", "head"), "head").select("question_id", *rel.columns, F.lit(1).alias("_side"))
+    b = rel.join(ends.withColumnRenamed("id", "tail"), "tail").select("question_id", *rel.columns, F.lit(2).alias("_side"))
+    quote = F.struct("weight", "evidence", "sources")
+    touched = a.unionByName(b).groupBy(*edge).agg(F.count_distinct("_side").alias("_sides"), F.max(quote).alias("_q")).select(*edge, "_sides", "_q.*")
+    order = Window.partitionBy("question_id").orderBy(F.desc("_sides"), F.desc("weight"), "head", "relation", "tail")
+    touched = touched.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= MOST_EDGES)
+    scored = supported(touched, sources).withColumn("_s", F.col("_sides") + 0.1 * F.col("weight"))
     best = scored.groupBy("question_id", "source_ref").agg(F.round(F.max("_s"), 6).alias("score"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "source_ref"))).filter(F.col("rank") <= most)
 
 
+def quote_window(text: Column, quote: Column) -> Column:
+    """The text around a quote that stands in it word for word: 180 characters before its begin to 240 behind its end, else null."""
+    at = F.position(quote, text)
+    first = F.greatest(at - BEFORE, F.lit(1))
+    return F.when((at > 0) & (quote != ""), F.substr(text, first, at - first + F.char_length(quote) + BEHIND))
+
+
 def expand_terms(rel: DataFrame, concepts: DataFrame, names: DataFrame, questions: DataFrame, most: int = 6) -> DataFrame:
     """``question_id, name``: names one hop away, of 2 to 24 characters, not in the question."""
     walk = rel.select(F.col("head").alias("id"), F.col("tail").alias("next"), "weight").unionByName(rel.select(F.col("tail").alias("id"), F.col("head").alias("next"), "weight"))
@@ -60,12 +83,14 @@ def expand_terms(rel: DataFrame, concepts: DataFrame, names: DataFrame, question
 def global_summaries(summaries: DataFrame, questions: DataFrame, most: int = 6) -> DataFrame:
     """``question_id, community, score, rank``: ten for each named member, one for each term in the summary, then size.
 
-    ``summaries``: community, members, summary, size; ``questions``: question_id, question, terms (both small by contract).
+    ``summaries``: community, members, summary, size; ``questions``: question_id,
+    question, terms, a stated set that meets all summaries in rounds.
     """
     low = F.lower("question")
     member = F.size(F.filter("members", lambda m: F.contains(low, F.lower(m))))
     term = F.size(F.filter("terms", lambda t: F.contains(F.lower("summary"), F.lower(t))))
-    s = questions.join(summaries).select("question_id", "community", "size", (10 * member + term).cast("long").alias("score"))
+    met = lambda some: summaries.crossJoin(F.broadcast(some)).select("question_id", "community", "size", (10 * member + term).cast("long").alias("score"))
+    s = rank.in_rounds(questions, "question_id", ROUND, met)
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("size"), "community"))).filter(F.col("rank") <= most).drop("size")
 
 
@@ -106,10 +131,11 @@ def wiki_sections_channel(sections: DataFrame, questions: DataFrame, most: int =
     """``question_id, page_id, section, score, rank``: three for each term in the body, two in the heading, one in the name.
 
     The best section of each page comes first, then second ones. ``questions``
-    carries ``terms``; it is a stated set that meets all sections.
+    carries ``terms``; it is a stated set that meets all sections in rounds.
     """
     count = lambda c: F.size(F.filter("terms", lambda t: F.contains(F.lower(c), F.lower(t))))
-    s = sections.join(F.broadcast(questions)).withColumn("score", 3 * count("body") + 2 * count("heading") + count("name")).filter("score > 0")
+    met = lambda some: sections.crossJoin(F.broadcast(some)).withColumn("score", 3 * count("body") + 2 * count("heading") + count("name")).filter("score > 0")
+    s = rank.in_rounds(questions, "question_id", ROUND, met)
     w = Window.partitionBy("question_id", "page_id").orderBy(F.desc("score"), "section")
     two = s.withColumn("_n", F.row_number().over(w)).filter("_n <= 2")
     order = Window.partitionBy("question_id").orderBy("_n", F.desc("score"), "page_id", "section")

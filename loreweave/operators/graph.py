@@ -100,13 +100,30 @@ def name_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.6).when(sim >= 0.75, sim).otherwise(0.0)
 
 
+# Fixed value: characters of evidence that a triple keeps.
+EVIDENCE_CHARS = 480
+
+
+def normal_weight(weight: Column) -> Column:
+    """The weight of a new triple: one where it is not positive or beyond one."""
+    return F.when((weight <= 0) | (weight > 1), 1.0).otherwise(weight)
+
+
 def merge_triples(rows: DataFrame) -> DataFrame:
-    """One row per (head, relation, tail): first non-blank evidence by id, union of sources, largest weight."""
-    evidence = F.when(F.trim(F.coalesce("evidence", F.lit(""))) != "", F.col("evidence"))
-    weight = F.when(F.col("weight") <= 0, 1.0).otherwise(F.least(F.col("weight"), F.lit(1.0)))
-    return rows.groupBy("head", "relation", "tail").agg(
-        F.min_by(evidence, F.when(evidence.isNotNull(), F.col("id"))).alias("evidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), F.max(weight).alias("weight")
+    """One row per (head, relation, tail): first non-blank evidence by id, union of sources, weight.
+
+    The row with the smallest id makes the triple, its weight normalised; a later
+    row only raises it, and its weight counts as it is. Of rows with that id the
+    lightest is the first and the others do not count.
+    """
+    key = ["head", "relation", "tail"]
+    evidence = F.when(F.trim(F.coalesce("evidence", F.lit(""))) != "", F.substring("evidence", 1, EVIDENCE_CHARS))
+    merged = rows.groupBy(*key).agg(
+        F.min_by(evidence, F.when(evidence.isNotNull(), F.struct("id", evidence))).alias("evidence"), F.array_sort(F.flatten(F.collect_set(F.coalesce("sources", F.array().cast("array<string>"))))).alias("sources"), F.min(F.struct("id", "weight")).alias("_first")
     )
+    later = rows.select(*key, "id", "weight").join(merged.select(*key, F.col("_first.id").alias("_id")), key).filter("id > _id").groupBy(*key).agg(F.max("weight").alias("_later"))
+    weight = F.greatest(normal_weight(F.col("_first.weight")), "_later")
+    return merged.join(later, key, "left").select(*key, "evidence", F.array_distinct("sources").alias("sources"), weight.alias("weight"))
 
 
 def symmetric_closure(rel: DataFrame) -> DataFrame:
@@ -123,7 +140,7 @@ def transitive_closure(rel: DataFrame, rounds: int = 2) -> DataFrame:
     does not hang on row order. Relations of small diameter end early.
     """
     key = ["head", "relation", "tail"]
-    edges = rel.filter(F.col("relation").isin(TRANSITIVE)).groupBy(*key).agg(F.max("weight").alias("weight")).persist()
+    edges = rel.filter(F.col("relation").isin(TRANSITIVE)).groupBy(*key).agg(F.max("weight").alias("weight"))
     known, front, derived = edges, edges, None
     for _ in range(rounds):
         step = front.select(F.col("head"), "relation", F.col("tail").alias("mid"), F.col("weight").alias("wa")).join(known.select(F.col("head").alias("mid"), "relation", "tail", F.col("weight").alias("wb")), ["relation", "mid"])
@@ -141,7 +158,7 @@ def k_hop(rel: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """
     out = rel.select("head", "relation", "tail", F.col("head").alias("at"), F.col("tail").alias("next"))
     back = rel.filter(F.col("relation").isin(SYMMETRIC)).select("head", "relation", "tail", F.col("tail").alias("at"), F.col("head").alias("next"))
-    walk = out.unionByName(back).persist()
+    walk = out.unionByName(back)
     front = seeds.select(F.col("id").alias("seed"), F.col("id").alias("at")).distinct()
     visited, rows = front, None
     for hop in range(1, hops + 1):
@@ -154,7 +171,7 @@ def k_hop(rel: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
 
 def shortest_paths(rel: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
     """``source, target, length``: unweighted undirected distance of stated pairs, up to ``most`` steps."""
-    walk = rel.select(F.col("head").alias("at"), F.col("tail").alias("next")).unionByName(rel.select(F.col("tail").alias("at"), F.col("head").alias("next"))).distinct().persist()
+    walk = rel.select(F.col("head").alias("at"), F.col("tail").alias("next")).unionByName(rel.select(F.col("tail").alias("at"), F.col("head").alias("next"))).distinct()
     front = pairs.select("source", F.col("source").alias("at")).distinct()
     visited = front.withColumn("length", F.lit(0))
     for step in range(1, most + 1):
@@ -180,8 +197,9 @@ def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0
     return part.agg(F.round(F.sum(term), 9).alias("modularity"))
 
 
-def _local_move(n, nbrs, degree, gamma, rng, loops):
-    comm, total, m2 = list(range(n)), list(degree), sum(degree)
+def _local_move(n, nbrs, degree, gamma, rng, m2):
+    """Communities by moving nodes while modularity rises; ``m2``: the degrees of the whole graph, of which this may be a part."""
+    comm, total = list(range(n)), list(degree)
     if m2 <= 0:
         return comm
     for _ in range(64):
@@ -223,7 +241,7 @@ def leiden(n: int, edges: list[tuple[int, int, float]], gamma: float = 1.0, seed
     for _ in range(24):
         k = len(nbrs)
         degree = [sum(x.values()) + x.get(v, 0.0) for v, x in enumerate(nbrs)]
-        comm = _local_move(k, nbrs, degree, gamma, rng, True)
+        comm = _local_move(k, nbrs, degree, gamma, rng, sum(degree))
         groups: dict[int, list[int]] = {}
         for v, c in enumerate(comm):
             groups.setdefault(c, []).append(v)
@@ -231,7 +249,7 @@ def leiden(n: int, edges: list[tuple[int, int, float]], gamma: float = 1.0, seed
         for members in groups.values():
             at = {v: i for i, v in enumerate(members)}
             inner = [{at[u]: w for u, w in nbrs[v].items() if u in at} for v in members]
-            sub = _local_move(len(members), inner, [degree[v] for v in members], gamma, rng, False)
+            sub = _local_move(len(members), inner, [degree[v] for v in members], gamma, rng, sum(degree))
             names: dict[int, int] = {}
             for v in members:
                 fine[v] = count + names.setdefault(sub[at[v]], len(names))
@@ -276,22 +294,31 @@ def rollup_communities(edges: DataFrame, member: DataFrame) -> DataFrame:
     return ends.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("ca") <= F.col("cb"), 1).otherwise(0)).alias("forward"))
 
 
+#: Proposals that one round of ``degree_cap`` looks at.
+PROPOSALS_PER_ROUND = 2_000
+
+
 def degree_cap(proposals: DataFrame, per_node: int = 3, most: int = 30) -> DataFrame:
-    """Edges in order of ``ordinal``, each accepted while both ends have fewer than ``per_node``; at most ``most``.
+    """Edges in order of ``ordinal, a, b``, each accepted while both ends have fewer than ``per_node``; at most ``most``.
 
-    A greedy choice over one proposal list, which is short by contract.
+    A greedy choice over all proposals, however many: a round takes the first of
+    those between nodes that still have room. Each accepts one edge at least, so
+    there are at most ``most`` rounds, and at most 2 * most nodes are full.
     """
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("ordinal")
-        count, keep = {}, []
-        for i, (a, b) in enumerate(zip(group["a"].to_pylist(), group["b"].to_pylist(), strict=True)):
-            if len(keep) < most and a != b and count.get(a, 0) < per_node and count.get(b, 0) < per_node:
-                keep.append(i)
-                count[a], count[b] = count.get(a, 0) + 1, count.get(b, 0) + 1
-        return group.take(keep)
-
-    return proposals.groupBy().applyInArrow(run, proposals.schema)
+    left, degree, kept = proposals.filter("a <> b"), {}, []
+    while len(kept) < most:
+        full = [x for x, n in degree.items() if n >= per_node]
+        room = left.filter(~F.col("a").isin(full) & ~F.col("b").isin(full)) if full else left
+        batch = room.orderBy("ordinal", "a", "b").limit(PROPOSALS_PER_ROUND).collect()
+        for row in batch:
+            if len(kept) < most and max(degree.get(row.a, 0), degree.get(row.b, 0)) < per_node:
+                kept.append(row)
+                degree[row.a], degree[row.b] = degree.get(row.a, 0) + 1, degree.get(row.b, 0) + 1
+        if len(batch) < PROPOSALS_PER_ROUND:
+            break
+        last = batch[-1]
+        left = left.filter(F.struct("ordinal", "a", "b") > F.struct(F.lit(last.ordinal), F.lit(last.a), F.lit(last.b)))
+    return proposals.sparkSession.createDataFrame(kept, proposals.schema)
 
 
 def tree_paths(tree: DataFrame, most: int = 16) -> DataFrame:

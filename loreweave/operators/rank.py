@@ -6,6 +6,9 @@ partitioned by them, so all questions are ranked in one distributed plan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +17,13 @@ from pyspark.sql import functions as F
 from loreweave.config import Config
 
 
+def in_rounds(asked: DataFrame, key: str, most: int, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The union of ``answer`` over rounds of at most about ``most`` rows of ``asked``, whose size may then be broadcast."""
+    rounds = max(1, -(-asked.count() // most))
+    parts = [asked.filter(F.pmod(F.xxhash64(key), F.lit(rounds)) == turn) if rounds > 1 else asked for turn in range(rounds)]
+    return reduce(lambda a, b: a.unionByName(b), map(answer, parts))
+
+
 def top(hits: DataFrame, by: list[str], order: list[Column], limit: int, rank: str = "rank") -> DataFrame:
     """The first ``limit`` hits of each question, numbered from 1."""
     return hits.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= limit)
@@ -63,15 +73,29 @@ def budget_stop(ranked: DataFrame, by: list[str], cost: str, budget: int, rank:
 def budget_skip(ranked: DataFrame, by: list[str], cost: str, budget: int, rank: str = "rank", most: int | None = None) -> DataFrame:
     """Items in order, each taken if it still fits; one that does not is skipped.
 
-    A fold over each question's ordered (rank, cost) pairs decides; only those
-    two numbers are gathered, the rows themselves are joined back by rank.
+    The items of a question stream in order past a running total, one pair of
+    numbers a question, so its list is never gathered; what is taken is joined
+    back by rank. An item without a cost fits nowhere.
     """
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(rank).cast("long").alias("r"), F.col(cost).cast("long").alias("c"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
-    fits = lambda s, x: (s.used + x.c <= budget) & ((F.size(s.taken) < most) if most else F.lit(True))
-    step = lambda s, x: F.when(fits(s, x), F.struct((s.used + x.c).alias("used"), F.concat(s.taken, F.array(x.r)).alias("taken"))).otherwise(s)
-    taken = ranked.groupBy(*by).agg(F.aggregate(pairs, start, step).alias("s")).select(*by, F.explode("s.taken").alias(rank))
-    return ranked.join(taken, [*by, rank], "left_semi")
+    types = dict(ranked.dtypes)
+    ordered = ranked.select(*by, F.col(rank).cast("long").alias("_r"), F.col(cost).cast("long").alias("_c")).repartition(*by).sortWithinPartitions(*by, "_r")
+    fields = ", ".join(f"`{c}` {types[c]}" for c in by)
+
+    def run(batches):
+        current, used, count = None, 0, 0
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(by))), strict=True))
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (k, c) in enumerate(zip(keys, batch.column(len(by) + 1).to_pylist(), strict=True)):
+                if k != current:
+                    current, used, count = k, 0, 0
+                if c is not None and used + c <= budget and (most is None or count < most):
+                    keep[i], used, count = True, used + c, count + 1
+            yield batch.filter(pa.array(keep)).select([*by, "_r"])
+
+    taken = ordered.mapInArrow(run, f"{fields}, _r long")
+    same = [ranked[c].eqNullSafe(taken[c]) for c in by] + [ranked[rank].cast("long") == taken["_r"]]
+    return ranked.join(taken, same, "left_semi")
 
 
 def nearest_rank(values: DataFrame, by: list[str], value: str, percent: int) -> DataFrame:

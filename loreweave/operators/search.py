@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ TERMS_PER_PASS = 200_000
 RUN = re.compile("[a-z0-9_.+#-]+|[\u4e00-\u9fa5]+")
 #: Runs that a task remembers with the terms in them.
 RUNS_KEPT = 200_000
+#: Query vectors that meet the vectors in one pass; the size of what is broadcast.
+VECTORS_PER_ROUND = 2_000
 #: Questions scored in one pass over the passages.
 QUESTIONS_PER_ROUND = 5_000
 SOURCE = ["source_type", "source_id"]
@@ -52,10 +55,10 @@ def term_hits(passages: DataFrame, terms: DataFrame) -> DataFrame:
         part = terms if passes == 1 else terms.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == turn)
         words = [r.term for r in part.collect()]  # bounded by TERMS_PER_PASS
         if not words:
-            return passages.sparkSession.createDataFrame([], schema)
+            continue
         found = _scan(passages, words, schema)
         hits = found if hits is None else hits.unionByName(found)
-    return hits
+    return passages.sparkSession.createDataFrame([], schema) if hits is None else hits
 
 
 def _scan(passages: DataFrame, words: list[str], schema: str) -> DataFrame:
@@ -150,7 +153,7 @@ def _scored(passages: DataFrame, asked: list, cfg: Config | None) -> DataFrame:
             return found
 
         least = np.ones(len(ids), np.int64)  # a lower score can no longer count for a question
-        held, sizes = None, len(ids)
+        held = None
         rows: list[tuple] = []
 
         def frame() -> pd.DataFrame:
@@ -173,13 +176,15 @@ def _scored(passages: DataFrame, asked: list, cfg: Config | None) -> DataFrame:
                 hit = in_title | in_body
                 if not hit:
                     continue
-                score = np.bincount(np.concatenate([members[i] for i in hit]), minlength=sizes) * 3
-                if both := in_title & in_body:
-                    score = score + 2 * np.bincount(np.concatenate([members[i] for i in both]), minlength=sizes)
-                some = np.nonzero(score >= least)[0]
-                if len(some):
-                    rows.append((some, score[some], (kind, source, seq)))
-                    waiting += len(some)
+                # only the questions of matched terms are touched, however many there are
+                touched = np.concatenate([members[i] for i in hit])
+                worth = np.repeat([5 if i in in_title and i in in_body else 3 for i in hit], [len(members[i]) for i in hit])
+                some, place = np.unique(touched, return_inverse=True)
+                score = np.bincount(place, worth).astype(np.int64)
+                can = score >= least[some]
+                if can.any():
+                    rows.append((some[can], score[can], (kind, source, seq)))
+                    waiting += int(can.sum())
                 if cfg and waiting >= 50_000:
                     prune()
                     waiting = 0
@@ -215,9 +220,16 @@ def vector_channel(vectors: DataFrame, queries: DataFrame, cfg: Config | None =
     if fresh is not None:
         vectors = vectors.join(fresh.select(*PASSAGE, "chunk_text"), [*PASSAGE, "chunk_text"], "left_semi")
     v = vectors.filter(vector.is_valid(F.col("vec"))).withColumn("_norm", vector.norm(F.col("vec")))
-    q = queries.filter(vector.is_valid(F.col("vec"))).select("question_id", F.col("vec").alias("_q"), vector.norm(F.col("vec")).alias("_qnorm"), *(["embedding_space"] if "embedding_space" in queries.columns else []))
-    on = (F.size("vec") == F.size("_q")) & ((v.embedding_space == q.embedding_space) if "embedding_space" in queries.columns else F.lit(True))
-    scored = v.join(q, on).select("question_id", *PASSAGE, vector.cosine(F.col("vec"), F.col("_q"), F.col("_norm"), F.col("_qnorm")).alias("score")).filter(F.col("score") >= cfg.vector_min_score)
+    spaces = ["embedding_space"] if "embedding_space" in queries.columns else []
+    q = queries.filter(vector.is_valid(F.col("vec"))).select("question_id", F.col("vec").alias("_q"), vector.norm(F.col("vec")).alias("_qnorm"), *[F.col(c).alias(f"_{c}") for c in spaces])
+
+    def scores(some: DataFrame) -> DataFrame:
+        """Each vector meets the queries of a round, which are broadcast, where it is read."""
+        same = [F.size("vec") == F.size("_q"), *[F.col(c) == F.col(f"_{c}") for c in spaces]]
+        met = v.crossJoin(F.broadcast(some)).filter(reduce(lambda a, b: a & b, same))
+        return met.select("question_id", *PASSAGE, vector.cosine(F.col("vec"), F.col("_q"), F.col("_norm"), F.col("_qnorm")).alias("score")).filter(F.col("score") >= cfg.vector_min_score)
+
+    scored = rank.in_rounds(q, "question_id", VECTORS_PER_ROUND, scores)
     best = F.max("score").over(Window.partitionBy("question_id"))
     banded = scored.withColumn("_best", best).filter(F.col("score") >= F.col("_best") - cfg.vector_score_gap).drop("_best")
     ranked = banded.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), passage_key())))

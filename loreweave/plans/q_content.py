@@ -98,10 +98,15 @@ def symbols(spark, sf_dir):
     return code.symbols(f)
 
 
-@query("identifier_lists", "select doc_id, array_to_string(list_distinct([x for x in regexp_extract_all(source || ' ' || lang || 'x ' || source, '[A-Za-z_$][A-Za-z0-9_$]{2,}')]), ',') is not null as has, len(list_distinct(regexp_extract_all(source || ' ' || lang || 'x ' || source, '[A-Za-z_$][A-Za-z0-9_$]{2,}'))) as n from documents")
+@query("identifier_lists", """
+with w as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]{2,}')) as w, generate_subscripts(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]{2,}'), 1) as i from documents),
+f as (select doc_id, w, min(i) as i from w group by 1, 2), n as (select *, row_number() over (partition by doc_id order by i) as n from f where w is not null)
+select doc_id, string_agg(w, ',' order by n) as identifiers from n where n <= 400 group by 1
+""")
 def identifier_lists(spark, sf_dir):
-    ids = code.identifiers(F.concat("source", F.lit(" "), "lang", F.lit("x "), "source"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.lit(True).alias("has"), F.size(ids).cast("long").alias("n"))
+    """P02 over whole texts."""
+    d = table(spark, sf_dir, "documents").select("doc_id", code.identifiers(F.col("text")).alias("ids"))
+    return d.filter(F.size("ids") > 0).select("doc_id", F.array_join("ids", ",").alias("identifiers"))
 
 
 @query("line_window", """
@@ -122,12 +127,12 @@ def symbol_search(spark, sf_dir):
 def _wiki(spark, sf_dir):
     """Stand-in pages: per source a page that cites some documents and links some others."""
     d = table(spark, sf_dir, "documents")
-    body = F.concat(F.lit("## Part\n"), F.substring("text", 1, 300), F.lit("\n[资料#"), F.col("doc_id"), F.lit("] [note#"), F.col("doc_id") % 7, F.lit("] [[doc "), F.col("doc_id") + 4, F.lit("]]"))
+    body = F.concat(F.lit("## Part\n"), "text", F.lit("\n[资料#"), F.col("doc_id"), F.lit("] [note#"), F.col("doc_id") % 7, F.lit("] [[doc "), F.col("doc_id") + 4, F.lit("]]"))
     return d.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("doc "), "doc_id").alias("title"), body.alias("markdown"), F.array(F.concat(F.lit("file-"), "doc_id"), F.lit("note-1")).alias("valid"))
 
 
 @query("wiki_quality", """
-with p as (select doc_id, '## Part' || chr(10) || substr(text, 1, 300) || chr(10) || '[资料#' || doc_id || '] [note#' || (doc_id % 7) || '] [[doc ' || (doc_id + 4) || ']]' as m from documents),
+with p as (select doc_id, '## Part' || chr(10) || text || chr(10) || '[资料#' || doc_id || '] [note#' || (doc_id % 7) || '] [[doc ' || (doc_id + 4) || ']]' as m from documents),
 c as (select doc_id, length(m) as n, doc_id % 7 <> 1 as unknown from p)
 select doc_id as page_id, not unknown and n >= 260 as ok, concat_ws('; ', case when unknown then 'unknown citations' end, case when n < 260 then 'too short' end) as hard, case when unknown then 'few citations' else '' end as soft from c
 """)
@@ -250,7 +255,7 @@ def corpus_hash(spark, sf_dir):
 
 
 @query("evidence_coverage", """
-with c as (select l_orderkey as q, l_partkey * 10 + l_linenumber as rank, l_suppkey as doc, (l_partkey % 10) * 100 as s, (l_partkey % 10) * 100 + 300 as e from lineitem where l_linenumber <= 4),
+with c as (select l_orderkey as q, l_partkey * 10 + l_linenumber as rank, l_suppkey as doc, (l_partkey % 10) * 100 as s, (l_partkey % 10) * 100 + 300 as e from lineitem),
 t as (select *, sum(e - s) over (partition by q order by rank rows unbounded preceding) as run from c),
 g as (select o_orderkey as q, l_suppkey as doc, l_linenumber as gid, 250 as s, 450 as e from orders join lineitem on l_orderkey = o_orderkey where l_linenumber = 1),
 j as (select g.q, g.gid, t.rank, greatest(least(g.e, t.e) - greatest(g.s, t.s), 0) as o, 200 as n from g left join t on t.q = g.q and t.doc = g.doc and run <= 2400),
@@ -260,7 +265,7 @@ select q as question_id, coalesce(min(first), -1) as first, round(avg(share), 9)
 def evidence_coverage(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     s = (F.col("l_partkey") % 10) * 100
-    chunks = li.filter("l_linenumber <= 4").select(F.col("l_orderkey").alias("question_id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("rank"), F.col("l_suppkey").alias("doc_id"), s.alias("start"), (s + 300).alias("end"))
+    chunks = li.select(F.col("l_orderkey").alias("question_id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("rank"), F.col("l_suppkey").alias("doc_id"), s.alias("start"), (s + 300).alias("end"))
     gold = li.filter("l_linenumber = 1").select(F.col("l_orderkey").alias("question_id"), F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("gold_id"), F.lit(250).alias("start"), F.lit(450).alias("end"))
     return evaluate.evidence(chunks, gold).withColumn("first", F.coalesce("first", F.lit(-1)))
 
@@ -318,7 +323,8 @@ def semantic_chunk(spark, sf_dir):
 
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("k"), "embedding")
     c = table(spark, sf_dir, "conversations")
-    turns = c.withColumn("k", (F.col("conv_id") * 8 + F.col("turn")) % 500).join(e, "k").select("conv_id", "turn", "text", "embedding")
+    n = e.agg(F.max("k") + 1).first()[0]
+    turns = c.withColumn("k", (F.col("conv_id") * 8 + F.col("turn")) % n).join(e, "k").select("conv_id", "turn", "text", "embedding")
     cfg = Config(chunk_target=400, chunk_max=600, chunk_overlap=60)
 
     def run(group: pa.Table) -> pa.Table:
@@ -330,9 +336,13 @@ def semantic_chunk(spark, sf_dir):
     return turns.groupBy("conv_id").applyInArrow(run, "conv_id long, seq int, chunk_text string")
 
 
-@query("page_text", r"select page_id, length(regexp_extract(html, '<title>([^<]*)</title>', 1)) as title_chars from pages")
+@query("page_text", r"""
+select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)>', ' ', 'gis'), '<[^>]+>', ' ', 'g'),
+ '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&mdash;', '—'), '&ndash;', '–'), '&hellip;', '…'), '&amp;', '&'), '\s+', ' ', 'g')) as plain from pages
+""")
 def page_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.char_length(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).cast("long").alias("title_chars"))
+    """Text of whole pages without markup, by built-in expressions."""
+    return table(spark, sf_dir, "pages").select("page_id", html.plain_text(F.col("html")).alias("plain"))
 
 
 @query("ocr_line_confidence", """

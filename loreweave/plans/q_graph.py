@@ -135,16 +135,18 @@ def inner_subgraph(spark, sf_dir):
 
 
 @query("triple_merge", """
-with t as (select l_orderkey * 10 + l_linenumber as id, 'p' || (l_partkey % 40) as head, 'related_to' as relation, 's' || (l_suppkey % 7) as tail, case when l_linenumber % 2 = 0 then ' ' else 'quote ' || l_orderkey end as evidence, 'file-' || (l_orderkey % 5) as source, l_discount as weight from lineitem)
-select head, relation, tail, first(evidence order by id) filter (where trim(evidence) <> '') as evidence, string_agg(distinct source, '|' order by source) as sources, max(case when weight <= 0 then 1.0 else least(weight, 1.0) end)::double as weight from t group by 1, 2, 3
+with t as (select l_orderkey * 10 + l_linenumber as id, 'p' || (l_partkey % 40) as head, 'related_to' as relation, 's' || (l_suppkey % 7) as tail, case when l_linenumber % 2 = 0 then ' ' else 'quote ' || l_orderkey end as evidence, 'file-' || (l_orderkey % 5) as source, l_discount * 20 - 0.2 as weight from lineitem),
+n as (select *, row_number() over (partition by head, relation, tail order by id) as n from t)
+select head, relation, tail, first(evidence order by id) filter (where trim(evidence) <> '') as evidence, string_agg(distinct source, '|' order by source) as sources,
+ round(greatest(max(case when n = 1 then case when weight <= 0 or weight > 1 then 1.0 else weight end end), max(case when n > 1 then weight end)), 9)::double as weight from n group by 1, 2, 3
 """)
 def triple_merge(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     t = li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("p"), F.col("l_partkey") % 40).alias("head"), F.lit("related_to").alias("relation"), F.concat(F.lit("s"), F.col("l_suppkey") % 7).alias("tail"),
-        F.when(F.col("l_linenumber") % 2 == 0, " ").otherwise(F.concat(F.lit("quote "), "l_orderkey")).alias("evidence"), F.array(F.concat(F.lit("file-"), F.col("l_orderkey") % 5)).alias("sources"), F.col("l_discount").alias("weight"),
+        F.when(F.col("l_linenumber") % 2 == 0, " ").otherwise(F.concat(F.lit("quote "), "l_orderkey")).alias("evidence"), F.array(F.concat(F.lit("file-"), F.col("l_orderkey") % 5)).alias("sources"), (F.col("l_discount") * 20 - 0.2).alias("weight"),
     )
-    return graph.merge_triples(t).withColumn("sources", F.array_join("sources", "|"))
+    return graph.merge_triples(t).withColumn("sources", F.array_join("sources", "|")).withColumn("weight", F.round("weight", 9))
 
 
 @query("dup_suggest_levenshtein", """
@@ -183,9 +185,8 @@ def concept_names(spark, sf_dir):
 
 @query("edge_degree_cap")
 def edge_degree_cap(spark, sf_dir):
-    pairs = views.brand_pairs(spark, sf_dir)
-    best = pairs.orderBy(F.desc("n"), "a", "b").limit(300).withColumn("ordinal", -F.col("n") * 1000)
-    return graph.degree_cap(best)
+    """Proposals are brands by the orders they share, most first."""
+    return graph.degree_cap(views.brand_pairs(spark, sf_dir).withColumn("ordinal", -F.col("n")))
 
 
 @query("doc_graph_edges", "select a.doc_id as x, b.doc_id as y from documents a join documents b on a.source = b.source and a.lang = b.lang and b.doc_id = a.doc_id + 20")

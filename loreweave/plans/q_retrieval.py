@@ -75,9 +75,11 @@ with {VECTORS}, s as (select q.vec_id as question_id, v.vec_id, round({COSINE},
 select question_id, vec_id, score, rank from (select *, row_number() over (partition by question_id order by score desc, vec_id) as rank from s) where rank <= 10
 """)
 def cosine_pairs_topk(spark, sf_dir):
+    """every stated query against all vectors, in broadcast rounds; a window group limit keeps the best where they are read."""
     v = _vectors(spark, sf_dir).withColumn("n", vector.norm(F.col("vec")))
     q = _queries(spark, sf_dir).select("question_id", F.col("vec").alias("q"), vector.norm(F.col("vec")).alias("qn"))
-    s = v.join(q, F.col("vec_id") != F.col("question_id")).select("question_id", "vec_id", F.round(vector.cosine(F.col("vec"), F.col("q"), F.col("n"), F.col("qn")), 9).alias("score"))
+    met = lambda some: v.crossJoin(F.broadcast(some)).filter("vec_id <> question_id")
+    s = rank.in_rounds(q, "question_id", search.VECTORS_PER_ROUND, met).select("question_id", "vec_id", F.round(vector.cosine(F.col("vec"), F.col("q"), F.col("n"), F.col("qn")), 9).alias("score"))
     return rank.top(s, ["question_id"], [F.desc("score"), F.col("vec_id")], 10).withColumn("rank", F.col("rank").cast("long"))
 
 

@@ -82,6 +82,19 @@ class TestRank:
         assert sorted(r["rank"] for r in rank.budget_skip(df, ["q"], "cost", 100).collect()) == [1, 3, 4]
         assert sorted(r["rank"] for r in rank.budget_skip(df, ["q"], "cost", 100, most=2).collect()) == [1, 3]
 
+    def test_budget_skip_is_the_plain_loop(self, spark):
+        rng = random.Random(3)
+        items = [(q, i + 1, rng.choice([None, *range(5, 60)])) for q in (None, 1, 2) for i in range(40)]
+        want = set()
+        for q in (None, 1, 2):
+            used = 0
+            for _, i, c in (x for x in items if x[0] == q):
+                if c is not None and used + c <= 100:
+                    used += c
+                    want.add((q, i))
+        df = spark.createDataFrame(items, "q int, rank int, cost int").repartition(5)
+        assert {(r.q, r["rank"]) for r in rank.budget_skip(df, ["q"], "cost", 100).collect()} == want
+
     def test_mmr(self, spark):
         df = spark.createDataFrame([(1, "a", 1, [1.0, 0.0]), (1, "b", 2, [1.0, 0.0]), (1, "c", 3, [0.0, 1.0])], "q int, key string, rank int, vec array<double>")
         orders = [[r.key for r in rank.mmr(df, ["q"], w).orderBy("position").collect()] for w in (0.7, 0.4)]
@@ -158,10 +171,67 @@ class TestGraph:
     def test_merge_and_cap(self, spark):
         t = spark.createDataFrame([(2, "a", "is_a", "b", " ", ["n1"], 0.2), (3, "a", "is_a", "b", "q3", ["n2", "n1"], 5.0), (5, "a", "is_a", "b", "q5", ["n3"], 0.0)], "id int, head string, relation string, tail string, evidence string, sources array<string>, weight double")
         r = graph.merge_triples(t).first()
-        assert (r.evidence, r.sources, r.weight) == ("q3", ["n1", "n2", "n3"], 1.0)
+        assert (r.evidence, r.sources, r.weight) == ("q3", ["n1", "n2", "n3"], 5.0)  # a merge does not cap
+
+        def weight(*rows):
+            df = spark.createDataFrame([(i, "a", "is_a", "b", "q", ["n"], w) for i, w in enumerate(rows)], t.schema)
+            return graph.merge_triples(df).first().weight
+
+        assert [weight(0.5, 0.0), weight(0.5, 2.0), weight(5.0), weight(5.0, 0.3), weight(-1.0, -2.0), weight(0.2, 0.1, 0.3)] == [0.5, 2.0, 1.0, 1.0, 1.0, 0.3]
+        empty = spark.createDataFrame([(1, "a", "is_a", "b", "x" * 600, None, 0.5)], t.schema)
+        assert (len(graph.merge_triples(empty).first().evidence), graph.merge_triples(empty).first().sources) == (480, [])
         e = spark.createDataFrame([("a", x, i) for i, x in enumerate("bcdef")] + [("g", "g", 9)], "a string, b string, ordinal int")
         assert [r.b for r in graph.degree_cap(e).collect()] == ["b", "c", "d"]
 
+    def test_degree_cap_in_rounds(self, spark, monkeypatch):
+        rng = random.Random(6)
+        rows = [(f"n{rng.randrange(12)}", f"n{rng.randrange(40)}", rng.randrange(300)) for _ in range(600)]
+        count, want = {}, []
+        for a, b, o in sorted(rows, key=lambda r: (r[2], r[0], r[1])):
+            if a != b and len(want) < 30 and max(count.get(a, 0), count.get(b, 0)) < 3:
+                want.append((a, b, o))
+                count[a], count[b] = count.get(a, 0) + 1, count.get(b, 0) + 1
+        df = spark.createDataFrame(list(dict.fromkeys(rows)), "a string, b string, ordinal int")
+        for size in (2000, 7):
+            monkeypatch.setattr(graph, "PROPOSALS_PER_ROUND", size)
+            assert [tuple(r) for r in graph.degree_cap(df).collect()] == want
+
+
+    def test_leiden_finds_the_best_partition_of_small_graphs(self):
+        def partitions(n):
+            def grow(prefix, most):
+                if len(prefix) == n:
+                    yield prefix
+                    return
+                for c in range(most + 1):
+                    yield from grow([*prefix, c], max(most, c + 1))
+
+            yield from grow([], 0)
+
+        def quality(edges, of):
+            m = sum(w for *_, w in edges)
+            inside, total = {}, {}
+            for a, b, w in edges:
+                for v in (a, b):
+                    total[of[v]] = total.get(of[v], 0) + w
+                if of[a] == of[b]:
+                    inside[of[a]] = inside.get(of[a], 0) + w
+            return sum(inside.get(c, 0) / m - (t / (2 * m)) ** 2 for c, t in total.items())
+
+        rng = random.Random(8)
+        for _ in range(12):
+            n = 7
+            edges = [(a, b, rng.choice([1.0, 2.0])) for a in range(n) for b in range(a) if rng.random() < (0.9 if (a < 4) == (b < 4) else 0.15)]
+            best = max(quality(edges, p) for p in partitions(n))
+            assert quality(edges, graph.leiden(n, edges)) >= best - 0.03
+
+    def test_terms_over_several_passes(self, spark, monkeypatch):
+        p = spark.createDataFrame([("n", 1, 0, "alpha", "beta gamma")], "source_type string, source_id long, seq int, title string, body string")
+        words = spark.createDataFrame([("alpha",), ("beta",), ("gamma",), ("delta",)], "term string")
+        monkeypatch.setattr(search, "TERMS_PER_PASS", 1)
+        assert sorted(r.term for r in search.term_hits(p, words).collect()) == ["alpha", "beta", "gamma"]
+        assert search.term_hits(p, words.limit(0)).count() == 0
+
 
 class TestContent:
     def test_html(self):
