@@ -31,13 +31,14 @@ def canonical_relation(raw: Column) -> Column:
     """The vocabulary's relation for a free spelling: exact after squeezing, else the first contained spelling; null if unknown."""
     low = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
     squeezed = F.regexp_replace(low, r"[\s_\-]+", "")
-    out = F.when(low == "", None)
+    spelled: dict[str, str] = {}
     for rel, names in SPELLINGS.items():
-        out = out.when(squeezed.isin(names), rel)
-    for rel in FALLBACK:
-        for name in SPELLINGS[rel]:
-            out = out.when(F.contains(low, F.lit(name)), rel)
-    return out
+        for name in names:
+            spelled.setdefault(name, rel)
+    exact = F.create_map(*[F.lit(x) for pair in spelled.items() for x in pair])
+    ordered = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(rel).alias("rel")) for rel in FALLBACK for name in SPELLINGS[rel]])
+    contained = F.get(F.filter(ordered, lambda x: F.contains(low, x["name"])), F.lit(0))["rel"]
+    return F.when(low != "", F.coalesce(F.try_element_at(exact, squeezed), contained))
 
 
 _PAREN = re.compile(r"[（(\[【]([^（）()\[\]【】]*)[）)\]】]")
