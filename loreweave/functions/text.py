@@ -143,3 +143,84 @@ def is_refusal(answer: Column, strong: list[str] | None = None, absence: list[st
     text = F.coalesce(answer, F.lit(""))
     has = lambda where, marks: F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(where, m))
     return has(text, strong or STRONG_REFUSALS) | has(F.substring(text, 1, REFUSAL_HEAD), absence or ABSENCE_MARKS)
+
+
+_TITLE_MARKS = "[\\s`*：:、，,。.（）()【】\\[\\]\\-]"
+
+
+def same_title(a: Column, b: Column) -> Column:
+    """Whether two titles say the same: equal without marks, or one within the other."""
+    x, y = (F.regexp_replace(F.coalesce(c, F.lit("")), _TITLE_MARKS, "") for c in (a, b))
+    return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))
+
+
+def without_title(content: Column, title: Column) -> Column:
+    """A text without a first heading of level one that repeats its title, and the empty lines behind it."""
+    first = F.trim(F.substring_index(content, "\n", 1))
+    rest = F.when(F.contains(content, F.lit("\n")), F.substr(content, F.locate("\n", content) + 1)).otherwise("")
+    heads = F.startswith(first, F.lit("# ")) & same_title(F.substr(first, F.lit(3)), title)
+    return F.when(heads, F.regexp_replace(rest, r"^(\s*\r?\n)+", "")).otherwise(content)
+
+
+def merged_headings(content: str | None) -> str | None:
+    """Of adjacent headings of one level, with nothing but empty lines between, that say the same only the longer; fences are left alone."""
+    import re
+
+    if not content:
+        return content
+    bare = lambda t: re.sub(_TITLE_MARKS, "", t)
+    out: list[str] = []
+    last, fence = None, None  # place of the last heading if only empty lines follow it, the mark of the open fence
+    for line in content.split("\n"):
+        mark = re.match(r"\s*(```|~~~)", line)
+        if mark and fence in (None, mark[1]):
+            fence = None if fence else mark[1]
+        m = re.fullmatch(r"(#{1,6})\s+(.*)", line) if fence is None and not mark else None
+        if m and last is not None:
+            old = re.fullmatch(r"(#{1,6})\s+(.*)", out[last])
+            x, y = bare(old[2]), bare(m[2])
+            if old[1] == m[1] and x and y and (x in y or y in x):
+                out[last:] = [line if len(y) > len(x) else out[last]]
+                continue
+        if m:
+            last = len(out)
+        elif line.strip():
+            last = None
+        out.append(line)
+    return "\n".join(out)
+
+
+def canonical_json(value) -> str:
+    """JSON with sorted keys and numbers without needless zeros; equal values have equal texts."""
+    import json
+    from decimal import Decimal
+
+    def plain(x):
+        if isinstance(x, dict):
+            return {str(k): plain(v) for k, v in x.items()}
+        if isinstance(x, list | tuple):
+            return [plain(v) for v in x]
+        if isinstance(x, float | Decimal) and not isinstance(x, bool):
+            return int(x) if x == int(x) else float(x)
+        return x
+
+    return json.dumps(plain(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+
+
+def canonical(json_text: Column) -> Column:
+    """``canonical_json`` of a JSON column; null where it is none."""
+    import json
+
+    @F.pandas_udf("string")
+    def convert(texts):
+        import pandas as pd
+
+        def one(t):
+            try:
+                return None if t is None else canonical_json(json.loads(t))
+            except (ValueError, OverflowError):
+                return None
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return convert(json_text)

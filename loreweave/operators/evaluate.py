@@ -109,3 +109,73 @@ def evidence(chunks: DataFrame, gold: DataFrame, budget: int = 2400) -> DataFram
     useful = (over >= F.least(F.lit(24), n)) & (over >= 0.2 * n)
     per = j.groupBy("question_id", "gold_id").agg(F.min(F.when(useful, F.col("rank"))).alias("first"), F.max(F.coalesce(over / n, F.lit(0.0))).alias("share"))
     return per.groupBy("question_id").agg(F.min("first").alias("first"), F.round(F.avg("share"), 9).alias("coverage"), F.bool_and(F.col("share") >= 1).alias("complete"))
+
+
+def retrieval_arms(cases: DataFrame, arms: dict, k: int = 5) -> DataFrame:
+    """``arm, question_id, gap, first`` of every arm: a name and a retriever (questions -> question_id, ref, rank).
+
+    ``cases``: question_id, question, refs.
+    """
+    from functools import reduce
+
+    asked = cases.select("question_id", "question")
+    parts = [first_ranks(cases, retrieve(asked), k).withColumn("arm", F.lit(name)) for name, retrieve in arms.items()]
+    return reduce(DataFrame.unionByName, parts).select("arm", "question_id", "gap", "first")
+
+
+def paired_arms(ranks: DataFrame, one: str, two: str, subset: list[str] | None = None) -> DataFrame:
+    """Q03: two arms over the same cases, in each subset: hit rates, reciprocal ranks, gains and losses of the second.
+
+    ``ranks``: arm, question_id, gap, first (and the subset's columns); gap cases do not count.
+    """
+    by = subset or []
+    side = lambda arm, name: ranks.filter((F.col("arm") == arm) & ~F.col("gap")).select("question_id", *by, F.col("first").alias(name))
+    j = side(one, "a").join(side(two, "b").drop(*by), "question_id")
+    a, b = (F.coalesce(1.0 / F.col(c), F.lit(0.0)) for c in ("a", "b"))
+    mean = lambda x: F.round(F.avg(x), 9)
+    hit = lambda c: F.col(c).isNotNull().cast("double")
+    return j.groupBy(*by).agg(
+        F.count("*").alias("cases"), mean(hit("a")).alias("hit_a"), mean(hit("b")).alias("hit_b"), mean((F.coalesce("a", F.lit(0)) == 1).cast("double")).alias("first_a"), mean((F.coalesce("b", F.lit(0)) == 1).cast("double")).alias("first_b"), mean(a).alias("mrr_a"), mean(b).alias("mrr_b"),
+        F.count_if(F.col("a").isNull() & F.col("b").isNotNull()).alias("hit_gains"), F.count_if(F.col("a").isNotNull() & F.col("b").isNull()).alias("hit_losses"), F.count_if(b > a).alias("rank_gains"), F.count_if(b < a).alias("rank_losses"),
+    )
+
+
+def broken_blocks(protected: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Q05: ``type, blocks, broken``: protected blocks (doc_id, type, text) that stand whole in no chunk (doc_id, chunk_text) of their document, white space apart."""
+    squeeze = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    b = protected.select("doc_id", "type", squeeze(F.col("text")).alias("_t")).distinct()
+    whole = b.join(chunks.select("doc_id", squeeze(F.col("chunk_text")).alias("_c")), "doc_id").filter(F.contains("_c", F.col("_t"))).select("doc_id", "type", "_t").distinct().withColumn("_ok", F.lit(True))
+    return b.join(whole, ["doc_id", "type", "_t"], "left").groupBy("type").agg(F.count("*").alias("blocks"), F.count_if(F.col("_ok").isNull()).alias("broken"))
+
+
+def known_and_unknown(answers: DataFrame) -> DataFrame:
+    """Q11: one row over answers (group, correct, abstained): accuracy, and errors and refusals of known and unknown cases; null accuracy of none."""
+    known, wrong = F.col("group") != "unknown", ~F.col("correct") & ~F.col("abstained")
+    return answers.agg(
+        F.count("*").alias("total"), F.count_if("correct").alias("correct"), F.round(F.try_divide(F.count_if("correct"), F.count("*")), 9).alias("accuracy"),
+        F.count_if(known & F.col("abstained")).alias("known_false_refusals"), F.count_if(known & wrong).alias("known_wrong"), F.count_if(~known & wrong).alias("unknown_wrong"),
+    )
+
+
+def answer_report(answers: DataFrame, price_in: float = 0.0, price_out: float = 0.0) -> DataFrame:
+    """One row over scored answers: mean accuracy and support of those labelled, coverage, refusals, latency, tokens and cost.
+
+    ``answers``: accuracy (-1: none stated), supported, gap, covers_all, refusal,
+    latency_ms, tokens_in, tokens_out; prices for a million tokens.
+    """
+    mean = lambda x, when: F.round(F.avg(F.when(when, x)), 9)
+    gap, cost = F.col("gap"), (F.sum("tokens_in") * price_in + F.sum("tokens_out") * price_out) / 1e6
+    return answers.agg(
+        F.count("*").alias("cases"), mean(F.col("accuracy"), F.col("accuracy") >= 0).alias("accuracy"), mean(F.col("supported").cast("double"), ~gap & F.col("supported").isNotNull()).alias("support"), mean(F.col("covers_all").cast("double"), ~gap).alias("coverage"),
+        mean(F.col("refusal").cast("double"), gap).alias("no_answer_accuracy"), F.count_if(~gap & F.col("refusal")).alias("false_refusals"), F.round(F.avg("latency_ms"), 3).alias("latency_ms"), F.sum(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"), F.round(cost, 9).alias("cost"),
+    )
+
+
+def facet_coverage(ranked: DataFrame, required: DataFrame, k: int = 8) -> DataFrame:
+    """``question_id, facet_coverage``: the share of a question's required facets that its first k items have; one where none is required.
+
+    ``ranked``: question_id, rank, facets (array); ``required``: question_id, facet.
+    """
+    have = ranked.filter(F.col("rank") <= k).select("question_id", F.explode("facets").alias("facet")).distinct().withColumn("_has", F.lit(1))
+    per = required.distinct().join(have, ["question_id", "facet"], "left").groupBy("question_id").agg(F.avg(F.coalesce("_has", F.lit(0))).alias("_c"))
+    return ranked.select("question_id").distinct().join(per, "question_id", "left").select("question_id", F.round(F.coalesce("_c", F.lit(1.0)), 9).alias("facet_coverage"))

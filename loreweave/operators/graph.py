@@ -333,3 +333,14 @@ def tree_paths(tree: DataFrame, most: int = 16) -> DataFrame:
             break
         out = out.unionByName(level)
     return out.select("id", F.array_join("path", " > ").alias("path"), "depth")
+
+
+def document_edges(docs: DataFrame, structural: DataFrame, semantic: DataFrame) -> DataFrame:
+    """``x, y, kind``: structural and semantic edges of documents whose ends are both alive, a pair once for each kind, x before y.
+
+    ``docs``: id; edges: a, b.
+    """
+    both = structural.select("a", "b", F.lit("structural").alias("kind")).unionByName(semantic.select("a", "b", F.lit("semantic").alias("kind")))
+    pairs = both.filter("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "kind").distinct()
+    alive = docs.select("id").distinct()
+    return pairs.join(alive.withColumnRenamed("id", "x"), "x", "left_semi").join(alive.withColumnRenamed("id", "y"), "y", "left_semi").select("x", "y", "kind")

@@ -197,3 +197,15 @@ def ocr_lines(words: DataFrame) -> DataFrame:
     used = words.filter((F.trim("word") != "") & (F.col("conf") >= 0))
     ordered = F.array_sort(F.collect_list(F.struct("place", "word")))
     return used.groupBy("page", "line").agg(F.array_join(F.transform(ordered, lambda x: x.word), " ").alias("text"), F.round(F.try_divide(F.sum(F.col("conf") * n), F.sum(n)), 6).alias("confidence"))
+
+
+def layout_sizes(lines: DataFrame) -> DataFrame:
+    """``doc_id, body_size, line_gap``: the font size of most characters, and the nearest-rank 40th percentile of the gaps between lines.
+
+    ``lines``: doc_id, size, chars, gap (null before a page's first line).
+    """
+    from loreweave.operators import rank
+
+    sizes = lines.groupBy("doc_id", "size").agg(F.sum("chars").alias("_n")).groupBy("doc_id").agg(F.max_by("size", F.struct("_n", -F.col("size"))).alias("body_size"))
+    gaps = rank.nearest_rank(lines.filter("gap is not null").select("doc_id", "gap"), ["doc_id"], "gap", 40).withColumnRenamed("percentile", "line_gap")
+    return sizes.join(gaps, "doc_id", "left")

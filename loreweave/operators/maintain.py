@@ -145,3 +145,9 @@ def maintain(spark: SparkSession, root: str, corpus: DataFrame, cfg=None) -> dic
         store.write("state", live)
     diff.unpersist()
     return counts
+
+
+def rotated(sources: DataFrame, last: str | None, most: int, key: str = "source_key") -> DataFrame:
+    """The next ``most`` sources behind the last one handled, then from the beginning, so that none starves."""
+    behind = F.lit(True) if last is None else F.col(key) > last
+    return sources.orderBy(~behind, key).limit(most)

@@ -60,7 +60,8 @@ def accept_triples(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     ``raw``: id, head, head_norm, relation, tail, tail_norm, evidence, sources, weight.
     """
     ok = reduce(lambda a, b: a & b, [graph.plausible_name(F.col(c)) & graph.admissible_concept(F.col(c)) for c in ("head", "tail")])
-    named = raw.filter(ok).withColumn("relation", corrected(graph.canonical_relation(F.col("relation")), F.col("evidence"))).filter("relation is not null")
+    spellings = raw.select("relation").distinct().withColumn("_kind", graph.canonical_relation(F.col("relation"))).filter("_kind is not null")  # few spellings, many rows
+    named = raw.filter(ok).join(spellings, "relation").withColumn("relation", corrected(F.col("_kind"), F.col("evidence"))).drop("_kind")
     ends = named.select(F.col("head").alias("name"), F.col("head_norm").alias("norm")).unionByName(named.select(F.col("tail").alias("name"), F.col("tail_norm").alias("norm")))
     known = resolve(ends.distinct(), nodes).filter("id is not null")
     for side in ("head", "tail"):

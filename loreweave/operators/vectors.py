@@ -1,15 +1,17 @@
-"""Vector stores behind one interface: an exact one, and one with hashed buckets."""
+"""Vector stores behind one interface: one that reads all vectors, and one that opens clusters; both are exact."""
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions import vector
+from loreweave.operators import rank
 
 ITEM = ["source_type", "source_id", "seq"]
 #: Query vectors of one round; what is broadcast is bounded by it.
@@ -65,45 +67,85 @@ class ExactStore:
         return found
 
 
-class LshStore(ExactStore):
-    """Sign bits of seeded random planes; vectors that share a bucket in some table are compared exactly.
+class ClusteredStore(ExactStore):
+    """Vectors by nearest centroid; a search opens the clusters that can still hold a result, so it is exact.
 
-    Scores are exact; ``recall`` states the chance that a pair is met. It is
-    near 1 from a cosine of 0.8 on and falls below that: for weak neighbours
-    use the exact store. Buckets and queries meet in an equi-join, so nothing
-    is broadcast.
+    Centroids come from spherical k-means over a bounded sample (``sample`` rows,
+    the smallest hashes of their keys). By the triangle inequality of angles no
+    vector of a cluster is nearer to a query than the angle to its centroid less
+    the cluster's widest angle. The nearest ``probes`` clusters give each query a
+    k-th best score; the others are opened only where their bound reaches it.
     """
 
-    def __init__(self, items: DataFrame, tables: int = 24, bits: int = 7, seed: int = 7):
+    def __init__(self, items: DataFrame, clusters: int = 64, sample: int = 20_000, probes: int = 4, seed: int = 7):
         super().__init__(items)
-        self.tables, self.bits, self.seed = tables, bits, seed
-
-    def recall(self, cosine: float) -> float:
-        """The chance that two vectors of this cosine share a bucket."""
-        alike = 1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi
-        return 1 - (1 - alike**self.bits) ** self.tables
-
-    def _buckets(self, dim: int) -> Column:
-        planes = np.random.default_rng(self.seed).standard_normal((self.tables * self.bits, dim)).astype(np.float32)
-        tables, bits = self.tables, self.bits
-        weights = 1 << np.arange(bits)
-
-        @F.pandas_udf("array<int>")
+        self.clusters, self.sample, self.probes, self.seed = clusters, sample, probes, seed
+
+    def centroids(self, valid: DataFrame, dim: int) -> np.ndarray:
+        rows = valid.filter(F.size("vec") == dim).orderBy(F.xxhash64(*ITEM), *ITEM).limit(self.sample).select("vec").collect()
+        x = np.asarray([r.vec for r in rows], float).reshape(-1, dim)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        rng = np.random.default_rng(self.seed)
+        centers = x[rng.permutation(len(x))[: min(self.clusters, len(x))]]
+        for _ in range(8):
+            of = (x @ centers.T).argmax(1)
+            sums = np.zeros_like(centers)
+            np.add.at(sums, of, x)
+            size = np.linalg.norm(sums, axis=1, keepdims=True)
+            centers = np.where(size > 0, sums / np.where(size > 0, size, 1), centers)
+        return centers
+
+    @staticmethod
+    def assigned(valid: DataFrame, centers: np.ndarray) -> DataFrame:
+        """``valid`` with its cluster and the cosine to the centroid."""
+        dim = centers.shape[1]
+
+        @F.pandas_udf("struct<cluster:int,near:double>")
         def run(vecs):
             import pandas as pd
 
-            x = np.stack([np.asarray(v, np.float32) for v in vecs]) if len(vecs) else np.zeros((0, dim), np.float32)
-            signs = (x @ planes.T > 0).reshape(len(x), tables, bits)
-            return pd.Series(list((signs * weights).sum(axis=2).astype(np.int32)))
+            x = np.asarray([np.asarray(v, float) for v in vecs]).reshape(-1, dim)
+            scores = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ centers.T
+            return pd.DataFrame({"cluster": scores.argmax(1).astype(np.int32), "near": scores.max(1)})
+
+        return valid.filter(F.size("vec") == dim).withColumn("_c", run("vec")).select(*ITEM, "vec", "_c.*")
 
-        return run("vec")
+    def _met(self, items: DataFrame, pairs: list[tuple], queries: DataFrame) -> DataFrame:
+        """Scores of the stated (question, cluster) pairs; a round's pairs and queries are broadcast."""
+        spark = items.sparkSession
+        asked = spark.createDataFrame(pairs, "question_id long, cluster int").join(queries, "question_id")
+        return items.join(F.broadcast(asked), "cluster").select("question_id", *ITEM, vector.cosine(F.col("_q"), F.col("vec")).alias("score"))
 
     def search(self, space: str, queries: DataFrame, pool: int) -> DataFrame:
-        first = queries.filter("vec is not null").select(F.size("vec").alias("n")).first()
-        if first is None:
-            return ExactStore.search(self, space, queries, pool)
-        dim = first.n
-        keys = lambda df: df.filter(F.size("vec") == dim).select("*", F.posexplode(self._buckets(dim)).alias("_t", "_b"))
-        q = keys(queries.filter(vector.is_valid(F.col("vec"))).select("question_id", "vec")).withColumnRenamed("vec", "_q")
-        met = keys(self._valid(space)).join(q, ["_t", "_b"]).select("question_id", *ITEM, vector.cosine(F.col("_q"), F.col("vec")).alias("score"))
-        return self._best(met.distinct(), pool)
+        """As of the exact store; query identifiers are integers."""
+        valid = self._valid(space)
+        good = queries.filter(vector.is_valid(F.col("vec"))).select(F.col("question_id").cast("long").alias("question_id"), F.col("vec").alias("_q"))
+        dims = [r.n for r in good.select(F.size("_q").alias("n")).distinct().limit(16).collect()]
+        parts = [self._search_dim(valid, good.filter(F.size("_q") == n), n, pool) for n in dims]
+        if not parts:
+            return ExactStore.search(self, space, queries.limit(0), pool)
+        return reduce(DataFrame.unionByName, parts)
+
+    def _search_dim(self, valid: DataFrame, queries: DataFrame, dim: int, pool: int) -> DataFrame:
+        centers = self.centroids(valid, dim)
+        if not len(centers):
+            return self._best(valid.limit(0).crossJoin(queries.limit(0)).select("question_id", *ITEM, F.lit(0.0).alias("score")), pool)
+        items = self.assigned(valid, centers)
+        widest = {r.cluster: r.w for r in items.groupBy("cluster").agg(F.min("near").alias("w")).collect()}  # one row a cluster
+        angle = np.asarray([math.acos(max(-1.0, min(1.0, widest[c]))) if c in widest else -math.inf for c in range(len(centers))])
+
+        def answer(some: DataFrame) -> DataFrame:
+            rows = some.collect()  # a round
+            ids, q = [r.question_id for r in rows], np.asarray([r._q for r in rows], float).reshape(-1, dim)
+            to_center = np.arccos(np.clip(q / np.linalg.norm(q, axis=1, keepdims=True) @ centers.T, -1, 1))
+            bound = np.cos(np.maximum(0, to_center - angle[None, :]))
+            order = np.argsort(to_center, axis=1)[:, : self.probes]
+            first = [(ids[i], int(c)) for i in range(len(ids)) for c in order[i] if np.isfinite(angle[c])]
+            near = self._best(self._met(items, first, some), pool)
+            kth = {r.question_id: r.score for r in near.filter(F.col("rank") == pool).select("question_id", "score").collect()}
+            opened = set(first)
+            rest = [(ids[i], c) for i in range(len(ids)) for c in range(len(centers)) if np.isfinite(angle[c]) and bound[i, c] >= kth.get(ids[i], -2) - 1e-9 and (ids[i], c) not in opened]
+            both = near.drop("rank").unionByName(self._met(items, rest, some)) if rest else near.drop("rank")
+            return self._best(both, pool)
+
+        return rank.in_rounds(queries, "question_id", QUERIES_PER_ROUND, answer)

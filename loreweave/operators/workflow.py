@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_STEPS = 8
-OPS = {"pick": {"fields"}, "filter": {"field", "test", "value"}, "sort": {"field"}, "unique": {"field"}, "join": {"with", "on"}, "replace": {"field", "find", "by"}, "template": {"name", "text"}, "split": {"field", "by"}, "length": {"field"}, "pluck": {"field"}, "limit": {"count"}}
+OPS = {"pick": {"fields"}, "filter": {"field", "test", "value"}, "sort": {"field"}, "unique": {"field"}, "join": {"with", "on"}, "replace": {"field", "find", "by"}, "template": {"name", "text"}, "split": {"field", "by"}, "length": {"field"}, "pluck": {"field"}, "limit": {"count"}, "python": {"function"}}
 TESTS = {"eq", "ne", "contains", "gt", "lt", "gte", "lte"}
 
 
@@ -42,8 +42,13 @@ def validate(definition: dict, inputs: set[str]) -> list[dict]:
     return steps
 
 
-def _step(s: dict, df: DataFrame, tables: dict[str, DataFrame], ordinal: str) -> DataFrame:
+def _step(s: dict, df: DataFrame, tables: dict[str, DataFrame], ordinal: str, functions: dict) -> DataFrame:
     op = s["op"]
+    if op == "python":  # S02: a function that the caller has registered, never source text
+        out = functions[s["function"]](df)
+        if ordinal not in out.columns:
+            raise ValueError(f"step {s['id']}: {s['function']} lost the {ordinal} column")
+        return out
     for name in [s.get("field"), *s.get("fields", []), *(s["on"] if op == "join" else [])]:
         if name is not None and name.split(".")[0] not in df.columns:
             raise ValueError(f"step {s['id']}: no field {name!r}")
@@ -82,13 +87,19 @@ def _step(s: dict, df: DataFrame, tables: dict[str, DataFrame], ordinal: str) ->
     return df.orderBy(ordinal).limit(int(s["count"]))
 
 
-def compile_workflow(definition: dict, inputs: dict[str, DataFrame], ordinal: str = "ordinal") -> DataFrame:
-    """The output step's table; every input carries ``ordinal``, the order of its rows."""
+def compile_workflow(definition: dict, inputs: dict[str, DataFrame], ordinal: str = "ordinal", functions: dict | None = None) -> DataFrame:
+    """The output step's table; every input carries ``ordinal``, the order of its rows.
+
+    ``functions``: name -> DataFrame function, for steps with ``op`` python.
+    """
     steps = validate(definition, set(inputs))
+    for s in steps:
+        if s["op"] == "python" and s["function"] not in (functions or {}):
+            raise ValueError(f"step {s['id']}: no function {s['function']!r} is registered")
     for name, df in inputs.items():
         if ordinal not in df.columns:
             raise ValueError(f"input {name} has no {ordinal} column")
     tables = dict(inputs)
     for s in steps:
-        tables[s["id"]] = _step(s, tables[s["input"]], tables, ordinal)
+        tables[s["id"]] = _step(s, tables[s["input"]], tables, ordinal, functions or {})
     return tables[definition.get("output", steps[-1]["id"])]

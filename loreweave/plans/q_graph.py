@@ -189,9 +189,12 @@ def edge_degree_cap(spark, sf_dir):
     return graph.degree_cap(views.brand_pairs(spark, sf_dir).withColumn("ordinal", -F.col("n")))
 
 
-@query("doc_graph_edges", "select a.doc_id as x, b.doc_id as y from documents a join documents b on a.source = b.source and a.lang = b.lang and b.doc_id = a.doc_id + 20")
+@query("doc_graph_edges", """
+with s as (select doc_id as a, doc_id + 20 as b from documents), m as (select vec_id as a, (vec_id * 7) % 300 as b from embeddings), e as (select a, b, 'structural' as kind from s union all select a, b, 'semantic' from m)
+select distinct least(a, b) as x, greatest(a, b) as y, kind from e where a <> b and a in (select doc_id from documents) and b in (select doc_id from documents)
+""")
 def doc_graph_edges(spark, sf_dir):
-    """Structural edges computed on read between neighbours of a source."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    b = d.select(F.col("doc_id").alias("y"), "source", "lang", (F.col("doc_id") - 20).alias("x"))
-    return d.withColumnRenamed("doc_id", "x").join(b, ["x", "source", "lang"]).select("x", "y")
+    """The next document of a source, and stated semantic pairs."""
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    structural = d.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 20).alias("b"))
+    return graph.document_edges(d.select(F.col("doc_id").alias("id")), structural, e.select(F.col("vec_id").alias("a"), ((F.col("vec_id") * 7) % 300).alias("b")))

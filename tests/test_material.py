@@ -146,23 +146,20 @@ def test_pipeline_missing_field(spark):
         commands.execute(spark, {"steps": steps}, _commands(spark))
 
 
-def test_lsh_recall(spark):
-    """Planted neighbours at cosines of 0.8 and more among random vectors; weaker ones are left to the exact store."""
+def test_clustered_store_is_exact(spark, sf_dir):
+    """Planted neighbours, weak ones, odd vectors and the tables' own: the ten nearest are those of the exact store."""
     rng = np.random.default_rng(3)
-    base = rng.standard_normal((40, 64))
-    base /= np.linalg.norm(base, axis=1, keepdims=True)
-    side = rng.standard_normal((40, 5, 64))
-    side -= (side * base[:, None]).sum(2, keepdims=True) * base[:, None]
-    side /= np.linalg.norm(side, axis=2, keepdims=True)
-    cos = rng.uniform(0.8, 1.0, (40, 5, 1))
-    vecs = np.concatenate([base, (cos * base[:, None] + np.sqrt(1 - cos**2) * side).reshape(-1, 64)])
-    items = spark.createDataFrame([("s", "file", i, 0, v.tolist()) for i, v in enumerate(vecs)], "space string, source_type string, source_id long, seq int, vec array<float>")
-    asked = items.filter("source_id < 40").select(F.col("source_id").alias("question_id"), "vec")
-    found = lambda kind: {(r.question_id, r.source_id) for r in kind(items).search("s", asked, 6).collect()}
-    exact = found(vectors.ExactStore)
-    assert len(exact & found(vectors.LshStore)) >= 0.9 * len(exact)
-    assert vectors.LshStore(items).recall(0.8) > 0.98
-    assert vectors.LshStore(items).search("s", asked.limit(0), 6).count() == 0
+    base = rng.standard_normal((30, 16))
+    vecs = np.concatenate([base, (base[:, None] + 0.3 * rng.standard_normal((30, 6, 16))).reshape(-1, 16), rng.standard_normal((200, 16))])
+    rows = [("s", "file", i, 0, v.tolist()) for i, v in enumerate(vecs)] + [("s", "file", 900, 0, [0.0] * 16), ("s", "file", 901, 0, None), ("s", "file", 902, 0, [1.0] * 4), ("s", "file", 903, 0, [2.0] * 4)]
+    items = spark.createDataFrame(rows, "space string, source_type string, source_id long, seq int, vec array<float>")
+    asked = items.filter("source_id < 30 or source_id >= 900").select(F.col("source_id").alias("question_id"), "vec")
+    found = lambda store: sorted((r.question_id, r.source_id, r["rank"]) for r in store.search("s", asked, 10).collect())
+    assert found(vectors.ClusteredStore(items, clusters=12, probes=2)) == found(vectors.ExactStore(items))
+    assert vectors.ClusteredStore(items).search("s", asked.limit(0), 6).count() == 0
+    e = table(spark, sf_dir, "embeddings").select(F.lit("s").alias("space"), F.lit("file").alias("source_type"), F.col("vec_id").alias("source_id"), F.lit(0).alias("seq"), F.col("embedding").alias("vec"))
+    asked = e.filter("source_id % 50 = 0").select(F.col("source_id").alias("question_id"), "vec")
+    assert found(vectors.ClusteredStore(e)) == found(vectors.ExactStore(e))
 
 
 def test_store_changes(spark, sf_dir):
