@@ -249,7 +249,7 @@ def answer_accuracy(spark, sf_dir):
     return evaluate.answers(cases).select("question_id", "accuracy", "covers_all", "false_refusal")
 
 
-@query("corpus_hash")
+@query("corpus_hash", f"with h as (select sha256('file:' || doc_id || ':' || sha256(text)) as h from documents where text <> '') select substr({views.ORDER_FREE}, 1, 16) as corpus_hash from h")
 def corpus_hash(spark, sf_dir):
     return evaluate.corpus_hash(views.corpus(spark, sf_dir))
 
@@ -306,14 +306,20 @@ def context_pack(spark, sf_dir):
     return context.assemble(hits.select("question_id", "question", "rank", "source_type", "source_id", "seq", "title", "body"))
 
 
-@query("fused_search")
+@query("fused_search", f"""
+with {KEYWORD}, v as (select vec_id, embedding::double[] as e from embeddings), s as (select q.vec_id as question_id, v.vec_id as source_id, list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))) as score from v q join benchmark on item_id = q.vec_id, v),
+b as (select *, max(score) over (partition by question_id) as best from s where score >= 0.45), c as (select question_id, source_id, row_number() over (partition by question_id order by score desc, 'file:' || source_id || ':0') as r from b where score >= best - 0.08),
+k as (select question_id, source_id, r, 'keyword' as route from ranked where r <= 24 union all select question_id, source_id, r, 'vector' from c where r <= 24),
+f as (select question_id, source_id, sum(1.0::double / (60 + r)) as score, string_agg(route, '+' order by route) as channels from k group by 1, 2)
+select question_id, rank, 'file' as source_type, source_id, round(score, 9) as score, channels from (select *, row_number() over (partition by question_id order by round(score, 12) desc, 'file:' || source_id || ':0') as rank from f) where rank <= 20
+""")
 def fused_search(spark, sf_dir):
     """Entry point 1 over all questions: keyword and vector routes fused; question and source vectors are paired by identifier."""
     v = table(spark, sf_dir, "embeddings")
     vectors = v.select(F.lit("file").alias("source_type"), F.col("vec_id").alias("source_id"), F.lit(0).alias("seq"), F.col("embedding").alias("vec"))
     asked = v.join(views.questions(spark, sf_dir), v.vec_id == F.col("question_id")).select("question_id", F.col("embedding").alias("vec"))
     hits = search.search(passages(spark, sf_dir), views.questions(spark, sf_dir), vectors, asked)
-    return hits.select("question_id", "rank", "source_type", "source_id", F.round("score", 9).alias("score"), F.array_join("channels", "+").alias("channels"))
+    return hits.select("question_id", F.col("rank").cast("long").alias("rank"), "source_type", "source_id", F.round("score", 9).alias("score"), F.array_join("channels", "+").alias("channels"))
 
 
 @query("semantic_chunk")

@@ -170,7 +170,10 @@ def relation_canonical(spark, sf_dir):
     return r.select("raw", graph.canonical_relation(F.col("raw")).alias("relation"))
 
 
-@query("entity_link")
+@query("entity_link", """
+with e as (select lower(regexp_replace(p_brand, '[_\\s·・-]', '', 'g')) as norm, count(distinct p_type) as spellings from part group by 1)
+select 'e-' || substr(sha256(norm), 1, 10) as id, norm, spellings, length(norm) between 1 and 40 and regexp_matches(norm, '[A-Za-z]') and not regexp_matches(norm, '[，。、；：！？,.!?;:]') as plausible from e
+""")
 def entity_link(spark, sf_dir):
     """Entities by normalised name, with identifiers and plausibility."""
     p = table(spark, sf_dir, "part").select(F.concat(F.lit(" "), "p_brand", F.lit("（"), "p_type", F.lit("）")).alias("raw")).distinct()

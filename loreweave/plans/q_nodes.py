@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loreweave.operators import graph, nodes
 from loreweave.plans.registry import query
 from loreweave.sources import table, views
+from loreweave.sources.views import ORDER_FREE
 
 R = views.RELATIONS
 RICH = f"""{R}, rich as (select head, relation, tail, weight + (length(head) * 7 + length(tail) * 3 + ascii(right(tail, 1))) % 5 / 10.0 as weight,
@@ -292,7 +293,7 @@ def entity_texts(spark, sf_dir):
     return p.select("p_partkey", nodes.embedding_text(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")), wiki).alias("described"))
 
 
-@query("partition_fingerprint")
+@query("partition_fingerprint", f"with {R}, h as (select sha256(head || '|' || tail || '|' || cast(round(weight, 6) as varchar)) as h from relations) select substr({ORDER_FREE}, 1, 16) as fingerprint from h")
 def partition_fingerprint(spark, sf_dir):
     """N17."""
     return nodes.partition_fingerprint(views.relations(spark, sf_dir).select("head", "tail", F.col("weight").alias("w")))

@@ -159,7 +159,7 @@ def compact_source_hash(spark, sf_dir):
     return o.select("page_id", wiki.compact_sources(F.col("codes")).alias("sources"))
 
 
-FREE = "sha256(concat_ws(':', sum(('0x' || h[1:8])::ubigint)::varchar, sum(('0x' || h[9:16])::ubigint)::varchar, sum(('0x' || h[17:24])::ubigint)::varchar, sum(('0x' || h[25:32])::ubigint)::varchar, count(*)::varchar))"
+FREE = views.ORDER_FREE
 
 
 @query("index_fingerprint", f"select 'index-' || substr({FREE}, 1, 16) as fingerprint from (select sha256(p_partkey || chr(1) || p_name) as h from part)")

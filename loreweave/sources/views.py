@@ -64,3 +64,5 @@ CORPUS = "corpus as (select 'file' as source_type, doc_id as source_id, source |
 TREE = "tree as (select 'r' || r_regionkey as id, cast(null as varchar) as parent_id, r_name as name from region union all select 'n' || n_nationkey, 'r' || n_regionkey, n_name from nation)"
 BRAND_PAIRS = "bought as (select distinct l_orderkey, p_brand from lineitem join part on l_partkey = p_partkey), brand_pairs as (select x.p_brand as a, y.p_brand as b, count(*) as n from bought x join bought y on x.l_orderkey = y.l_orderkey and x.p_brand < y.p_brand group by 1, 2)"
 RELATIONS = BRAND_PAIRS + ", relations as (select 's' || s_suppkey as head, 'part_of' as relation, 'n' || s_nationkey as tail, 1.0::double as weight from supplier union all select 'c' || c_custkey, 'part_of', 'n' || c_nationkey, 1.0 from customer union all select 'n' || n_nationkey, 'part_of', 'r' || n_regionkey, 1.0 from nation union all select a, 'related_to', b, 0.5 from brand_pairs)"
+# An order-free hash of hexadecimal digests ``h``.
+ORDER_FREE = "sha256(concat_ws(':', sum(('0x' || h[1:8])::ubigint)::varchar, sum(('0x' || h[9:16])::ubigint)::varchar, sum(('0x' || h[17:24])::ubigint)::varchar, sum(('0x' || h[25:32])::ubigint)::varchar, count(*)::varchar))"
