@@ -130,6 +130,8 @@ def edge_weights(rel: DataFrame) -> DataFrame:
 def wiki_sections_channel(sections: DataFrame, questions: DataFrame, most: int = 4) -> DataFrame:
     """``question_id, page_id, section, score, rank``: three for each term in the body, two in the heading, one in the name.
 
+    A plain scoring of stated terms; ``wiki.section_channel`` has the gates and weights of questions.
+
     The best section of each page comes first, then second ones. ``questions``
     carries ``terms``; it is a stated set that meets all sections in rounds.
     """

@@ -56,12 +56,15 @@ class ExactStore:
         return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pool)
 
     def search(self, space: str, queries: DataFrame, pool: int) -> DataFrame:
-        """``question_id, source_type, source_id, seq, score, rank``: the ``pool`` nearest by cosine of each (question_id, vec)."""
+        """``question_id, source_type, source_id, seq, score, rank``: the ``pool`` nearest by cosine of each (question_id, vec).
+
+        A query that is no vector (null, zero, not finite) has none; only vectors of its length are candidates.
+        """
         rounds = max(1, -(-queries.count() // QUERIES_PER_ROUND))
         found = None
         for turn in range(rounds):
-            q = queries.select("question_id", F.col("vec").alias("_q")).filter(F.pmod(F.xxhash64("question_id"), F.lit(rounds)) == turn)
-            scored = self._valid(space).crossJoin(F.broadcast(q)).select("question_id", *ITEM, vector.cosine(F.col("_q"), F.col("vec")).alias("score"))
+            q = queries.filter(vector.is_valid(F.col("vec"))).select("question_id", F.col("vec").alias("_q")).filter(F.pmod(F.xxhash64("question_id"), F.lit(rounds)) == turn)
+            scored = self._valid(space).crossJoin(F.broadcast(q)).filter(F.size("vec") == F.size("_q")).select("question_id", *ITEM, vector.cosine(F.col("_q"), F.col("vec")).alias("score"))
             best = self._best(scored, pool)
             found = best if found is None else found.unionByName(best)
         return found
@@ -132,7 +135,7 @@ class ClusteredStore(ExactStore):
             return self._best(valid.limit(0).crossJoin(queries.limit(0)).select("question_id", *ITEM, F.lit(0.0).alias("score")), pool)
         items = self.assigned(valid, centers)
         widest = {r.cluster: r.w for r in items.groupBy("cluster").agg(F.min("near").alias("w")).collect()}  # one row a cluster
-        angle = np.asarray([math.acos(max(-1.0, min(1.0, widest[c]))) if c in widest else -math.inf for c in range(len(centers))])
+        angle = np.asarray([math.acos(max(-1.0, min(1.0, widest.get(c, 1.0)))) for c in range(len(centers))])
 
         def answer(some: DataFrame) -> DataFrame:
             rows = some.collect()  # a round
@@ -140,11 +143,11 @@ class ClusteredStore(ExactStore):
             to_center = np.arccos(np.clip(q / np.linalg.norm(q, axis=1, keepdims=True) @ centers.T, -1, 1))
             bound = np.cos(np.maximum(0, to_center - angle[None, :]))
             order = np.argsort(to_center, axis=1)[:, : self.probes]
-            first = [(ids[i], int(c)) for i in range(len(ids)) for c in order[i] if np.isfinite(angle[c])]
+            first = [(ids[i], int(c)) for i in range(len(ids)) for c in order[i] if int(c) in widest]
             near = self._best(self._met(items, first, some), pool)
             kth = {r.question_id: r.score for r in near.filter(F.col("rank") == pool).select("question_id", "score").collect()}
             opened = set(first)
-            rest = [(ids[i], c) for i in range(len(ids)) for c in range(len(centers)) if np.isfinite(angle[c]) and bound[i, c] >= kth.get(ids[i], -2) - 1e-9 and (ids[i], c) not in opened]
+            rest = [(ids[i], c) for i in range(len(ids)) for c in range(len(centers)) if c in widest and bound[i, c] >= kth.get(ids[i], -2) - 1e-9 and (ids[i], c) not in opened]
             both = near.drop("rank").unionByName(self._met(items, rest, some)) if rest else near.drop("rank")
             return self._best(both, pool)
 
