@@ -168,7 +168,7 @@ def _scored(passages: DataFrame, asked: list, cfg: Config | None) -> DataFrame:
             held, best = kept(frame() if held is None else pd.concat([held, frame()]))
             least[order[np.searchsorted(ids[order], best.index.to_numpy())]] = np.maximum(best.to_numpy(), 1)
 
-        order = np.argsort(ids)
+        order, every = np.argsort(ids), np.arange(len(ids))
         waiting = 0
         for batch in batches:
             for kind, source, seq, title, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -176,15 +176,20 @@ def _scored(passages: DataFrame, asked: list, cfg: Config | None) -> DataFrame:
                 hit = in_title | in_body
                 if not hit:
                     continue
-                # only the questions of matched terms are touched, however many there are
                 touched = np.concatenate([members[i] for i in hit])
-                worth = np.repeat([5 if i in in_title and i in in_body else 3 for i in hit], [len(members[i]) for i in hit])
-                some, place = np.unique(touched, return_inverse=True)
-                score = np.bincount(place, worth).astype(np.int64)
-                can = score >= least[some]
-                if can.any():
+                both = in_title & in_body
+                if len(touched) * 4 < len(ids):  # few questions of many: only those of matched terms are touched
+                    worth = np.repeat([5 if i in both else 3 for i in hit], [len(members[i]) for i in hit])
+                    some, place = np.unique(touched, return_inverse=True)
+                    score = np.bincount(place, worth).astype(np.int64)
+                else:
+                    some, score = every, np.bincount(touched, minlength=len(ids)) * 3
+                    if both:
+                        score = score + 2 * np.bincount(np.concatenate([members[i] for i in both]), minlength=len(ids))
+                can = np.nonzero(score >= least[some])[0]
+                if len(can):
                     rows.append((some[can], score[can], (kind, source, seq)))
-                    waiting += int(can.sum())
+                    waiting += len(can)
                 if cfg and waiting >= 50_000:
                     prune()
                     waiting = 0

@@ -119,6 +119,18 @@ class TestSearch:
             with pytest.raises(ValueError):
                 search.search(p, q, mode=mode)
 
+    def test_few_of_many_questions(self, spark):
+        """Scores of questions that share few terms with a passage are those of the plain loop."""
+        rng = random.Random(4)
+        word = lambda i: "w" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10] + "q"
+        texts = {i: " ".join(rng.choice([word(rng.randrange(100)), "common"]) for _ in range(6)) for i in range(30)}
+        titles = {i: rng.choice([word(rng.randrange(100)), "x"]) for i in texts}
+        asked = {q: [word(q % 100), *(["common"] if q % 50 == 0 else [])] for q in range(160)}
+        want = {(q, i): s for q, terms in asked.items() for i in texts if (s := sum(5 if t in texts[i] and t in titles[i] else 3 if t in texts[i] or t in titles[i] else 0 for t in terms))}
+        p = spark.createDataFrame([("n", i, 0, titles[i], texts[i]) for i in texts], "source_type string, source_id long, seq int, title string, body string")
+        q = spark.createDataFrame([(q, " ".join(t)) for q, t in asked.items()], "question_id long, question string")
+        assert {(r.question_id, r.source_id): r.score for r in search.keyword_scores(p, q).collect()} == want
+
     def test_stale_vectors_leave_before_the_band(self, spark):
         v = spark.createDataFrame([("n", 1, 0, "old", [1.0, 0.0]), ("n", 2, 0, "now", [0.8, 0.6])], "source_type string, source_id long, seq int, chunk_text string, vec array<double>")
         fresh = spark.createDataFrame([("n", 1, 0, "new"), ("n", 2, 0, "now")], "source_type string, source_id long, seq int, chunk_text string")
