@@ -41,12 +41,17 @@ def upsert(known: DataFrame, incoming: DataFrame) -> DataFrame:
     return merged.select(graph.entity_id(F.col("norm")).alias("id"), "name", "norm", "type", F.array_remove("_all", F.col("name")).alias("aliases"), "source_count", "brief")
 
 
+def resolved(names: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``name, norm, id`` of the names (name, norm) that are known: by identifier, else by norm, else by an alias's norm (``alias_norms``)."""
+    table = reduce(DataFrame.unionByName, [nodes.select(F.lit(p).alias("p"), k.alias("k"), "id") for p, k in enumerate((F.col("id"), F.col("norm"), F.explode("alias_norms")))])
+    keys = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(c).alias("k")) for p, c in enumerate(("name", "norm", "norm"))]))
+    hits = names.select("name", "norm", keys.alias("_k")).select("name", "norm", "_k.*").join(table.filter("k <> ''"), ["p", "k"])
+    return hits.groupBy("name", "norm").agg(F.min(F.struct("p", "id")).alias("_hit")).select("name", "norm", F.col("_hit.id").alias("id"))
+
+
 def resolve(names: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``name, norm, id`` of names (name, norm): by identifier, else by norm, else by an alias's norm (``alias_norms``); null if none."""
-    tables = [(nodes.select(F.col("id").alias("k"), "id"), "name", 0), (nodes.select(F.col("norm").alias("k"), "id"), "norm", 1), (nodes.select(F.explode("alias_norms").alias("k"), "id"), "norm", 2)]
-    hits = [names.join(t.filter("k <> ''"), F.col(by) == F.col("k")).select("name", "norm", F.struct(F.lit(p).alias("p"), "id").alias("hit")) for t, by, p in tables]
-    best = reduce(DataFrame.unionByName, hits).groupBy("name", "norm").agg(F.min("hit").alias("hit"))
-    return names.select("name", "norm").distinct().join(best, ["name", "norm"], "left").select("name", "norm", F.col("hit.id").alias("id"))
+    """``name, norm, id`` of every name (name, norm), null where none is known."""
+    return names.select("name", "norm").distinct().join(resolved(names, nodes), ["name", "norm"], "left")
 
 
 def corrected(relation: Column, quote: Column) -> Column:
@@ -62,8 +67,8 @@ def accept_triples(raw: DataFrame, nodes: DataFrame) -> DataFrame:
     ok = reduce(lambda a, b: a & b, [graph.plausible_name(F.col(c)) & graph.admissible_concept(F.col(c)) for c in ("head", "tail")])
     spellings = raw.select("relation").distinct().withColumn("_kind", graph.canonical_relation(F.col("relation"))).filter("_kind is not null")  # few spellings, many rows
     named = raw.filter(ok).join(spellings, "relation").withColumn("relation", corrected(F.col("_kind"), F.col("evidence"))).drop("_kind")
-    ends = named.select(F.col("head").alias("name"), F.col("head_norm").alias("norm")).unionByName(named.select(F.col("tail").alias("name"), F.col("tail_norm").alias("norm")))
-    known = resolve(ends.distinct(), nodes).filter("id is not null")
+    both = F.array(*[F.struct(F.col(c).alias("name"), F.col(f"{c}_norm").alias("norm")) for c in ("head", "tail")])
+    known = resolved(named.select(F.explode(both).alias("e")).select("e.*").distinct(), nodes)
     for side in ("head", "tail"):
         named = named.join(known.select(F.col("name").alias(side), F.col("norm").alias(f"{side}_norm"), F.col("id").alias(f"_{side}")), [side, f"{side}_norm"])
     return graph.merge_triples(named.filter("_head <> _tail").select("id", F.col("_head").alias("head"), "relation", F.col("_tail").alias("tail"), "evidence", "sources", "weight"))
