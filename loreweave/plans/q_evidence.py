@@ -126,7 +126,19 @@ def citation_lists(spark, sf_dir):
     return d.select(F.col("doc_id").alias("page_id"), F.array_join(lineage.citations(F.col("m")), ",").alias("refs"))
 
 
-@query("plain_summaries")
+def _summary_sql() -> str:
+    """The chain of H09 in SQL: markup, entities, rules and prefixes of lines, links, inline marks, white space."""
+    s = "text"
+    for p in ("(?s)```.*?```", "(?s)~~~.*?~~~", "(?s)<!--.*?-->", "(?s)<[^<>]{0,300}>", r"(?s)<\s*/?\s*[a-zA-Z][^<>]{0,300}$"):
+        s = f"regexp_replace({s}, '{p}', ' ', 'g')"
+    for name, char in (("nbsp", "' '"), ("lt", "'<'"), ("gt", "'>'"), ("quot", "chr(34)"), ("#39", "chr(39)"), ("apos", "chr(39)"), ("mdash", "'—'"), ("ndash", "'–'"), ("hellip", "'…'"), ("amp", "'&'")):
+        s = f"replace({s}, '&{name};', {char})"
+    for p, by in ((r"(?m)^\s*[-=*_]{3,}\s*$", " "), (r"(?m)^[\s|:-]+$", " "), (r"(?m)^\s*(?:#{1,6}|>|[-*+]|\d+\.)\s+", " "), (r"!?\[([^\]]*)\]\([^)]*\)", r"\1"), ("[#*_`~|]", ""), (r"\s+", " ")):
+        s = f"regexp_replace({s}, '{p}', '{by}', 'g')"
+    return f"select doc_id, trim({s}) as summary from documents"
+
+
+@query("plain_summaries", _summary_sql())
 def plain_summaries(spark, sf_dir):
     """H09 over all texts."""
     return table(spark, sf_dir, "documents").select("doc_id", text.plain_summary(F.col("text")).alias("summary"))
