@@ -43,7 +43,11 @@ def material_sample(spark, sf_dir):
     return material.sample(given).drop("prompt")
 
 
-@query("section_outline")
+@query("section_outline", r"""
+with d as (select doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)) as parts from documents),
+s as (select doc_id, len(parts) as n, unnest(range(len(parts))) as seq from d)
+select doc_id, cast(seq as integer) as seq, cast(seq // 6 * 6 + 1 as integer) as parent_seq, (seq // 6 % 999 + 1) || '.1 Section of words' as parent_heading from s where seq % 6 in (2, 3) and seq // 6 * 6 + 3 < n
+""")
 def section_outline(spark, sf_dir):
     """All sentences of documents as passages under numbered headings made from their place, six to a root."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?。！？])\s+|\n+")).alias("seq", "sentence"))
