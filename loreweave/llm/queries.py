@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from loreweave.llm import bytebpe, licenses, media, packing, pii, quality, simhash, sstable, topk, toxicity
+from loreweave.llm import bytebpe, licenses, media, packing, pii, quality, resample, simhash, spelling, sstable, token_counts, topk, toxicity
 
 
 def queries() -> dict:
@@ -18,9 +18,12 @@ def queries() -> dict:
         "op8_license_notices": licenses.op8,
         "op9_wav_fingerprints": media.op9,
         "op10_pii_surrogates": pii.op10,
+        "op11_spelling_variants": spelling.op11,
+        "op12_token_counts": token_counts.op12,
+        "op13_importance_resampling": resample.op13,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op6_columnar_top_k": topk.ORACLE}
+    return {"op6_columnar_top_k": topk.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op13_importance_resampling": resample.ORACLE}
