@@ -24,7 +24,6 @@ import functools
 import hashlib
 import json
 import re
-import sys
 import unicodedata
 from collections import Counter
 
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.llm.common import slices, staged, texts_of
-from loreweave.llm.tokens import ASCII_PRE_TOKENS, BYTE_CHARS, SEPARATORS
+from loreweave.llm.tokens import ASCII_PRE_TOKENS, BYTE_CHARS, SEPARATORS, Memory
 
 #: Distinct pre-tokens that a task of the first reading holds before it hands them on.
 HELD = 400_000
@@ -43,12 +42,8 @@ HOT_ROWS = 200_000
 KEY_CHARS = 64
 
 
-@functools.cache
-def _unassigned() -> re.Pattern:
-    """Characters without a category here; libraries of other Unicode versions may know them."""
-    points = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
-    cuts = [0, *(i for i in range(1, len(points)) if points[i] != points[i - 1] + 1), len(points)]
-    return re.compile("[" + "".join(f"{chr(points[a])}-{chr(points[b - 1])}" for a, b in zip(cuts, cuts[1:], strict=False)) + "]")
+#: A space before white space, or at the end: there a text is not cut into chunks.
+DOUBT = re.compile("\x20(?:[\\s\u180e]|\\Z)").search
 
 
 class PreTokens:
@@ -70,22 +65,34 @@ class PreTokens:
         self.bytes = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.pattern = regex.compile(public_tokenizers.PATTERN).findall
         self.model = self.library.model
-
-    def cut(self, text: str) -> tuple[list[str], int]:
-        """The pre-tokens of a text and the number of special strings between them."""
-        if self.special is None or not self.special.search(text):
-            return self._plain(text), 0
-        parts = self.special.split(text)
-        return [p for part in parts for p in self._plain(part)], len(parts) - 1
-
-    def _plain(self, text: str) -> list[str]:
+        self.assigned: set[str] = set()
+
+    def count(self, text: str, spaced: Counter, plain: Counter) -> int:
+        """Add a text's chunks between spaces to ``spaced`` and its other pre-tokens to ``plain``; returns the special strings in it."""
+        parts = [text] if self.special is None else self.special.split(text)
+        for part in parts:
+            if self.bytes and not DOUBT(part):
+                first, *rest = part.split(" ")
+                spaced.update(rest)
+                plain.update(self.cut(first))
+            else:
+                plain.update(self.cut(part))
+        return len(parts) - 1
+
+    def cut(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special strings."""
         if not self.bytes:
             normal = self.library.normalizer
             return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal.normalize_str(text) if normal else text)]
         if text.isascii() and not any(c in text for c in SEPARATORS):
             return ASCII_PRE_TOKENS(text)
-        if _unassigned().search(text):
-            return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        # characters without a category here may have one in the library, or the other way round
+        new = set(text) - self.assigned
+        if new:
+            known = {c for c in new if unicodedata.category(c) != "Cn"}
+            self.assigned |= known
+            if len(known) < len(new):
+                return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         return self.pattern(text)
 
     def pieces(self, pre_token: str) -> int:
@@ -112,17 +119,21 @@ def distinct_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``key, n, pieces``: every distinct pre-token, its occurrences and its pieces, counted once."""
 
     def gather(batches):
-        cutter, seen = pre_tokens(tokenizer), Counter()
+        cutter, spaced, seen = pre_tokens(tokenizer), Counter(), Counter()
 
         def handed():
-            long = [len(p) > KEY_CHARS for p in seen]
-            yield pa.RecordBatch.from_arrays([pa.array(map(key_of, seen), pa.string()), pa.array(seen.values(), pa.int64()), pa.array((cutter.pieces(p) if x else None for p, x in zip(seen, long, strict=True)), pa.int64())], schema=SEEN)
+            for chunk, n in spaced.items():
+                for pre_token in cutter.cut(" " + chunk):
+                    seen[pre_token] += n
+            spaced.clear()
+            pieces = (cutter.pieces(p) if len(p) > KEY_CHARS else None for p in seen)
+            yield pa.RecordBatch.from_arrays([pa.array(map(key_of, seen), pa.string()), pa.array(seen.values(), pa.int64()), pa.array(pieces, pa.int64())], schema=SEEN)
             seen.clear()
 
         for part in slices(batches):
             for text in part.column(0).to_pylist():
-                seen.update(cutter.cut(text)[0])
-                if len(seen) >= HELD:
+                cutter.count(text, spaced, seen)
+                if len(seen) + len(spaced) >= HELD:
                     yield from handed()
         yield from handed()
 
@@ -156,20 +167,26 @@ def document_counts(docs: DataFrame, tokenizer: str, hot: dict[str, int]) -> Dat
         from pyspark import TaskContext
 
         cutter, known, row = pre_tokens(tokenizer), shared.value, TaskContext.get().partitionId() << 36
+
+        def split(found: list[str]) -> tuple[int, list[str]]:
+            """Pieces of the hot pre-tokens among some, and the keys of the others."""
+            keys = list(map(key_of, found))
+            return sum(known.get(k, 0) for k in keys), [k for k in keys if k not in known]
+
+        chunks = Memory(lambda chunk: split(cutter.cut(" " + chunk)))
+        Memory.only(chunks)
         for part in slices(batches):
             rows = []
             for doc_id, text, n_bytes in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                cut, tokens = cutter.cut(text)
-                rest = []
-                for pre_token, n in Counter(cut).items():
-                    pieces = known.get(pre_token)
-                    if pieces is None and len(pre_token) > KEY_CHARS:
-                        pieces = known.get(key_of(pre_token))
-                    if pieces is None:
-                        rest.append({"key": key_of(pre_token), "n": n})
-                    else:
+                spaced, plain, rest = Counter(), Counter(), Counter()
+                tokens = cutter.count(text, spaced, plain)
+                for counts, pieces_of in ((spaced, chunks.__getitem__), (plain, lambda p: split([p]))):
+                    for key, n in counts.items():
+                        pieces, others = pieces_of(key)
                         tokens += n * pieces
-                rows.append({"row": row, "doc_id": doc_id, "n_bytes": n_bytes, "n_tokens": tokens, "rest": rest})
+                        for k in others:
+                            rest[k] += n
+                rows.append({"row": row, "doc_id": doc_id, "n_bytes": n_bytes, "n_tokens": tokens, "rest": [{"key": k, "n": n} for k, n in rest.items()]})
                 row += 1
             yield pa.RecordBatch.from_pylist(rows, DOCUMENT)
 
