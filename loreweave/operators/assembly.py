@@ -7,11 +7,14 @@ from collections.abc import Callable
 from typing import Protocol
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loreweave.config import Config
 from loreweave.operators import context, rank, search
+from loreweave.sources.staging import staged
 
 # The least characters of a neighbour's excerpt, passages that a reranker sees, extra queries of a question.
 LEAST_EXCERPT, RERANK_WINDOW, MOST_EXTRA = 160, 60, 16
@@ -45,83 +48,88 @@ def related(hits: DataFrame, passages: DataFrame, openings: DataFrame | None = N
 class _Entry:
     """A passage of the context: its seed and what was added around it, by place in the source."""
 
-    def __init__(self, row: dict, body: str):
-        self.row, self.bodies = row, {row["seq"]: body}
-        self.heading = ""
+    def __init__(self, row: dict):
+        self.row, self.bodies, self.heading = row, {}, ""
 
-    def size(self, bodies: dict | None = None) -> int:
-        bodies = self.bodies if bodies is None else bodies
+    def size(self) -> int:
         label = len(f"[{self.row['source_type']}#{self.row['source_id']}] {self.row['title'] or ''}\n") + 2
-        parts = [len(b) + (len(f"[seq={s}]\n") if len(bodies) > 1 else 0) for s, b in bodies.items()]
+        parts = [len(b) + (len(f"[seq={s}]\n") if len(self.bodies) > 1 else 0) for s, b in self.bodies.items()]
         return label + sum(parts) + 2 * (len(parts) - 1) + len(self.heading)
 
     def text(self) -> str:
         ordered = sorted(self.bodies.items())
         return ordered[0][1] if len(ordered) == 1 else "\n\n".join(f"[seq={s}]\n{b}" for s, b in ordered)
 
+    def put(self, seq: int, body: str, heading: str, room: int) -> int | None:
+        """Take a body in if that costs at most ``room``: the cost, else null and no change."""
+        before, old = self.size() if self.bodies else 0, self.heading
+        self.bodies[seq], self.heading = body, heading or old
+        cost = self.size() - before
+        if cost <= room:
+            return cost
+        del self.bodies[seq]
+        self.heading = old
+        return None
+
+
+class _Context:
+    """The entries of one question's context; every offer of text is answered against the room that is left."""
+
+    def __init__(self, cfg: Config, reserved: int):
+        self.cfg, self.room = cfg, cfg.total_chars - reserved - FRAME
+        self.entries: dict[int, _Entry] = {}  # by the seed's rank
+        self.taken: set[tuple] = set()
+
+    def offer(self, row: dict, body: str, heading: str = "", shorten: bool = False) -> bool:
+        """Put a row's body into the entry of its rank; with ``shorten`` an excerpt of it where all of it is too long."""
+        key = row["source_type"], row["source_id"], row["seq"]
+        if not body or key in self.taken:
+            return False
+        entry = self.entries.get(row["rank"]) or _Entry(row)
+        cost = entry.put(row["seq"], body, heading, self.room)
+        if cost is None and shorten:
+            excess = (entry.put(row["seq"], body, heading, 1 << 60) or 0) - self.room
+            del entry.bodies[row["seq"]]
+            left = len(body) - excess
+            short = context.structure_excerpt(row["question"], body, min(left, self.cfg.passage_chars)) if left >= min(len(body), LEAST_EXCERPT) else ""
+            cost = entry.put(row["seq"], short, heading, self.room) if short else None
+        if cost is None:
+            return False
+        self.room -= cost
+        self.entries[row["rank"]] = entry
+        self.taken.add(key)
+        return True
+
 
 def arranged(rows: list[dict], cfg: Config, reserved: int) -> list[_Entry]:
-    """The entries of one question's context.
+    """The entries of one question's context: a list of offers of text, made in order to one budget.
 
-    Seeds come first, in order, each excerpted to a passage's length; one that
-    does not fit is skipped. Then at most one section opening that speaks of the
-    question, whole or not at all. What is left goes to neighbours in turns: those
-    that add most to what the entry covers first; one that does not fit is
-    excerpted to the room there is, if that is worth it.
+    Seeds by rank, excerpted to a passage's length; then openings of the sections
+    of files, whole, until one is taken; then neighbours, in turns over the entries,
+    of each entry those first that add most to what it covers. Graph passages
+    take nothing beside them.
     """
-    by: dict[str, list[dict]] = {}
-    for r in sorted(rows, key=lambda r: (r["rank"], r["seq"])):
-        by.setdefault(r["role"], []).append(r)
-    budget = cfg.total_chars - reserved - FRAME
-    entries: list[_Entry] = []
-    used, taken = 0, set()
-    key = lambda r: (r["source_type"], r["source_id"], r["seq"])
-    for r in by.get("seed", []):
-        body = context.structure_excerpt(r["question"], (r["body"] or "").strip(), cfg.passage_chars)
-        if len(entries) < cfg.max_passages and body and key(r) not in taken:
-            entry = _Entry(r, body)
-            if used + entry.size() <= budget:
-                entries.append(entry)
-                used += entry.size()
-                taken.add(key(r))
-    of_rank = {e.row["rank"]: e for e in entries}
-
-    def add(entry: _Entry, r: dict, body: str, heading: str = "") -> bool:
-        nonlocal used
-        before = entry.size()
-        more = entry.size({**entry.bodies, r["seq"]: body}) + len(heading)
-        if used - before + more > budget:
-            return False
-        entry.bodies[r["seq"]], entry.heading = body, heading or entry.heading
-        used += more - before
-        taken.add(key(r))
-        return True
-
-    for r in by.get("parent", []) if cfg.neighbor_count else []:
-        entry, body = of_rank.get(r["rank"]), (r["body"] or "").strip()
-        if entry and key(r) not in taken and 0 < len(body) <= cfg.passage_chars and context.relevance(r["question"], f"{r['heading']}\n{body}")[0] > 0 and add(entry, r, body, r["heading"]):
-            break
-    queues: dict[int, list] = {}
-    for r in [*by.get("next", []), *by.get("previous", [])]:
-        entry = of_rank.get(r["rank"])
-        body = context.structure_excerpt(r["question"], (r["body"] or "").strip(), cfg.passage_chars)
-        if entry and body:
-            total, new = context.relevance(r["question"], body, "\n".join(entry.bodies.values()))
-            if total > 0 or (r["heading"] or "").strip():
-                queues.setdefault(r["rank"], []).append((-new, -total, r["role"] != "next", r["seq"], r, body))
-    queues = {k: sorted(q, key=lambda x: x[:4])[: cfg.neighbor_count] for k, q in queues.items()}
-    for turn in range(cfg.neighbor_count):
-        for at, entry in of_rank.items():
-            if len(entry.bodies) - 1 < cfg.neighbor_count and turn < len(queues.get(at, [])):
-                *_, r, body = queues[at][turn]
-                if key(r) in taken or add(entry, r, body):
-                    continue
-                room = budget - used + entry.size() - (entry.size({**entry.bodies, r["seq"]: body}) - len(body))
-                if room >= min(len(body), LEAST_EXCERPT):
-                    short = context.structure_excerpt(r["question"], body, min(room, cfg.passage_chars))
-                    if short:
-                        add(entry, r, short)
-    return entries
+    made = _Context(cfg, reserved)
+    clean = {id(r): (r["body"] or "").strip() for r in rows}
+    ordered = sorted(rows, key=lambda r: (r["rank"], r["role"] == "previous", r["seq"]))
+    cut = lambda r: context.structure_excerpt(r["question"], clean[id(r)], cfg.passage_chars)
+    for seed in (r for r in ordered if r["role"] == "seed"):
+        if len(made.entries) < cfg.max_passages:
+            made.offer(seed, cut(seed))
+    grows = {rank: e for rank, e in made.entries.items() if e.row["seq"] >= 0 and "graph" not in (e.row["channels"] or [])}
+    around = [r for r in ordered if r["rank"] in grows and cfg.neighbor_count > 0]
+    speaks = lambda r: len(clean[id(r)]) <= cfg.passage_chars and context.relevance(r["question"], f"{r['heading']}\n{clean[id(r)]}")[0] > 0
+    any(made.offer(r, clean[id(r)], r["heading"]) for r in around if r["role"] == "parent" and r["source_type"] == "file" and (r["heading"] or "").strip() and speaks(r))
+    ranked: dict[int, list[tuple]] = {}
+    for place, r in enumerate(r for r in around if r["role"] in ("next", "previous")):
+        total, more = context.relevance(r["question"], body := cut(r), "\n".join(grows[r["rank"]].bodies.values()))
+        if body and (total > 0 or (r["heading"] or "").strip()):
+            ranked.setdefault(r["rank"], []).append((-more, -total, place, r, body))
+    turns = sorted((turn, rank, *best[3:]) for rank, all_ in ranked.items() for turn, best in enumerate(sorted(all_, key=lambda x: x[:3])[: cfg.neighbor_count]))
+    for _, rank, r, body in turns:
+        if len(grows[rank].bodies) <= cfg.neighbor_count:
+            made.offer(r, body, shorten=True)
+    return list(made.entries.values())
 
 
 CONTEXT = pa.schema([("question_id", pa.int64()), ("position", pa.int32()), ("source_type", pa.string()), ("source_id", pa.int64()), ("seq", pa.int32()), ("members", pa.list_(pa.int32())), ("channels", pa.list_(pa.string())), ("excerpt", pa.string()), ("chars", pa.int32())])
@@ -172,7 +180,7 @@ def supplemental(extra: DataFrame, passages: DataFrame, vectors: DataFrame | Non
     if vectors is not None:
         routes = routes.unionByName(search.vector_channel(vectors, one.select("question_id", "vec"), cfg).select("question_id", *PASSAGE, "rank", F.lit("vector").alias("route")))
     fused = search.fuse(routes, cfg)
-    back = fused.select(F.floor(F.col("question_id") / MOST_EXTRA).alias("question_id"), F.pmod("question_id", F.lit(MOST_EXTRA)).cast("int").alias("route"), *PASSAGE, "rank")
+    back = fused.select(F.expr(f"question_id div {MOST_EXTRA}").alias("question_id"), F.pmod("question_id", F.lit(MOST_EXTRA)).cast("int").alias("route"), *PASSAGE, "rank")
     return rank.interleave(back, ["question_id"], PASSAGE, cfg.candidates).drop("route")
 
 
@@ -219,19 +227,23 @@ class LexicalReranker:
         return scored.withColumn("position", place).select("question_id", *PASSAGE, "position")
 
 
+#: What a backend may fail with, while it plans or while it runs, for the next one to be tried.
+BACKEND_ERRORS = (PySparkException, Py4JError, OSError, ValueError, RuntimeError, TypeError, KeyError)
+
+
 def rerank(hits: DataFrame, backends: list[Reranker]) -> tuple[DataFrame, str]:
     """Hits in the order of the first backend that answers, its name; in their own order (``none``) if none does.
 
     The first sixty hits of a question are shown; a question with two hits or fewer keeps its order.
+    A backend's order is written as a table here, so one that fails while it runs is passed over too.
     """
     n = F.count("*").over(Window.partitionBy("question_id"))
     shown = hits.withColumn("_n", n).filter((F.col("_n") > 2) & (F.col("rank") <= RERANK_WINDOW)).drop("_n")
     for backend in backends:
         try:
-            order = backend.order(shown)
-            order.schema  # noqa: B018 - a backend that cannot plan has failed here
+            order = staged(backend.order(shown).select("question_id", *PASSAGE, "position"), "order")
             return rank.rerank_merge(hits, order, ["question_id"], PASSAGE), backend.name
-        except Exception:  # noqa: BLE001, S112 - the next backend is tried
+        except BACKEND_ERRORS:
             continue
     return hits, "none"
 
@@ -265,7 +277,7 @@ class Trace:
         """The stage's table, counted; an error becomes a row and ``empty`` the result."""
         began = time.monotonic()
         try:
-            out = made()
+            out = staged(made(), "stage")  # run once: counted here, read by the next stage
             n, status, why = out.count(), "ok", ""
         except Exception as error:  # noqa: BLE001 - a failed stage is a row
             out, n, status, why = empty, 0, "failed", f"{type(error).__name__}: {error}"[:300]

@@ -111,12 +111,29 @@ def replace_support(rel: DataFrame, ref: str, fresh: DataFrame) -> DataFrame:
 
 
 def merge_nodes(rel: DataFrame, same: DataFrame) -> DataFrame:
-    """Edges with ends mapped by ``old, new``; loops go, equal edges merge."""
+    """Edges with ends mapped by ``old, new``; loops go, equal edges merge. Their nodes: ``merge_names``."""
     h, t = same.select(F.col("old").alias("head"), F.col("new").alias("_h")), same.select(F.col("old").alias("tail"), F.col("new").alias("_t"))
     m = rel.join(h, "head", "left").join(t, "tail", "left").withColumn("head", F.coalesce("_h", "head")).withColumn("tail", F.coalesce("_t", "tail"))
     return merge_triples(m.filter("head <> tail"))
 
 
+def merge_names(nodes: DataFrame, same: DataFrame) -> DataFrame:
+    """Nodes (id, name, aliases, source_count) after those of ``same`` (old, new) went into others.
+
+    A node that others went into keeps its name; their names and aliases become
+    aliases of it, once each, and their source counts are added. Loops of
+    ``same`` and nodes that are to go into unknown ones change nothing.
+    """
+    known = nodes.select(F.col("id").alias("new"))
+    into = same.filter("old <> new").join(known, "new", "left_semi").select(F.col("old").alias("id"), "new")
+    moved = nodes.join(into, "id", "left").withColumn("_own", F.col("new").isNull()).withColumn("_to", F.coalesce("new", "id"))
+    rows = moved.groupBy("_to").agg(
+        F.max(F.when(F.col("_own"), F.col("name"))).alias("name"), F.sum("source_count").alias("source_count"),
+        F.array_distinct(F.flatten(F.array_sort(F.collect_list(F.struct((~F.col("_own")).alias("later"), "id", F.concat(F.when(F.col("_own"), F.array().cast("array<string>")).otherwise(F.array("name")), F.coalesce("aliases", F.array().cast("array<string>"))).alias("all"))))["all"])).alias("_all"),
+    )
+    return rows.select(F.col("_to").alias("id"), "name", F.array_remove("_all", F.col("name")).alias("aliases"), "source_count")
+
+
 def delete_nodes(rel: DataFrame, gone: DataFrame) -> DataFrame:
     """Edges without those at a deleted node."""
     return rel.join(gone.select(F.col("id").alias("head")), "head", "left_anti").join(gone.select(F.col("id").alias("tail")), "tail", "left_anti").select(rel.columns)

@@ -6,10 +6,12 @@ import re
 import unicodedata
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreweave.operators import rank
+from loreweave.sources.staging import staged
+
 # The closed vocabulary and its properties.
 TRANSITIVE = ["is_a", "part_of", "prerequisite"]
 SYMMETRIC = ["contrast_with", "related_to"]
@@ -271,55 +273,54 @@ def leiden(n: int, edges: list[tuple[int, int, float]], gamma: float = 1.0, seed
     return [order.setdefault(c, len(order)) for c in of]
 
 
-def communities(edges: DataFrame, gamma: float = 1.0, seed: int = 42) -> DataFrame:
-    """``id, community`` by Leiden, one task per connected graph ``g`` if the column is there, else for the whole.
-
-    A concept graph is of driver size by contract; use ``g`` to split larger ones.
-    """
-
-    def run(group: pa.Table) -> pa.Table:
-        a, b = group["a"].to_pylist(), group["b"].to_pylist()
-        ids = sorted(set(a) | set(b))
-        at = {x: i for i, x in enumerate(ids)}
-        links = sorted((at[x], at[y], w) for x, y, w in zip(a, b, group["w"].to_pylist(), strict=True))
-        found = leiden(len(ids), links, gamma, seed)
-        return pa.table({"id": ids, "community": pa.array(found, pa.int32())})
-
-    keyed = edges if "g" in edges.columns else edges.withColumn("g", F.lit(0))
-    return keyed.select("g", "a", "b", F.col("w").cast("double")).groupBy("g").applyInArrow(run, f"id {dict(edges.dtypes)['a']}, community int")
-
-
 def rollup_communities(edges: DataFrame, member: DataFrame) -> DataFrame:
     """``x, y, n, derived``: edges counted between communities, unordered pairs."""
     ends = edges.join(member.select(F.col("id").alias("head"), F.col("community").alias("ca")), "head").join(member.select(F.col("id").alias("tail"), F.col("community").alias("cb")), "tail")
     return ends.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("ca") <= F.col("cb"), 1).otherwise(0)).alias("forward"))
 
 
-#: Proposals that one round of ``degree_cap`` looks at.
-PROPOSALS_PER_ROUND = 2_000
+def first_of_each_pair(proposals: DataFrame) -> DataFrame:
+    """Of the proposals (a, b, ordinal, and relation if it is there) of one unordered pair the first; loops go."""
+    kind = ["relation"] if "relation" in proposals.columns else []
+    rest = [c for c in proposals.columns if c not in ("a", "b", "ordinal", *kind)]
+    row = F.struct("ordinal", "a", "b", *rest)
+    one = proposals.filter("a <> b").groupBy(F.least("a", "b").alias("_x"), F.greatest("a", "b").alias("_y"), *kind).agg(F.min(row).alias("_r"))
+    return one.select("_r.*", *kind).select(proposals.columns)
 
 
 def degree_cap(proposals: DataFrame, per_node: int = 3, most: int = 30) -> DataFrame:
-    """Edges in order of ``ordinal, a, b``, each accepted while both ends have fewer than ``per_node``; at most ``most``.
-
-    A greedy choice over all proposals, however many: a round takes the first of
-    those between nodes that still have room. Each accepts one edge at least, so
-    there are at most ``most`` rounds, and at most 2 * most nodes are full.
+    """Edges in order of ``ordinal, a, b``, each accepted while both ends have fewer than ``per_node``; at most ``most``.
+
+    The greedy choice, as rounds of joins. An edge that is among the first
+    ``per_node`` of the edges not rejected, at both its ends, is accepted
+    whatever becomes of the others; where a node's first ``per_node`` are all
+    accepted, its later ones are rejected. The first open edge is always
+    decided, and mostly a large share of all. Once ``most`` are accepted, what
+    comes after the last of them cannot count and goes. The first ``per_node``
+    of a node are taken where its edges are read, so that a node with very many
+    does not gather them.
     """
-    left, degree, kept = proposals.filter("a <> b"), {}, []
-    while len(kept) < most:
-        full = [x for x, n in degree.items() if n >= per_node]
-        room = left.filter(~F.col("a").isin(full) & ~F.col("b").isin(full)) if full else left
-        batch = room.orderBy("ordinal", "a", "b").limit(PROPOSALS_PER_ROUND).collect()
-        for row in batch:
-            if len(kept) < most and max(degree.get(row.a, 0), degree.get(row.b, 0)) < per_node:
-                kept.append(row)
-                degree[row.a], degree[row.b] = degree.get(row.a, 0) + 1, degree.get(row.b, 0) + 1
-        if len(batch) < PROPOSALS_PER_ROUND:
-            break
-        last = batch[-1]
-        left = left.filter(F.struct("ordinal", "a", "b") > F.struct(F.lit(last.ordinal), F.lit(last.a), F.lit(last.b)))
-    return proposals.sparkSession.createDataFrame(kept, proposals.schema)
+    left = staged(first_of_each_pair(proposals).withColumn("_in", F.lit(False)), "proposals")
+    place = ["ordinal", "a", "b"]
+    key = [*place, *(["relation"] if "relation" in proposals.columns else [])]
+    while True:
+        ends = left.select(*key, "_in", F.explode(F.array("a", "b")).alias("_id"))
+        first = rank.top(ends, ["_id"], [F.col(c) for c in key], per_node)
+        first = staged(first, "first")
+        taken = first.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n = 2").select(*key, F.lit(True).alias("_new"))
+        marked = left.join(taken, key, "left").withColumn("_in", F.col("_in") | F.coalesce("_new", F.lit(False))).drop("_new")
+        full = first.join(taken, key, "left").groupBy("_id").agg(F.count_if(F.col("_in") | F.coalesce("_new", F.lit(False))).alias("_n")).filter(F.col("_n") >= per_node)
+        for side in ("a", "b"):
+            at = full.select(F.col("_id").alias(side), F.lit(True).alias(f"_{side}"))
+            marked = marked.join(at, side, "left")
+        marked = staged(marked.filter("_in or (_a is null and _b is null)").select(left.columns), "proposals")
+        accepted = marked.filter("_in")
+        if accepted.count() >= most:
+            last = accepted.select(F.struct(*place).alias("_p")).orderBy("_p").limit(most).agg(F.max("_p").alias("_last"))
+            marked = marked.crossJoin(F.broadcast(last)).filter(F.struct(*place) <= F.col("_last")).drop("_last")  # one row
+        left = marked
+        if left.filter("not _in").isEmpty():
+            return left.filter("_in").orderBy(*place).limit(most).select(proposals.columns)
 
 
 def tree_paths(tree: DataFrame, most: int = 16) -> DataFrame:

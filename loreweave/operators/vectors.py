@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loreweave.functions import vector
 from loreweave.operators import rank
+from loreweave.sources.staging import staged
 
 ITEM = ["source_type", "source_id", "seq"]
 #: Query vectors of one round; what is broadcast is bounded by it.
@@ -114,16 +115,15 @@ class ClusteredStore(ExactStore):
         return valid.filter(F.size("vec") == dim).withColumn("_c", run("vec")).select(*ITEM, "vec", "_c.*")
 
     def _met(self, items: DataFrame, pairs: list[tuple], queries: DataFrame) -> DataFrame:
-        """Scores of the stated (question, cluster) pairs; a round's pairs and queries are broadcast."""
-        spark = items.sparkSession
-        asked = spark.createDataFrame(pairs, "question_id long, cluster int").join(queries, "question_id")
-        return items.join(F.broadcast(asked), "cluster").select("question_id", *ITEM, vector.cosine(F.col("_q"), F.col("vec")).alias("score"))
+        """Scores of the stated (question, cluster) pairs; a round's pairs and its queries are broadcast, each once."""
+        asked = items.sparkSession.createDataFrame(pairs, "question_id long, cluster int")
+        return items.join(F.broadcast(asked), "cluster").join(F.broadcast(queries), "question_id").select("question_id", *ITEM, vector.cosine(F.col("_q"), F.col("vec")).alias("score"))
 
     def search(self, space: str, queries: DataFrame, pool: int) -> DataFrame:
         """As of the exact store; query identifiers are integers."""
         valid = self._valid(space)
         good = queries.filter(vector.is_valid(F.col("vec"))).select(F.col("question_id").cast("long").alias("question_id"), F.col("vec").alias("_q"))
-        dims = [r.n for r in good.select(F.size("_q").alias("n")).distinct().limit(16).collect()]
+        dims = [r.n for r in good.select(F.size("_q").alias("n")).distinct().collect()]  # one row a length
         parts = [self._search_dim(valid, good.filter(F.size("_q") == n), n, pool) for n in dims]
         if not parts:
             return ExactStore.search(self, space, queries.limit(0), pool)
@@ -133,7 +133,7 @@ class ClusteredStore(ExactStore):
         centers = self.centroids(valid, dim)
         if not len(centers):
             return self._best(valid.limit(0).crossJoin(queries.limit(0)).select("question_id", *ITEM, F.lit(0.0).alias("score")), pool)
-        items = self.assigned(valid, centers)
+        items = staged(self.assigned(valid, centers), "assigned")
         widest = {r.cluster: r.w for r in items.groupBy("cluster").agg(F.min("near").alias("w")).collect()}  # one row a cluster
         angle = np.asarray([math.acos(max(-1.0, min(1.0, widest.get(c, 1.0)))) for c in range(len(centers))])
 

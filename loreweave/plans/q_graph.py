@@ -77,12 +77,6 @@ def modularity(spark, sf_dir):
     return graph.modularity(e, c)
 
 
-@query("leiden_communities")
-def leiden_communities(spark, sf_dir):
-    """Communities of brands that share orders more often than the lightest pair."""
-    return graph.communities(views.brand_pairs(spark, sf_dir).select("a", "b", F.col("n").cast("double").alias("w")))
-
-
 @query("community_group", "select n_regionkey as community, string_agg(n_name, '|' order by n_name) as members, count(*) as size from nation group by 1")
 def community_group(spark, sf_dir):
     return table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("community")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), "|").alias("members"), F.count("*").alias("size"))
@@ -149,27 +143,6 @@ def triple_merge(spark, sf_dir):
     return graph.merge_triples(t).withColumn("sources", F.array_join("sources", "|")).withColumn("weight", F.round("weight", 9))
 
 
-@query("dup_suggest_levenshtein", """
-with n as (select n_nationkey as id, lower(n_name) as name from nation)
-select * from (select a.id as a, b.id as b, round(case when a.name = b.name then 1.0 when contains(a.name, b.name) or contains(b.name, a.name) then 0.6
-  when 1.0 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))::double >= 0.75 then 1.0 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))::double else 0 end::double, 9) as score from n a join n b on a.id < b.id) where score > 0
-""")
-def dup_suggest_levenshtein(spark, sf_dir):
-    """N20 over the bounded table of category names."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("name"))
-    a, b = n.select(F.col("id").alias("a"), F.col("name").alias("x")), n.select(F.col("id").alias("b"), F.col("name").alias("y"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(graph.name_similarity(F.col("x"), F.col("y")), 9).alias("score")).filter("score > 0")
-
-
-@query("relation_canonical", """
-with r(raw) as (values ('Depends On'), ('is-a'), ('part_of'), ('belongs_to_type'), ('A vs B'), ('see_also'), ('nothing'), (''), ('used for it'))
-select raw, case when raw = 'Depends On' then null when raw = 'is-a' then 'is_a' when raw = 'part_of' then 'part_of' when raw = 'belongs_to_type' then 'part_of' when raw = 'A vs B' then 'contrast_with' when raw = 'see_also' then 'related_to' when raw = 'used for it' then 'used_for' end as relation from r where raw <> 'Depends On'
-""")
-def relation_canonical(spark, sf_dir):
-    r = spark.createDataFrame([(x,) for x in ("is-a", "part_of", "belongs_to_type", "A vs B", "see_also", "nothing", "", "used for it")], "raw string")
-    return r.select("raw", graph.canonical_relation(F.col("raw")).alias("relation"))
-
-
 @query("entity_link", """
 with e as (select lower(regexp_replace(p_brand, '[_\\s·・-]', '', 'g')) as norm, count(distinct p_type) as spellings from part group by 1)
 select 'e-' || substr(sha256(norm), 1, 10) as id, norm, spellings, length(norm) between 1 and 40 and regexp_matches(norm, '[A-Za-z]') and not regexp_matches(norm, '[，。、；：！？,.!?;:]') as plausible from e
@@ -186,12 +159,6 @@ def concept_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_type").alias("name")).distinct().select("name", graph.admissible_concept(F.col("name")).alias("admissible"))
 
 
-@query("edge_degree_cap")
-def edge_degree_cap(spark, sf_dir):
-    """Proposals are brands by the orders they share, most first."""
-    return graph.degree_cap(views.brand_pairs(spark, sf_dir).withColumn("ordinal", -F.col("n")))
-
-
 @query("doc_graph_edges", """
 with s as (select doc_id as a, doc_id + 20 as b from documents), m as (select vec_id as a, (vec_id * 7) % 300 as b from embeddings), e as (select a, b, 'structural' as kind from s union all select a, b, 'semantic' from m)
 select distinct least(a, b) as x, greatest(a, b) as y, kind from e where a <> b and a in (select doc_id from documents) and b in (select doc_id from documents)

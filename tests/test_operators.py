@@ -195,19 +195,27 @@ class TestGraph:
         e = spark.createDataFrame([("a", x, i) for i, x in enumerate("bcdef")] + [("g", "g", 9)], "a string, b string, ordinal int")
         assert [r.b for r in graph.degree_cap(e).collect()] == ["b", "c", "d"]
 
-    def test_degree_cap_in_rounds(self, spark, monkeypatch):
+    @pytest.mark.parametrize(("per_node", "most"), [(3, 30), (1, 1000), (3, 1000), (2, 1)])
+    def test_degree_cap_against_a_plain_loop(self, spark, per_node, most):
         rng = random.Random(6)
         rows = [(f"n{rng.randrange(12)}", f"n{rng.randrange(40)}", rng.randrange(300)) for _ in range(600)]
-        count, want = {}, []
-        for a, b, o in sorted(rows, key=lambda r: (r[2], r[0], r[1])):
-            if a != b and len(want) < 30 and max(count.get(a, 0), count.get(b, 0)) < 3:
+        rows += [("hub", f"n{i % 40}", i) for i in range(300)]
+        count, seen, want = {}, set(), []
+        for a, b, o in sorted(set(rows), key=lambda r: (r[2], r[0], r[1])):
+            if a == b or frozenset((a, b)) in seen:
+                continue
+            seen.add(frozenset((a, b)))
+            if len(want) < most and max(count.get(a, 0), count.get(b, 0)) < per_node:
                 want.append((a, b, o))
                 count[a], count[b] = count.get(a, 0) + 1, count.get(b, 0) + 1
-        df = spark.createDataFrame(list(dict.fromkeys(rows)), "a string, b string, ordinal int")
-        for size in (2000, 7):
-            monkeypatch.setattr(graph, "PROPOSALS_PER_ROUND", size)
-            assert [tuple(r) for r in graph.degree_cap(df).collect()] == want
-
+        df = spark.createDataFrame(rows, "a string, b string, ordinal int")
+        assert [tuple(r) for r in graph.degree_cap(df, per_node, most).collect()] == want
+
+    def test_degree_cap_keeps_kinds_apart(self, spark):
+        rows = [("a", "b", "is_a", 1), ("b", "a", "is_a", 2), ("b", "a", "part_of", 3), ("a", "c", "is_a", 4), ("a", "d", "is_a", 5)]
+        df = spark.createDataFrame(rows, "a string, b string, relation string, ordinal int")
+        assert [r.ordinal for r in graph.degree_cap(df).collect()] == [1, 3, 4]
+        assert graph.degree_cap(df.limit(0)).count() == 0
 
     def test_leiden_finds_the_best_partition_of_small_graphs(self):
         def partitions(n):
