@@ -112,7 +112,6 @@ def key_of(pre_token: str) -> str:
 
 
 SEEN = pa.schema([("key", pa.string()), ("n", pa.int64()), ("pieces", pa.int64())])
-DOCUMENT = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("rest", pa.list_(pa.struct([("key", pa.string()), ("n", pa.int64())])))])
 
 
 def distinct_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -176,8 +175,8 @@ def document_counts(docs: DataFrame, tokenizer: str, hot: dict[str, int]) -> Dat
         chunks = Memory(lambda chunk: split(cutter.cut(" " + chunk)))
         Memory.only(chunks)
         for part in slices(batches):
-            rows = []
-            for doc_id, text, n_bytes in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            counted, keys, times, ends = [], [], [], [0]
+            for text in part.column(1).to_pylist():
                 spaced, plain, rest = Counter(), Counter(), Counter()
                 tokens = cutter.count(text, spaced, plain)
                 for counts, pieces_of in ((spaced, chunks.__getitem__), (plain, lambda p: split([p]))):
@@ -186,9 +185,15 @@ def document_counts(docs: DataFrame, tokenizer: str, hot: dict[str, int]) -> Dat
                         tokens += n * pieces
                         for k in others:
                             rest[k] += n
-                rows.append({"row": row, "doc_id": doc_id, "n_bytes": n_bytes, "n_tokens": tokens, "rest": [{"key": k, "n": n} for k, n in rest.items()]})
-                row += 1
-            yield pa.RecordBatch.from_pylist(rows, DOCUMENT)
+                counted.append(tokens)
+                keys += rest.keys()
+                times += rest.values()
+                ends.append(len(keys))
+            pairs = pa.StructArray.from_arrays([pa.array(keys, pa.string()), pa.array(times, pa.int64())], ["key", "n"])
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            numbers = pa.array(range(row, row + len(counted)), pa.int64())
+            row += len(counted)
+            yield pa.RecordBatch.from_arrays([numbers, part.column(0), part.column(2), pa.array(counted, pa.int64()), rest], ["row", "doc_id", "n_bytes", "n_tokens", "rest"])
 
     read = texts_of(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
     return read.mapInArrow(run, "row long, doc_id long, n_bytes long, n_tokens long, rest array<struct<key: string, n: long>>")
