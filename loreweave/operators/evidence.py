@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreweave.functions import markdown
 from loreweave.operators import rank
-from loreweave.operators.graph import DERIVED_SHARE, merge_triples
+from loreweave.operators.graph import DERIVED_SHARE, SPELLINGS, SYMMETRIC, merge_triples
+from loreweave.sources.staging import staged
 
 #: Questions that meet all rows in one pass; the size of what is broadcast.
 ROUND = 2_000
@@ -39,8 +41,8 @@ def supported(rel: DataFrame, sources: DataFrame) -> DataFrame:
     return cited.join(body, "source_ref").filter((F.char_length(squash(F.col("evidence"))) >= 6) & F.contains("_body", squash(F.col("evidence")))).drop("_body")
 
 
-# Concepts, edges and sources of a question that graph evidence takes, and the characters around a quote.
-MOST_CONCEPTS, MOST_EDGES, MOST_SOURCES, BEFORE, BEHIND = 12, 60, 24, 180, 240
+# Concepts, edges and sources of a question that graph evidence takes.
+MOST_CONCEPTS, MOST_EDGES, MOST_SOURCES = 12, 60, 24
 
 
 def graph_evidence(rel: DataFrame, concepts: DataFrame, sources: DataFrame, most: int = MOST_SOURCES) -> DataFrame:
@@ -50,26 +52,71 @@ def graph_evidence(rel: DataFrame, concepts: DataFrame, sources: DataFrame, most
     tenth of its weight. Of a question's concepts the first twelve by identifier
     count (by ``place`` where there is one), of their edges the best sixty.
     """
-    place = F.col("place") if "place" in concepts.columns else F.lit(0)
-    ends = concepts.groupBy("question_id", "id").agg(F.min(place).alias("_p"))
-    ends = ends.withColumn("_n", F.row_number().over(Window.partitionBy("question_id").orderBy("_p", "id"))).filter(F.col("_n") <= MOST_CONCEPTS).select("question_id", "id")
-    edge = ["question_id", "head", "relation", "tail"]
-    a = rel.join(ends.withColumnRenamed("id", "head"), "head").select("question_id", *rel.columns, F.lit(1).alias("_side"))
-    b = rel.join(ends.withColumnRenamed("id", "tail"), "tail").select("question_id", *rel.columns, F.lit(2).alias("_side"))
-    quote = F.struct("weight", "evidence", "sources")
-    touched = a.unionByName(b).groupBy(*edge).agg(F.count_distinct("_side").alias("_sides"), F.max(quote).alias("_q")).select(*edge, "_sides", "_q.*")
-    order = Window.partitionBy("question_id").orderBy(F.desc("_sides"), F.desc("weight"), "head", "relation", "tail")
-    touched = touched.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= MOST_EDGES)
+    touched = _edges_at(rel, concepts)
     scored = supported(touched, sources).withColumn("_s", F.col("_sides") + 0.1 * F.col("weight"))
     best = scored.groupBy("question_id", "source_ref").agg(F.round(F.max("_s"), 6).alias("score"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "source_ref"))).filter(F.col("rank") <= most)
 
 
-def quote_window(text: Column, quote: Column) -> Column:
-    """The text around a quote that stands in it word for word: 180 characters before its begin to 240 behind its end, else null."""
-    at = F.position(quote, text)
-    first = F.greatest(at - BEFORE, F.lit(1))
-    return F.when((at > 0) & (quote != ""), F.substr(text, first, at - first + F.char_length(quote) + BEHIND))
+def _edges_at(rel: DataFrame, concepts: DataFrame) -> DataFrame:
+    """``question_id, _sides`` and the edges at a question's first twelve concepts: the best sixty, bridges and heavy ones first."""
+    place = F.col("place") if "place" in concepts.columns else F.lit(0)
+    ends = concepts.groupBy("question_id", "id").agg(F.min(place).alias("_p"))
+    ends = ends.withColumn("_n", F.row_number().over(Window.partitionBy("question_id").orderBy("_p", "id"))).filter(F.col("_n") <= MOST_CONCEPTS).select("question_id", "id")
+    sides = [rel.join(ends.withColumnRenamed("id", side), side).select("question_id", *rel.columns, F.lit(k).alias("_side")) for k, side in enumerate(("head", "tail"))]
+    edge, rest = ["question_id", "head", "relation", "tail"], [c for c in rel.columns if c not in ("head", "relation", "tail")]
+    touched = sides[0].unionByName(sides[1]).groupBy(*edge).agg(F.count_distinct("_side").alias("_sides"), F.max(F.struct("weight", *[c for c in rest if c != "weight"])).alias("_q"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("_sides"), F.desc("_q.weight"), "head", "relation", "tail")
+    return touched.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= MOST_EDGES).select(*edge, "_sides", "_q.*")
+
+
+def graph_passages(rel: DataFrame, concepts: DataFrame, sources: DataFrame, chunks: DataFrame, most: int = MOST_SOURCES) -> DataFrame:
+    """``question_id, rank, source_type, source_id, seq, passage, score, relations``: the passages that prove a question's edges.
+
+    ``rel``: head, relation, tail, weight, evidence, sources, origin; ``sources``:
+    source_type, source_id, content; ``chunks``: source_type, source_id, seq, text.
+    An edge counts if it is of the vocabulary, no loop, not derived, and its quote
+    stands in the current text of a source it cites, both in their normal form.
+    The chunk that holds the quote is the passage; where none does, as the quote
+    runs over a border or the chunk stands at several places of other meaning, the
+    text around it, with seq -1. An edge between two concepts scores 2, at one 1,
+    plus a tenth of its weight; a passage has the score of its best edge and names all.
+    """
+    kinds = F.col("relation").isin(list(SPELLINGS)) & (F.col("head") != F.col("tail")) & (F.lower(F.coalesce("origin", F.lit(""))) != "derived")
+    edges = _edges_at(rel, concepts).filter(kinds)
+    weight = F.when(F.isnan("weight") | F.col("weight").isNull() | F.abs("weight").isin(float("inf")), 0.0).otherwise(F.least(F.greatest("weight", F.lit(0.0)), F.lit(1.0)))
+    turned = F.col("relation").isin(SYMMETRIC) & (F.col("head") > F.col("tail"))
+    ends = F.when(turned, F.struct(F.col("tail").alias("x"), F.col("head").alias("y"))).otherwise(F.struct(F.col("head").alias("x"), F.col("tail").alias("y")))
+    label = F.concat("head", F.lit(" —"), "relation", F.lit("→ "), "tail")
+    edges = edges.select("question_id", F.concat_ws(":", ends["x"], "relation", ends["y"]).alias("edge"), label.alias("label"), F.round(F.col("_sides") + 0.1 * weight, 6).alias("score"), "evidence", F.slice(F.array_distinct("sources"), 1, MOST_SOURCES).alias("sources"))
+    edges = markdown.normalised(edges.filter(F.size("sources") > 0), "evidence", "_e").withColumn("quote", F.col("_e.normal")).filter("quote <> ''").drop("_e", "evidence")
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "edge", "label")
+    edges = edges.withColumn("n", F.row_number().over(order))
+    cited = staged(edges.select("question_id", "edge", "label", "score", "quote", "n", F.posexplode("sources").alias("at", "source_ref")), "cited")
+    first = cited.groupBy("question_id", "source_ref").agg(F.min(F.struct("n", "at")).alias("_f"))
+    first = first.withColumn("_n", F.row_number().over(Window.partitionBy("question_id").orderBy("_f"))).filter(F.col("_n") <= MOST_SOURCES)
+    cited = cited.join(first.select("question_id", "source_ref"), ["question_id", "source_ref"])
+    ref = F.concat_ws("-", "source_type", F.col("source_id").cast("string"))
+    documents = sources.withColumn("source_ref", ref).join(cited.select("source_ref").distinct(), "source_ref", "left_semi").filter(F.trim("content") != "")
+    documents = staged(markdown.normalised(documents.select("source_ref", "source_type", "source_id", "content"), "content", "form"), "documents")
+    proven = cited.join(documents.select("source_ref", F.col("form.normal").alias("_n")), "source_ref").withColumn("place", F.position(F.col("quote"), F.col("_n")) - 1).filter("place >= 0").drop("_n")
+    proven = staged(proven, "proven")
+    # the part of a document's normal form that each of its chunks stands for, found where the document is
+    cut = chunks.withColumn("source_ref", ref).join(proven.select("source_ref").distinct(), "source_ref", "left_semi")
+    cut = cut.groupBy("source_ref").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("chunks"))
+    placed = markdown.scoped(cut.join(documents.select("source_ref", "content"), "source_ref").withColumn("texts", F.col("chunks.text")), "content", "texts", "scopes")
+    parts = placed.select("source_ref", F.explode(F.arrays_zip("chunks", "scopes")).alias("c")).select("source_ref", "c.chunks.seq", "c.chunks.text", F.col("c.scopes").alias("scope"))
+    held = proven.join(parts, "source_ref").filter(F.contains("scope", F.col("quote"))).select(*proven.columns, "seq", F.col("text").alias("passage"))
+    held = staged(held, "held")
+    loose = proven.join(held.select("question_id", "source_ref", "n").distinct(), ["question_id", "source_ref", "n"], "left_anti").join(documents.select("source_ref", "content", "form"), "source_ref")
+    around = markdown.window(F.col("content"), F.col("form"), F.col("place"), F.char_length("quote"))
+    found = held.unionByName(loose.select(*proven.columns, F.lit(-1).cast(dict(held.dtypes)["seq"]).alias("seq"), around.alias("passage")))
+    per = found.groupBy("question_id", "source_ref", "seq", "passage").agg(F.max("score").alias("score"), F.min(F.struct("n", "at")).alias("_f"), F.array_sort(F.collect_set(F.struct("edge", "n", "label"))).alias("_all"))
+    # one name for each edge: the first by order; symmetric ones have one key
+    names = F.transform(F.array_sort(F.transform(F.filter("_all", lambda x, i: (i == 0) | (F.get(F.col("_all"), i - 1)["edge"] != x["edge"])), lambda x: F.struct(x["n"].alias("n"), x["label"].alias("label")))), lambda x: x["label"])
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "_f", "seq", "passage"))
+    kind = F.split("source_ref", "-")
+    return per.withColumn("rank", place).filter(F.col("rank") <= most).select("question_id", "rank", kind[0].alias("source_type"), kind[1].cast("long").alias("source_id"), "seq", "passage", "score", names.alias("relations"))
 
 
 def expand_terms(rel: DataFrame, concepts: DataFrame, names: DataFrame, questions: DataFrame, most: int = 6) -> DataFrame:

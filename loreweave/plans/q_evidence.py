@@ -88,6 +88,41 @@ def graph_evidence(spark, sf_dir):
     return evidence.graph_evidence(_cited(spark, sf_dir), concepts, views.corpus(spark, sf_dir))
 
 
+PLAIN_MARKS = "`*_<[#>+~-"
+LISTS = r"(?m)^[ \t]{0,3}(?:[0-9]+[.)][ \t]+)+"
+_FORM = "replace(regexp_replace(regexp_replace(regexp_replace({}, '([\\pL\\p{{Nd}}])\\s+([\\pL\\p{{Nd}}])', '\\1¤\\2', 'g'), '([\\pL\\p{{Nd}}])\\s+([\\pL\\p{{Nd}}])', '\\1¤\\2', 'g'), '\\s+', '', 'g'), '¤', ' ')"
+
+
+@query("graph_passages", rf"""
+with c as (select doc_id, regexp_replace(translate(text, '{PLAIN_MARKS}', ''), '{LISTS}', '', 'g') as content from documents),
+d as (select doc_id, content, {_FORM.format('content')} as nf, regexp_replace(content, '\s+', '', 'g') as lit, list_filter(list_transform(string_split(content, ''), lambda x, i: case when x in (' ', chr(10), chr(9), chr(13), chr(12)) then null else i end), lambda i: i is not null) as rv from c where trim(content) <> ''),
+rel as (select 'c' || (doc_id % 50) as head, 't' || doc_id as tail, (doc_id % 7) / 10.0 as weight, doc_id, case when doc_id % 10 = 0 then 'altered quote' else substr(content, 30, 60) end as q from c),
+ask as (select item_id as question_id, unnest(['c' || (item_id % 50), 't' || item_id]) as id from benchmark),
+hit as (select question_id, head, tail, weight, doc_id, q, count(*) as sides from rel join ask on id = head or id = tail group by all),
+top as (select *, {_FORM.format('q')} as quote, round(sides + 0.1 * weight, 6) as score from (select *, row_number() over (partition by question_id order by sides desc, weight desc, head, tail) as k from hit) where k <= 60),
+n as (select *, row_number() over (partition by question_id order by score desc, least(head, tail) || ':related_to:' || greatest(head, tail)) as n from top where quote <> ''),
+ok as materialized (select n.*, content, nf, lit, rv, position(quote in nf) - 1 as place from n join d using (doc_id) where n <= 24 and contains(nf, quote)),
+line as (select doc_id, i - 1 as seq, x as text, regexp_replace(x, '\s+', '', 'g') as l from (select doc_id, unnest(string_split(content, chr(10))) as x, generate_subscripts(string_split(content, chr(10)), 1) as i from c)),
+vis as (select doc_id, nf, lit, list_filter(list_transform(string_split(nf, ''), lambda x, i: case when x = ' ' then null else i end), lambda i: i is not null) as v from (select distinct doc_id, nf, lit from ok)),
+part as (select doc_id, seq, text, l, nf, lit, substr(nf, v[position(l in lit)], v[position(l in lit) + length(l) - 1] - v[position(l in lit)] + 1) as s from line join vis using (doc_id) where l <> ''),
+good as (select * from part where (length(lit) - length(replace(lit, l, ''))) / length(l) <= greatest(1.0, (length(nf) - length(replace(nf, s, ''))) / length(s))),
+held as (select question_id, n, ok.doc_id, seq, text as passage, score from ok join good on good.doc_id = ok.doc_id and contains(s, quote)),
+raws as (select *, rv[length(replace(substr(nf, 1, place), ' ', '')) + 1] - 1 as a, rv[length(replace(substr(nf, 1, place + length(quote)), ' ', ''))] - 1 as b from ok where (question_id, n) not in (select question_id, n from held)),
+loose as (select question_id, n, doc_id, -1 as seq, regexp_replace(substr(content, greatest(a - 180, 0) + 1, b + 241 - greatest(a - 180, 0)), '^\s+|\s+$', '', 'g') as passage, score from raws)
+select question_id, rank, doc_id as source_id, seq, passage, score from (select *, row_number() over (partition by question_id order by score desc, n, seq, passage) as rank from (select * from held union all select * from loose)) where rank <= 24
+""")
+def graph_passages(spark, sf_dir):
+    """Lines of documents that prove a question's edges; quotes that run over lines come as windows."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.translate("text", PLAIN_MARKS, ""), LISTS, "").alias("content"))
+    quote = F.when(F.col("doc_id") % 10 == 0, "altered quote").otherwise(F.substring("content", 30, 60))
+    rel = d.select(F.concat(F.lit("c"), F.col("doc_id") % 50).alias("head"), F.lit("related_to").alias("relation"), F.concat(F.lit("t"), "doc_id").alias("tail"), (F.col("doc_id") % 7 / 10).alias("weight"), quote.alias("evidence"), F.array(F.concat(F.lit("file-"), "doc_id")).alias("sources"), F.lit("manual").alias("origin"))
+    concepts = views.questions(spark, sf_dir).select("question_id", F.posexplode(F.array(F.concat(F.lit("c"), F.col("question_id") % 50), F.concat(F.lit("t"), "question_id"))).alias("place", "id"))
+    sources = d.select(F.lit("file").alias("source_type"), F.col("doc_id").alias("source_id"), "content")
+    lines = sources.select("source_type", "source_id", F.posexplode(F.split("content", "\n")).alias("seq", "text"))
+    found = evidence.graph_passages(rel, concepts, sources, lines)
+    return found.select("question_id", F.col("rank").cast("long").alias("rank"), "source_id", F.col("seq").cast("long").alias("seq"), "passage", "score")
+
+
 @query("node_merge", """
 with m as (select p_brand as old, 'Brand#0' as new from part where p_size = 1), b as (select distinct * from m), e as (select coalesce(x.new, p_brand) as head, coalesce(y.new, p_type) as tail from part left join b x on x.old = p_brand left join b y on y.old = p_type)
 select head, tail, 1.0::double as weight from e where head <> tail group by 1, 2

@@ -164,11 +164,6 @@ class TestText:
         with pytest.raises(ValueError, match="characters"):
             chunk.split_lossless("```\n" + "x" * 70_000, 100)
 
-    def test_quote_window(self, spark):
-        df = spark.createDataFrame([("a" * 300 + "QUOTE" + "b" * 300, "QUOTE"), ("QUOTE", "QUOTE"), ("x", "QUOTE"), ("x", "")], "t string, q string")
-        got = [r[0] for r in df.select(evidence.quote_window(F.col("t"), F.col("q"))).collect()]
-        assert got == ["a" * 180 + "QUOTE" + "b" * 240, "QUOTE", None, None]
-
     def test_table_functions(self, spark):
         udtf.register(spark)
         assert [tuple(r) for r in spark.sql("select * from chunk_structural('# A\ntext')").collect()] == [(0, "A", "text")]
