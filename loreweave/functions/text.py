@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Term patterns and grams without information.
@@ -145,49 +145,63 @@ def is_refusal(answer: Column, strong: list[str] | None = None, absence: list[st
     return has(text, strong or STRONG_REFUSALS) | has(F.substring(text, 1, REFUSAL_HEAD), absence or ABSENCE_MARKS)
 
 
-_TITLE_MARKS = "[\\s`*：:、，,。.（）()【】\\[\\]\\-]"
+# Fixed value: marks that do not count when titles are compared; white space does not either.
+TITLE_MARKS = "`*：:、，,。.（）()【】[]-"
 
 
-def same_title(a: Column, b: Column) -> Column:
-    """Whether two titles say the same: equal without marks, or one within the other."""
-    x, y = (F.regexp_replace(F.coalesce(c, F.lit("")), _TITLE_MARKS, "") for c in (a, b))
-    return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))
+def bare_title(title: Column) -> Column:
+    """What is left of a title without marks and white space."""
+    return F.translate(F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+", ""), TITLE_MARKS, "")
+
+
+def titles_overlap(a: Column, b: Column) -> Column:
+    """Whether one of two bare titles stands within the other; an empty one stands nowhere."""
+    shorter, longer = F.when(F.char_length(a) < F.char_length(b), a).otherwise(b), F.when(F.char_length(a) < F.char_length(b), b).otherwise(a)
+    return (F.char_length(shorter) > 0) & (F.position(shorter, longer) > 0)
+
+
+#: A heading of level one at a text's very beginning (1), and what follows its line without leading empty lines (2).
+_TITLE_LINE = r"(?s)^[ \t]*#[ ]([^\n]*)(?:\n(?:[ \t\r\f]*\n)*(.*))?$"
 
 
 def without_title(content: Column, title: Column) -> Column:
     """A text without a first heading of level one that repeats its title, and the empty lines behind it."""
-    first = F.trim(F.substring_index(content, "\n", 1))
-    rest = F.when(F.contains(content, F.lit("\n")), F.substr(content, F.locate("\n", content) + 1)).otherwise("")
-    heads = F.startswith(first, F.lit("# ")) & same_title(F.substr(first, F.lit(3)), title)
-    return F.when(heads, F.regexp_replace(rest, r"^(\s*\r?\n)+", "")).otherwise(content)
-
-
-def merged_headings(content: str | None) -> str | None:
-    """Of adjacent headings of one level, with nothing but empty lines between, that say the same only the longer; fences are left alone."""
-    import re
-
-    if not content:
-        return content
-    bare = lambda t: re.sub(_TITLE_MARKS, "", t)
-    out: list[str] = []
-    last, fence = None, None  # place of the last heading if only empty lines follow it, the mark of the open fence
-    for line in content.split("\n"):
-        mark = re.match(r"\s*(```|~~~)", line)
-        if mark and fence in (None, mark[1]):
-            fence = None if fence else mark[1]
-        m = re.fullmatch(r"(#{1,6})\s+(.*)", line) if fence is None and not mark else None
-        if m and last is not None:
-            old = re.fullmatch(r"(#{1,6})\s+(.*)", out[last])
-            x, y = bare(old[2]), bare(m[2])
-            if old[1] == m[1] and x and y and (x in y or y in x):
-                out[last:] = [line if len(y) > len(x) else out[last]]
-                continue
-        if m:
-            last = len(out)
-        elif line.strip():
-            last = None
-        out.append(line)
-    return "\n".join(out)
+    repeats = content.rlike(_TITLE_LINE) & titles_overlap(bare_title(F.regexp_extract(content, _TITLE_LINE, 1)), bare_title(title))
+    return F.when(repeats, F.regexp_extract(content, _TITLE_LINE, 2)).otherwise(content)
+
+
+def merged_headings(texts: DataFrame, key: str, content: str) -> DataFrame:
+    """``texts`` (``key`` is unique) with repeated headings merged.
+
+    Lines are rows. A heading and the next line that is not empty make a link if
+    that is a heading of the same level and their bare titles overlap; lines of
+    fences are no headings. Links that follow each other are an island, and its
+    odd ones merge two headings: the longer line stays, at the first one's place,
+    and what lay between goes.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(key).orderBy("_i")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = texts.filter(F.col(content).isNotNull()).select(key, F.posexplode(F.split(content, "\n")).alias("_i", "_line"))
+    rows = rows.withColumn("_mark", F.col("_line").rlike(r"^\s*(```|~~~)")).withColumn("_in", F.coalesce(F.sum(F.col("_mark").cast("int")).over(before), F.lit(0)) % 2 == 1)
+    full = rows.filter(F.trim(F.regexp_replace("_line", r"\s+", " ")) != "")
+    level = F.char_length(F.regexp_extract(F.trim("_line"), r"^(#{1,6})\s+\S", 1))
+    title = F.trim(F.regexp_replace(F.trim("_line"), r"^#{1,6}\s+", ""))
+    full = full.withColumn("_level", F.when(F.col("_mark") | F.col("_in") | (level == 0), None).otherwise(level)).withColumn("_title", title)
+    after = F.lead(F.struct("_i", "_level", "_title", "_line")).over(order)
+    linked = full.withColumn("_next", after).withColumn("_link", F.coalesce((F.col("_level") == F.col("_next._level")) & titles_overlap(bare_title(F.col("_title")), bare_title(F.col("_next._title"))), F.lit(False)))
+    # the place of a link among those that follow each other: its number less that of the last line without one
+    number = F.row_number().over(order)
+    place = number - F.coalesce(F.max(F.when(~F.col("_link"), F.col("_n"))).over(before), F.lit(0))
+    merged = linked.withColumn("_n", number).withColumn("_k", place).filter("_link and _k % 2 = 1")
+    longer = F.when(F.char_length("_next._title") > F.char_length("_title"), F.col("_next._line")).otherwise(F.col("_line"))
+    cuts = merged.select(key, F.col("_i").alias("_from"), F.col("_next._i").alias("_to"), longer.alias("_kept"))
+    marked = rows.select(key, "_i", "_line").join(cuts.select(key, F.col("_from").alias("_i"), "_to", "_kept"), [key, "_i"], "left")
+    marked = marked.withColumn("_until", F.max("_to").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = marked.filter(F.col("_to").isNotNull() | F.col("_until").isNull() | (F.col("_i") > F.col("_until"))).withColumn("_line", F.coalesce("_kept", "_line"))
+    whole = kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_line"))), lambda x: x["_line"]), "\n").alias("_new"))
+    return texts.join(whole, key, "left").withColumn(content, F.col("_new")).select(texts.columns)
 
 
 def canonical_json(value) -> str:

@@ -349,3 +349,30 @@ def registered_step(spark, sf_dir):
     steps = [{"id": "a", "op": "filter", "input": "o", "field": "o_orderstatus", "test": "eq", "value": "F"}, {"id": "b", "op": "python", "input": "a", "function": "double"}]
     twice = lambda df: df.select("o_orderkey", (F.round(F.col("o_totalprice") * 100).cast("long") * 2).alias("doubled"), "ordinal")
     return workflow.compile_workflow({"steps": steps}, {"o": o}, functions={"double": twice}).drop("ordinal")
+
+
+EVENT_SCHEMA = {
+    "type": "object", "additionalProperties": False, "required": ["kind", "props"],
+    "properties": {
+        "kind": {"type": "string", "enum": ["click", "view", "purchase"], "maxLength": 20}, "amount": {"type": ["number", "null"], "minimum": 1, "exclusiveMaximum": 90},
+        "props": {"type": "object", "properties": {"k": {"type": "integer", "maximum": 80}}, "required": ["k"]}, "tags": {"type": "array", "maxItems": 3, "items": {"type": "integer", "minimum": 2}},
+    },
+}
+
+
+@query("schema_violations", """
+select event_id, case when event_type not in ('click', 'view', 'purchase') then 'value.kind is not an allowed enum value' when value < 1 then 'value.amount violates minimum' when value >= 90 then 'value.amount violates exclusiveMaximum'
+  when user_id % 7 = 0 then 'value.props.k is required' when (props->>'$.k')::int > 80 then 'value.props.k violates maximum' when event_id % 5 > 3 then 'value.tags exceeds maxItems'
+  when event_id % 5 > 0 and user_id % 3 < 2 then 'value.tags[' || 0 || '] violates minimum' when event_id % 11 = 0 then 'value contains undeclared property: more' end as violation from events
+""")
+def schema_violations(spark, sf_dir):
+    """Events written as JSON against a nested schema; the first violation of each."""
+    from loreweave.operators import schemas
+
+    tag = F.concat((F.col("user_id") % 3).cast("string"))
+    tags = F.array_join(F.array_repeat(tag, (F.col("event_id") % 5).cast("int")), ",")
+    props = F.when(F.col("user_id") % 7 == 0, F.replace("props", F.lit('"k"'), F.lit('"q"'))).otherwise(F.col("props"))
+    amount = F.coalesce(F.col("value").cast("string"), F.lit("null"))
+    body = F.concat(F.lit('{"kind": "'), "event_type", F.lit('", "amount": '), amount, F.lit(', "props": '), props, F.lit(', "tags": ['), tags, F.lit("]"), F.when(F.col("event_id") % 11 == 0, ', "more": 1').otherwise(""), F.lit("}"))
+    events = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
+    return schemas.violations(events, EVENT_SCHEMA, "body").select("event_id", "violation")

@@ -148,9 +148,13 @@ class TestText:
         df = spark.createDataFrame([("# My title\n\n\nbody", "My: title"), ("# Other\nbody", "title x"), ("## My title\nb", "My title"), ("# My title", "My title"), (None, "x"), ("# a", None)], "c string, t string")
         assert [r[0] for r in df.select(text.without_title(F.col("c"), F.col("t"))).collect()] == ["body", "# Other\nbody", "## My title\nb", "", None, "# a"]
 
-    def test_merged_headings(self):
-        assert text.merged_headings("## A\n\n## A plus\nx\n## B\n### B\n## B") == "## A plus\nx\n## B\n### B\n## B"
-        assert text.merged_headings("```\n# a\n# a\n```") == "```\n# a\n# a\n```" and text.merged_headings(None) is None
+    def test_merged_headings(self, spark):
+        given = {
+            1: ("## A\n\n## A plus\nx\n## B\n### B\n## B", "## A plus\nx\n## B\n### B\n## B"), 2: ("```\n# a\n# a\n```", "```\n# a\n# a\n```"), 3: (None, None), 4: ("", ""),
+            5: ("# a\n# a b\n# a b c\n \n# a b\nend\n", "# a b\n# a b c\nend\n"), 6: ("# x\n\n# y\n# y\n", "# x\n\n# y\n"), 7: ("# -\n# -", "# -\n# -"),
+        }
+        df = spark.createDataFrame([(k, c) for k, (c, _) in given.items()], "k int, c string")
+        assert {r.k: r.c for r in text.merged_headings(df, "k", "c").collect()} == {k: w for k, (_, w) in given.items()}
 
     def test_canonical_json(self):
         assert text.canonical_json({"b": 1.0, "a": [2.50, None, {"y": 1, "x": "é"}]}) == '{"a":[2.5,null,{"x":"é","y":1}],"b":1}'
