@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loreweave.llm.common import slices, staged, texts_of
-from loreweave.llm.tokens import ASCII_PRE_TOKENS, BYTE_CHARS, SEPARATORS, Memory
+from loreweave.llm.tokens import ASCII_PRE_TOKENS, BYTE_CHARS, MARKS, SEPARATORS, Memory
 
 #: Distinct pre-tokens that a task of the first reading holds before it hands them on.
 HELD = 400_000
@@ -67,13 +67,14 @@ class PreTokens:
         self.model = self.library.model
         self.assigned: set[str] = set()
 
-    def count(self, text: str, spaced: Counter, plain: Counter) -> int:
+    def count(self, text: str, spaced: Counter | list, plain: Counter) -> int:
         """Add a text's chunks between spaces to ``spaced`` and its other pre-tokens to ``plain``; returns the special strings in it."""
+        add = spaced.update if isinstance(spaced, Counter) else spaced.extend
         parts = [text] if self.special is None else self.special.split(text)
         for part in parts:
             if self.bytes and not DOUBT(part):
                 first, *rest = part.split(" ")
-                spaced.update(rest)
+                add(rest)
                 plain.update(self.cut(first))
             else:
                 plain.update(self.cut(part))
@@ -95,6 +96,13 @@ class PreTokens:
                 return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         return self.pattern(text)
 
+    def behind_space(self, chunk: str) -> list[str]:
+        """The pre-tokens of a chunk behind a space; a word with marks at its end is two."""
+        word = chunk.rstrip(MARKS)
+        if word.isalpha():
+            return [" " + word] if len(word) == len(chunk) else [" " + word, chunk[len(word) :]]
+        return self.cut(" " + chunk)
+
     def pieces(self, pre_token: str) -> int:
         if self.bytes:
             pre_token = pre_token.encode().decode("latin-1").translate(BYTE_CHARS)
@@ -122,7 +130,7 @@ def distinct_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         def handed():
             for chunk, n in spaced.items():
-                for pre_token in cutter.cut(" " + chunk):
+                for pre_token in cutter.behind_space(chunk):
                     seen[pre_token] += n
             spaced.clear()
             pieces = (cutter.pieces(p) if len(p) > KEY_CHARS else None for p in seen)
@@ -172,19 +180,26 @@ def document_counts(docs: DataFrame, tokenizer: str, hot: dict[str, int]) -> Dat
             keys = list(map(key_of, found))
             return sum(known.get(k, 0) for k in keys), [k for k in keys if k not in known]
 
-        chunks = Memory(lambda chunk: split(cutter.cut(" " + chunk)))
+        def kept(chunk: str):
+            """Pieces of a chunk, with the keys of what is not hot in it where there is any."""
+            pieces, others = split(cutter.behind_space(chunk))
+            return (pieces, others) if others else pieces
+
+        chunks = Memory(kept)
         Memory.only(chunks)
         for part in slices(batches):
             counted, keys, times, ends = [], [], [], [0]
             for text in part.column(1).to_pylist():
-                spaced, plain, rest = Counter(), Counter(), Counter()
+                spaced, plain = [], Counter()
                 tokens = cutter.count(text, spaced, plain)
-                for counts, pieces_of in ((spaced, chunks.__getitem__), (plain, lambda p: split([p]))):
-                    for key, n in counts.items():
-                        pieces, others = pieces_of(key)
-                        tokens += n * pieces
-                        for k in others:
-                            rest[k] += n
+                found = list(map(chunks.__getitem__, spaced))
+                tokens += sum(x for x in found if type(x) is int)
+                mixed = [x for x in found if type(x) is tuple]
+                for pre_token, n in plain.items():
+                    pieces, others = split([pre_token])
+                    mixed.append((n * pieces, others * n))
+                tokens += sum(x for x, _ in mixed)
+                rest = Counter(k for _, others in mixed for k in others)
                 counted.append(tokens)
                 keys += rest.keys()
                 times += rest.values()
