@@ -30,8 +30,8 @@ from loreweave.sources.staging import staged
 
 #: Edges of a graph, or of a contracted one, that one task finishes.
 FEW_EDGES = 20_000
-#: Rounds of one phase at most, levels at most, and the least gain of a move.
-ROUNDS, LEVELS, LEAST_GAIN = 64, 24, 1e-9
+#: Rounds of a level's moves and of its refinement at most (the next level goes on), levels at most, and the least gain of a move.
+ROUNDS, REFINEMENTS, LEVELS, LEAST_GAIN = 16, 10, 24, 1e-9
 #: A level's moves end when two rounds together raise modularity by less; the next levels go on from there.
 ENOUGH = 1e-3
 
@@ -90,21 +90,22 @@ def _moved(nodes: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def move(adjacent: DataFrame, nodes: DataFrame, gamma: float, m2: float, seed: int, level: int, single: bool = False, loops: float = 0.0) -> DataFrame:
-    """``id, k, c`` after rounds of moves from ``nodes`` until none improves modularity."""
+    """``id, k, c`` after rounds of moves from ``nodes`` until none improves modularity, or enough rounds."""
     before, at, calm, rises = None, None, False, []  # the last state known to be good, and how it came about
-    for turn in range(ROUNDS + 1):
+    most = REFINEMENTS if single else ROUNDS
+    for turn in range(most + 1):
         options = staged(_options(adjacent, nodes, gamma, m2, single), "options")
         free = F.col("target").isNotNull() & _coin(F.col("home"), seed, level, turn) & ~_coin(F.col("target"), seed, level, turn)
         quality, moves, n_free = _quality(options, free, m2, gamma, loops)
         if before is not None and quality <= before + LEAST_GAIN:
             nodes, options = at  # taken back
-            if calm or turn == ROUNDS:
+            if calm or turn == most:
                 break
             calm = True
         else:
             rises = [*rises[-1:], quality - before] if before is not None else []
             before, at, calm = quality, (nodes, options), False
-            if not moves or turn == ROUNDS or (not single and len(rises) == 2 and sum(rises) < ENOUGH):
+            if not moves or turn == most or (not single and len(rises) == 2 and sum(rises) < ENOUGH):
                 break
         chosen = _dominant(options.filter("target is not null")) if calm or not n_free else _best(options.filter(free))
         nodes = staged(_moved(nodes, chosen), "nodes")

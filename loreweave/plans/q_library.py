@@ -376,3 +376,19 @@ def schema_violations(spark, sf_dir):
     body = F.concat(F.lit('{"kind": "'), "event_type", F.lit('", "amount": '), amount, F.lit(', "props": '), props, F.lit(', "tags": ['), tags, F.lit("]"), F.when(F.col("event_id") % 11 == 0, ', "more": 1').otherwise(""), F.lit("}"))
     events = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
     return schemas.violations(events, EVENT_SCHEMA, "body").select("event_id", "violation")
+
+
+@query("eval_leakage", """
+with d as (select distinct regexp_replace(lower(text), '[^\\pL\\pN]', '', 'g') as t from documents), e as (select item_id, text, regexp_replace(lower(text), '[^\\pL\\pN]', '', 'g') as t from benchmark),
+o as (select item_id, d.t from e join d on d.t <> '' and e.t <> '' and (contains(d.t, e.t) or contains(e.t, d.t)))
+select item_id as eval_id, count(o.t) as overlaps, md5(min(o.t)) as example, item_id % 2 = 0 as answer_inside from e left join o using (item_id) group by item_id
+""")
+def eval_leakage(spark, sf_dir):
+    """Benchmark passages that stand in documents, and the other way round."""
+    from loreweave.operators import leakage
+
+    q = views.questions(spark, sf_dir)
+    answer = F.when(F.col("question_id") % 2 == 0, F.substring("question", 3, 20)).otherwise("0zq0")
+    e = q.select(F.col("question_id").alias("eval_id"), "question", F.array(answer).alias("answers"))
+    found = leakage.leakage(table(spark, sf_dir, "documents").select(F.col("text").alias("question")), e)
+    return found.withColumn("example", F.md5("example"))

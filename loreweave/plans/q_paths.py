@@ -80,14 +80,6 @@ def leiden_communities(spark, sf_dir):
     return communities.communities(_brands(spark, sf_dir))
 
 
-@query("leiden_rounds")
-def leiden_rounds(spark, sf_dir):
-    """N16 by rounds of joins until five hundred edges are left: parts and suppliers by the lines of large amounts."""
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49")
-    sent = li.groupBy(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b")).agg(F.count("*").cast("double").alias("w"))
-    return communities.communities(sent, few_edges=500)
-
-
 @query("edge_degree_cap", f"""
 with recursive {views.BRAND_PAIRS}, o as (select a, b, n, -n as ordinal, row_number() over (order by n desc, a, b) as i from brand_pairs),
 g as (select 0::bigint as i, false as ok, []::varchar[] as ends
