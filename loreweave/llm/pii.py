@@ -1,8 +1,8 @@
 """PII surrogates: keyed, type-consistent replacements for detected entities.
 
-Kinds: e-mail and IP addresses, phone numbers, card numbers, bank accounts
-(IBAN), social security numbers, secrets (values of token-like assignments and
-long hexadecimal strings) and names (a title, or a known given name, before
+Kinds: e-mail and IP addresses (versions 4 and 6), phone numbers, card numbers, bank
+accounts (IBAN), social security numbers, secrets (values of token-like assignments,
+keys with a known prefix and long hexadecimal strings) and names (a title, or a known given name, before
 capitalised words).
 
 A surrogate keeps the entity's format: every character is replaced by one of its
@@ -10,15 +10,21 @@ own class (digit; vowel or consonant of its script; ideograph), marks and case
 stay, check digits are made anew, given names come from the pool of their gender
 and script. The replacement is a keyed permutation of all strings of that format,
 a Feistel network with cycle walking, turned into one without fixed points by
-conjugating a shift. Two consequences hold over the whole corpus without any
-exchange between tasks: the same entity always gets the same surrogate
-(coreference) and different ones of a kind never share one (distinctness). Given
-names come from a pool that has none of the names the detector knows.
-
-Each document is checked over all kinds: a surrogate that equals an entity of the
-document or another surrogate in it is drawn anew, by the next of ``DRAWS`` derived
-keys, for that document (coreference within the document stays). An entity without a
-letter or digit to replace stays.
+conjugating a shift. So, without any exchange between tasks, the same entity gets the
+same surrogate everywhere (coreference) and different ones of a kind and format never
+share one. Given names come from a pool that has none of the names the detector knows.
+
+What a permutation cannot know is settled for the whole table: a surrogate must not be
+another entity of the table, of any kind, nor the surrogate of one of another kind or
+format. The distinct entities are written as a table; where an offer is an entity, or
+was offered before, or meets a better one (smaller kind and entity), the entity offers
+anew in the next round, under the next derived key. After ``DRAWS`` offers its format is
+full and it takes one more character a ``DRAWS`` offers (surnames, secrets, phone numbers,
+local parts of addresses), from its second offer on two given names with a hyphen. Kinds
+of fixed length (IP, card, IBAN, social security numbers) have room for billions; after
+``MOST_DRAWS`` offers the operator raises an error. The entities that are not at their first offer are few
+(``fixes``); they are broadcast up to ``BROADCAST_FIXES`` rows and joined to the texts
+that hold them beyond. An entity without a letter or digit to replace stays.
 
 The permutation can be undone by who has the key, so a caller has to give one; the
 queries take it from the session's setting ``KEY_SETTING``.
@@ -31,6 +37,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import ipaddress
 import re
 import unicodedata
 
@@ -38,13 +45,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loreweave.llm.common import fresh_name, slices
+from loreweave.llm.common import fresh_name, slices, staged
 
 #: The session's setting that holds the key, and the key of tests and examples: published, so it protects nothing.
 KEY_SETTING = "spark.loreweave.surrogates.key"
 EXAMPLE_KEY = b"loreweave surrogates"
-#: Keys tried for an entity of a document until its surrogate meets nothing else there.
-DRAWS = 16
+#: Offers of an entity in its own format before it grows by a character, and offers in all before an error.
+DRAWS, MOST_DRAWS = 8, 256
+#: Entities beyond their first offer that are broadcast; more are joined.
+BROADCAST_FIXES = 20_000
 
 # Given names by gender and script, all alternatives of one pool.
 FEMALE = "Alice Amelia Barbara Caroline Charlotte Deborah Dorothy Eleanor Elizabeth Emily Florence Frances Hannah Isabella Jennifer Jessica Katherine Laura Margaret Martha Michelle Nancy Olivia Patricia Rachel Rebecca Rosemary Samantha Sophia Stephanie Susan Victoria".split()
@@ -137,6 +146,20 @@ def iban_check(country: str, bban: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in (bban + country + '00').lower())) % 97:02d}"
 
 
+def folded(text: str) -> str:
+    """Lower case, character by character."""
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def canonical(kind: str, text: str) -> str:
+    """What all spellings of an entity share."""
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in text.split("."))  # 01.2.3.4 is 1.2.3.4
+    if kind in ("card", "iban"):
+        return re.sub(r"[\s-]", "", text).lower()
+    return folded(text)
+
+
 class Surrogates:
     """Surrogates under one key."""
 
@@ -146,7 +169,7 @@ class Surrogates:
 
     def spelled(self, kind: str, text: str, alphabets=None) -> str:
         """Each character replaced within its class; the rest stays and is part of the format."""
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        low = folded(text)
         sets = [alphabets(c) if alphabets else class_of(c) for c in low]
         x = 0
         n = 1
@@ -170,6 +193,14 @@ class Surrogates:
         found = FOR_POOLS[pool][Permutation(len(FOR_POOLS[pool]), self.key, pool.encode()).moved([n.lower() for n in POOLS[pool]].index(name.lower()))]
         return found.upper() if name.isupper() and len(name) > 1 else found
 
+    def doubled(self, pool: str, name: str) -> str:
+        """Two different names of the pool, for a name whose own is taken."""
+        stands, known = FOR_POOLS[pool], [n.lower() for n in POOLS[pool]]
+        rest = len(stands) - 1
+        a, b = divmod(Permutation(len(stands) * rest, self.key, f"two:{pool}".encode()).forward(known.index(name.lower())), rest)
+        found = f"{stands[a]}-{stands[b + (b >= a)]}"
+        return found.upper() if name.isupper() and len(name) > 1 else found
+
     def _of(self, kind: str, text: str) -> str:
         return getattr(self, f"_{kind}")(text)
 
@@ -184,6 +215,9 @@ class Surrogates:
         n = int.from_bytes(bytes(map(int, text.split("."))), "big")
         return ".".join(map(str, Permutation(1 << 32, self.key, b"ip").moved(n).to_bytes(4, "big")))
 
+    def _ip6(self, text: str) -> str:
+        return self.spelled("ip6", text, lambda c: HEX if c in HEX else None)
+
     def _phone(self, text: str) -> str:
         code = re.match(r"\+\d{1,3}(?=\D)|\+\d", text)
         head = code[0] if code else ""
@@ -231,13 +265,15 @@ DETECT = re.compile(
             r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
             r"(?P<card>(?<![\w.])\d{13,19}(?!\w)|(?<![\w.-])\d{4}(?:[ -]\d{4}){3}(?![\w-]))",
             r"(?P<key>(?i:(?<![^\W_])(?:token|secret|passwo?r?d|api[_-]?key|access[_-]?key)\W{1,12}))(?P<value>[A-Za-z0-9+/_\-]{8,})",
+            r"(?<!\w)(?:(?:AKIA|ASIA)(?P<cloud>[A-Z0-9]{16})|gh[pousr]_(?P<forge>[A-Za-z0-9]{36,}))(?!\w)",
+            r"(?P<ip6>(?<![\w:.])[0-9a-fA-F]{1,4}(?:::?[0-9a-fA-F]{1,4}){2,7}(?![\w:]))",
             r"(?P<hex>(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w))",
         ]
     )
 )
 NAMES = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\b\.? (?P<titled>(?=[^\W\d_]){_WORD}(?: {_WORD})?)|(?P<first>{'|'.join(n for p in POOLS.values() for n in p)}) (?P<last>{_WORD}))")
 #: What every match of DETECT holds, so that texts with neither are not searched: words and marks, shapes of digits and letters.
-HINTS = re.compile(r"@|(?i:token|secret|passw|key)"), re.compile(r"\d(?:\d\d|\.\d)|\+\d|[A-Z]{2}\d\d|[0-9a-f]{32}|[0-9A-F]{32}")
+HINTS = re.compile(r"@|(?i:token|secret|passw|key)|AKIA|ASIA|gh[pousr]_|:[0-9a-fA-F]{1,4}:"), re.compile(r"\d(?:\d\d|\.\d)|\+\d|[A-Z]{2}\d\d|[0-9a-f]{32}|[0-9A-F]{32}")
 NAME_HINT = re.compile(r"\b(?:" + "|".join([*TITLES, *(n for p in POOLS.values() for n in p)]) + r")\b")
 
 
@@ -245,6 +281,11 @@ def _is_kind(kind: str, text: str) -> bool:
     """Whether a match of the detector is what its kind asks for."""
     if kind == "ip":
         return all(int(x) < 256 for x in text.split("."))
+    if kind == "ip6":
+        try:
+            ipaddress.IPv6Address(text)
+        except ValueError:
+            return False
     if kind == "iban":
         solid = re.sub(r"\s", "", text)
         return len(solid) >= 15 and iban_check(solid[:2], solid[4:]) == solid[2:4]
@@ -257,8 +298,8 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     if any(h.search(text) for h in HINTS):
         for m in DETECT.finditer(text):
             kind = m.lastgroup
-            span = m.span(kind) if kind != "value" else m.span("value")
-            kind = {"value": "secret", "hex": "secret"}.get(kind, kind)
+            span = m.span(kind)
+            kind = "secret" if kind in ("value", "hex", "cloud", "forge") else kind
             if _is_kind(kind, text[slice(*span)]):
                 found.append((*span, kind))
     if NAME_HINT.search(text):
@@ -286,62 +327,180 @@ def surrogates(key: bytes, draw: int = 0) -> Surrogates:
     return Surrogates(key if not draw else hashlib.blake2b(b"%d" % draw, key=hashlib.blake2b(key).digest()).digest())
 
 
-def replace(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with surrogates, and the entities by their places in the original."""
+#: Kinds whose surrogates may grow.
+GROWS = {"surname", "secret", "phone", "email"}
+
+
+def drawn(kind: str, text: str, key: bytes, draw: int = 0) -> str:
+    """An entity's surrogate at its offer number ``draw``."""
+    if kind == "given":
+        return surrogates(key, draw).doubled(GIVEN[text.lower()], text) if draw else surrogates(key).of(kind, text)
+    more = draw // DRAWS
+    if more and kind == "email":
+        local, _, domain = text.rpartition("@")
+        text = f"{local}{'a' * more}@{domain}"
+    elif more and kind in GROWS:
+        last = [c for c in text if class_of(folded(c)) is not None][-1:] or [""]
+        text += last[0] * more
+    return surrogates(key, draw).of(kind, text)
+
+
+def offer(kind: str, entity: str, key: bytes, draw: int) -> str:
+    """The canonical form of a canonical entity's surrogate."""
+    return canonical(kind, drawn(kind, entity, key, draw))
+
+
+def mentioned(text: str | None) -> set[tuple[str, str]]:
+    """``(kind, canonical entity)`` of a text, distinct."""
+    return {(kind, canonical(kind, text[a:b])) for a, b, kind in entities(text)} if text else set()
+
+
+def _no_room(draw: int, example) -> None:
+    if draw >= MOST_DRAWS:
+        raise ValueError(f"no room for surrogates of kind {example[0]} after {draw} offers")
+
+
+def draws_of(known: set[tuple[str, str]], key: bytes) -> dict[str, int]:
+    """``kind:entity`` to draw, where it is not 0, for one text's entities: the rounds of ``fixes`` in plain loops."""
+    taken, out, draw = {e for _, e in known}, {}, 0
+    open_ = sorted(k for k in known if offer(*k, key, 0) != k[1])
+    while open_:
+        _no_room(draw, open_[0])
+        lost, offered = [], set()
+        for kind, entity in open_:
+            word = offer(kind, entity, key, draw)
+            if word in taken or word in offered:
+                lost.append((kind, entity))
+            elif draw:
+                out[f"{kind}:{entity}"] = draw
+            offered.add(word)
+        taken |= offered
+        open_, draw = lost, draw + 1
+    return out
+
+
+def replace(text: str, key: bytes, draws: dict[str, int] | None = None) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with surrogates, and the entities by their places in the original.
+
+    ``draws`` has the offers that hold in the corpus; without it the text is a corpus of its own.
+    """
     found = entities(text)
     if not found:
         return text, found
-    out, at, draws = [], 0, {}
-    taken = {text[a:b].lower() for a, b, _ in found}
+    if draws is None:
+        draws = draws_of(mentioned(text), key)
+    out, at = [], 0
     for a, b, kind in found:
         old = text[a:b]
-        same = kind, tuple(map(int, old.split("."))) if kind == "ip" else old.lower()  # 01.2.3.4 is 1.2.3.4
-        if same in draws:
-            new = surrogates(key, draws[same]).of(kind, old)
-        else:
-            for draw in range(DRAWS):
-                new = surrogates(key, draw).of(kind, old)
-                if new.lower() == old.lower() or new.lower() not in taken:
-                    break
-            draws[same] = draw
-            taken.add(new.lower())
-        out += [text[at:a], new]
+        out += [text[at:a], drawn(kind, old, key, draws.get(f"{kind}:{canonical(kind, old)}", 0) if draws else 0)]
         at = b
     return "".join(out) + text[at:], found
 
 
-def surrogate_texts(docs: DataFrame, key: bytes) -> DataFrame:
+OFFER = pa.schema([("kind", pa.string()), ("entity", pa.string()), ("word", pa.string())])
+
+
+def _offers(known: DataFrame, key: bytes, draw: int) -> DataFrame:
+    """``kind, entity, word`` of what entities offer at a draw; without those that have nothing to replace."""
+
+    def run(batches):
+        for batch in batches:
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            yield pa.RecordBatch.from_pylist([{"kind": k, "entity": e, "word": offer(k, e, key, draw)} for k, e in pairs], OFFER)
+
+    return known.select("kind", "entity").mapInArrow(run, "kind string, entity string, word string")
+
+
+def fixes(docs: DataFrame, key: bytes) -> DataFrame:
+    """``kind, entity, draw`` of the table's entities whose surrogate is not their first offer, a written table."""
+
+    def run(batches):
+        for part in slices(batches):
+            known = sorted(set().union(*map(mentioned, part.column(0).to_pylist())))
+            yield pa.RecordBatch.from_pylist([{"kind": k, "entity": e} for k, e in known], pa.schema([OFFER.field(0), OFFER.field(1)]))
+
+    known = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, entity string").distinct()
+    first = staged(_offers(known, key, 0), "surrogates-offered")
+    offers = first.filter("word <> entity")
+    words = first.select(F.col("entity").alias("word"), F.lit(True).alias("is_entity"), F.lit(None).cast("struct<kind:string,entity:string>").alias("by"))
+    words = words.unionByName(offers.select("word", F.lit(False).alias("is_entity"), F.struct("kind", "entity").alias("by")))
+    met = words.groupBy("word").agg(F.max("is_entity").alias("is_entity"), F.min("by").alias("by"), F.count("by").alias("n"))
+    met = met.filter("n > 1 or (n > 0 and is_entity)")
+    lost = offers.join(met, "word").filter(F.col("is_entity") | (F.struct("kind", "entity") != F.col("by"))).select("kind", "entity")
+    lost = staged(lost, "surrogates-lost")
+    taken = first.select(F.explode(F.array("entity", "word")).alias("word"))
+    settled = lost.limit(0).withColumn("draw", F.lit(0))
+    draw = 1
+    while (example := lost.head()) is not None:
+        _no_room(draw, example)
+        now = staged(_offers(lost, key, draw), "surrogates-offered")
+        best = now.join(taken, "word", "left_anti").groupBy("word").agg(F.min(F.struct("kind", "entity")).alias("by")).select("by.*")
+        best = staged(best, "surrogates-settled")
+        settled = settled.unionByName(best.withColumn("draw", F.lit(draw)))
+        taken = taken.unionByName(now.select("word"))
+        lost = staged(lost.join(best, ["kind", "entity"], "left_anti"), "surrogates-lost")
+        draw += 1
+    return settled
+
+
+def _with_draws(docs: DataFrame, key: bytes, name: str, most: int) -> tuple[DataFrame, dict[str, int]]:
+    """``docs`` with a map ``name`` of the draws that a row's own entities need, or null and one small map for all rows."""
+    found = fixes(docs, key)
+    few = found.limit(most + 1).collect()
+    if len(few) <= most:
+        return docs.withColumn(name, F.lit(None).cast("map<string,int>")), {f"{r.kind}:{r.entity}": r.draw for r in few}
+
+    def run(batches):
+        schema = pa.schema([("digest", pa.string()), OFFER.field(0), OFFER.field(1)])
+        for part in slices(batches):
+            for digest, text in zip(part.column(1).to_pylist(), part.column(0).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pylist([{"digest": digest, "kind": k, "entity": e} for k, e in sorted(mentioned(text))], schema)
+
+    digest = fresh_name(docs, "surrogates_digest")
+    texts = docs.select(F.col("text").cast("string").alias("text")).select("text", F.sha2("text", 256).alias("digest")).filter("text is not null")
+    held = texts.mapInArrow(run, "digest string, kind string, entity string").distinct().join(found, ["kind", "entity"])
+    id_ = F.concat("kind", F.lit(":"), "entity")
+    maps = held.groupBy(F.col("digest").alias(digest)).agg(F.map_from_entries(F.collect_list(F.struct(id_, "draw"))).alias(name))
+    return docs.withColumn(digest, F.sha2(F.col("text").cast("string"), 256)).join(maps, digest, "left").drop(digest), {}
+
+
+def surrogate_texts(docs: DataFrame, key: bytes, broadcast_fixes: int = BROADCAST_FIXES) -> DataFrame:
     """``doc_id, text, n_entities, kinds`` of every row; null texts stay null."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    drawn_, all_ = _with_draws(docs, key, "draws", broadcast_fixes)
 
     def run(batches):
         for part in slices(batches):
             rows = []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                new, found = replace(text, key) if text else (text, [])
+            for doc_id, text, own in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                new, found = replace(text, key, dict(own) if own else all_) if text else (text, [])
                 rows.append({"doc_id": doc_id, "text": new, "n_entities": len(found), "kinds": ",".join(sorted({k for *_, k in found}))})
             yield pa.RecordBatch.from_pylist(rows, OUT)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, n_entities int, kinds string")
+    return drawn_.select("doc_id", "text", "draws").mapInArrow(run, "doc_id long, text string, n_entities int, kinds string")
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_entities", pa.int32()), ("kinds", pa.string())])
 
 
-def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
+def with_surrogates(docs: DataFrame, key: bytes, broadcast_fixes: int = BROADCAST_FIXES) -> DataFrame:
     """``docs`` with ``text`` replaced, and ``n_chars`` counted anew where it was the text's length."""
+    draws = fresh_name(docs, "surrogate_draws")
+    marked, all_ = _with_draws(docs, key, draws, broadcast_fixes)
 
     @F.pandas_udf("string")
-    def replaced(texts):
+    def replaced(texts, own):
         import pandas as pd
 
-        return pd.Series([replace(t, key)[0] if t else t for t in texts], dtype=object)
+        return pd.Series([replace(t, key, dict(o) if o else all_)[0] if t else t for t, o in zip(texts, own, strict=True)], dtype=object)
 
+    new = replaced(F.col("text").cast("string"), F.col(draws))
     if "n_chars" not in docs.columns:
-        return docs.withColumn("text", replaced(F.col("text").cast("string")))
-    counted = fresh_name(docs, "n_chars_counted")
-    marked = docs.withColumn(counted, F.col("n_chars") == F.char_length("text")).withColumn("text", replaced(F.col("text").cast("string")))
+        return marked.withColumn("text", new).select(docs.columns)
+    counted = fresh_name(marked, "n_chars_counted")
+    marked = marked.withColumn(counted, F.col("n_chars") == F.char_length("text")).withColumn("text", new)
     length = F.when(F.col(counted), F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    return marked.withColumn("n_chars", length).drop(counted)
+    return marked.withColumn("n_chars", length).select(docs.columns)
 
 
 def key_of(spark: SparkSession) -> bytes:
