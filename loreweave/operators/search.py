@@ -232,11 +232,12 @@ def vector_channel(vectors: DataFrame, queries: DataFrame, cfg: Config | None =
         """Each vector meets the queries of a round, which are broadcast, where it is read."""
         same = [F.size("vec") == F.size("_q"), *[F.col(c) == F.col(f"_{c}") for c in spaces]]
         met = v.crossJoin(F.broadcast(some)).filter(reduce(lambda a, b: a & b, same))
-        return met.select("question_id", *PASSAGE, vector.cosine(F.col("vec"), F.col("_q"), F.col("_norm"), F.col("_qnorm")).alias("score")).filter(F.col("score") >= cfg.vector_min_score)
+        found = met.select("question_id", *PASSAGE, vector.cosine(F.col("vec"), F.col("_q"), F.col("_norm"), F.col("_qnorm")).alias("score")).filter(F.col("score") >= cfg.vector_min_score)
+        # The best of a round's questions combines map-side and goes back to the vectors, so only the band is shuffled.
+        best = found.groupBy("question_id").agg(F.max("score").alias("_best"))
+        return found.join(F.broadcast(best), "question_id").filter(F.col("score") >= F.col("_best") - cfg.vector_score_gap).drop("_best")
 
-    scored = rank.in_rounds(q, "question_id", VECTORS_PER_ROUND, scores)
-    best = F.max("score").over(Window.partitionBy("question_id"))
-    banded = scored.withColumn("_best", best).filter(F.col("score") >= F.col("_best") - cfg.vector_score_gap).drop("_best")
+    banded = rank.in_rounds(q, "question_id", VECTORS_PER_ROUND, scores)
     ranked = banded.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), passage_key())))
     return rank.diversify(ranked, ["question_id"], SOURCE, cfg.vector_source_priority, cfg.candidates)
 
