@@ -57,7 +57,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = SLICE_ROWS, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut batches into pieces of bounded rows and, roughly, bounded characters."""
     for batch in batches:
         n, at = batch.num_rows, 0
@@ -65,7 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             continue
         column = batch.column(batch.schema.get_field_index(text))
         per_row = max(1, column.nbytes // n)
-        step = max(1, min(SLICE_ROWS, SLICE_CHARS // per_row))
+        step = max(1, min(rows, chars // per_row))
         while at < n:
             yield batch.slice(at, step)
             at += step

@@ -35,6 +35,8 @@ from loreweave.llm.tokens import encoder
 OPEN_BINS = 512
 #: Pieces that one task packs at the later levels, a few times those that its open bins hold; of short pieces more.
 PIECES_PER_TASK = 8192
+#: Texts and characters tokenized together; the more, the fewer words are looked up.
+SLICE_ROWS, SLICE_CHARS = 4096, 4_000_000
 
 PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("offset", pa.int64())])
 BINS = pa.schema([("bin", pa.int64()), ("used", pa.int32()), ("open", pa.bool_()), ("pieces", pa.list_(PIECE))])
@@ -145,9 +147,9 @@ def first_level(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: i
     def run(batches):
         codec, out = encoder(tokenizer), _Out(Packer(capacity, open_bins))
         tail = b"" if end_id is None else np.asarray([end_id], codec.dtype).tobytes()
-        for part in slices(batches):
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                for piece in pieces_of(doc_id, codec.packed(text) + tail, codec.dtype.itemsize, capacity):
+        for part in slices(batches, "text", SLICE_ROWS, SLICE_CHARS):
+            for doc_id, ids in zip(part.column(0).to_pylist(), codec.packed_column(part.column(1)), strict=True):
+                for piece in pieces_of(doc_id, ids + tail, codec.dtype.itemsize, capacity):
                     out.add(piece)
             yield from out.batches()
         yield from out.finish(False)

@@ -4,7 +4,8 @@ A pre-token is encoded without regard to its neighbours, so a text can be cut
 at any border between pre-tokens and each chunk encoded alone. Chunks repeat
 far more than texts do: each worker keeps their packed ids in two generations
 (the older one goes when the younger is full), and only a chunk that is in
-neither is encoded. Texts whose cuts could be doubtful are encoded whole.
+neither is encoded. Texts whose cuts could be doubtful are encoded whole. A column
+of texts is cut and put together by Arrow, and each of its distinct words is looked up once.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import weakref
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks in one generation of an encoder's memory; an entry takes about 200 bytes.
 GENERATION = 300_000
@@ -32,6 +35,7 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _REST = [b for b in range(256) if b not in _PLAIN]
 BYTE_CHARS = str.maketrans({b: chr(256 + i) for i, b in enumerate(_REST)})
 SPACE_CHAR = " ".translate(BYTE_CHARS)
+CHAR_OF_BYTE = [chr(b).translate(BYTE_CHARS) for b in range(256)]
 
 
 #: Fixed value: the pre-tokens of ASCII texts under the byte-level pattern.
@@ -129,9 +133,81 @@ class Chunks:
         except Whole:
             return self.whole(text)
 
+    def column_spaces_kept(self, texts: pa.Array) -> list[bytes]:
+        """``spaces_kept`` of every text of a column without nulls."""
+        lists = pc.split_pattern(texts, " ")
+        starts, chunks = np.asarray(lists.offsets), lists.values
+        is_first = np.zeros(len(chunks), bool)
+        is_first[starts[:-1]] = True
+        behind = np.flatnonzero(~is_first).astype(np.int32)
+        coded = chunks.take(pa.array(behind)).dictionary_encode()
+        distinct, of_chunk = coded.dictionary, np.asarray(coded.indices)
+        # a distinct chunk is two entries of a pool: a word with its space, and the marks behind it, or else itself
+        trimmed = pc.utf8_rtrim(distinct, characters=MARKS)
+        words = trimmed.dictionary_encode()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.spaced.get, names))
+        for k, (word, value) in enumerate(zip(names, found, strict=True)):
+            if not word.isalpha():
+                found[k] = None
+            elif value is None:
+                found[k] = self._new_word(word)
+        pool = [b"", *(v or b"" for v in found)]
+        heads = np.asarray(words.indices) + 1
+        tails, doubtful = np.zeros_like(heads), np.zeros(len(heads), bool)
+        is_word = np.asarray([v is not None for v in found], bool)[heads - 1]
+        marked = np.asarray(pc.less(pc.binary_length(trimmed), pc.binary_length(distinct)))
+        at_marks: dict[str, int] = {}
+        for k, chunk in _those(distinct, is_word & marked):
+            marks = chunk[len(chunk.rstrip(MARKS)) :]
+            if marks not in at_marks:
+                at_marks[marks] = len(pool)
+                pool.append(self.bare[marks])
+            tails[k] = at_marks[marks]
+        for k, chunk in _those(distinct, ~is_word):
+            try:
+                pool.append(self._lines(chunk) if "\n" in chunk else self.spaced[chunk])
+                heads[k] = len(pool) - 1
+            except Whole:
+                doubtful[k] = True
+        pairs = np.zeros((len(chunks), 2), np.int32)
+        pairs[behind, 0], pairs[behind, 1] = heads[of_chunk], tails[of_chunk]
+        pairs[starts[:-1], 0] = len(pool) + np.arange(len(texts))
+        pool += [self.bare[c] if c else b"" for _, c in _those(chunks, is_first)]
+        joined = pa.array(pool, pa.large_binary()).take(pa.array(pairs.ravel()))
+        _, offsets, data = joined.buffers()
+        data = b"" if data is None else memoryview(data)
+        ends = np.frombuffer(offsets, np.int64)[2 * starts.astype(np.int64)].tolist()
+        out = [bytes(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        for row in np.unique(np.searchsorted(starts, behind[doubtful[of_chunk]], "right") - 1).tolist():
+            out[row] = self.whole(texts[row].as_py())
+        return out
+
+    def _new_word(self, word: str) -> bytes:
+        """What ``spaced`` holds of a word of letters that is not in its younger generation."""
+        found = self.spaced.old.get(word)
+        if found is None:
+            found = self.letters(word, " ")
+        if len(word) <= LONGEST_KEPT:
+            self.spaced.keep(word, found)
+        return found
+
+    def _lines(self, chunk: str) -> bytes:
+        """A chunk behind a space: a line break between characters that are not white space is a pre-token."""
+        first, *rest = lines = chunk.split("\n")
+        if not all(lines) or any(c.isspace() or c == "᠎" for x in lines for c in (x[0], x[-1])):
+            return self.spaced[chunk]
+        return self.bare["\n"].join([self.spaced[first], *map(self.bare.__getitem__, rest)])
+
+
+def _those(strings: pa.Array, chosen: np.ndarray):
+    """``(place, string)`` of the chosen ones."""
+    places = np.flatnonzero(chosen)
+    return zip(places.tolist(), strings.take(pa.array(places)).to_numpy(zero_copy_only=False), strict=True)
+
 
 class Encoder(Chunks):
-    """``packed(text)``: ids by the tokenizers library as little-endian ``dtype`` integers.
+    """``packed(text)``: ids by the tokenizers library as little-endian ``dtype`` integers; ``packed_column`` of many texts.
 
     An unknown run of letters, which is one pre-token, goes to the library's BPE
     model alone, as do the pre-tokens of ASCII chunks under the byte-level pattern;
@@ -160,6 +236,12 @@ class Encoder(Chunks):
         else:
             self.packed = self.whole
 
+    def packed_column(self, texts: pa.Array) -> list[bytes]:
+        """``packed`` of every text of a column without nulls."""
+        if self.packed == self.spaces_kept:
+            return self.column_spaces_kept(texts)
+        return [self.packed(text) for text in texts.to_pylist()]
+
     def whole(self, text: str) -> bytes:
         """The library's ids of a text, where it is not cut into known pre-tokens in one go."""
         if self.packed == self.spaces_kept and len(text) <= LONGEST_KEPT and text.isascii() and not any(c in text for c in SEPARATORS):
@@ -178,7 +260,7 @@ class Encoder(Chunks):
         return self._pre_token(space + word)
 
     def _pre_token(self, pre_token: str) -> bytes:
-        return self._modelled(pre_token.encode().decode("latin-1").translate(BYTE_CHARS))
+        return self._modelled("".join(map(CHAR_OF_BYTE.__getitem__, pre_token.encode())))
 
     def _modelled(self, symbols: str) -> bytes:
         """Ids by the BPE model of a pre-token whose bytes are written as characters."""

@@ -3,12 +3,14 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 P = pytest.importorskip("public_tokenizers")
 from loreweave.llm import packing
+from loreweave.llm import tokens
 from loreweave.llm.tokens import encoder
 
 PATH = P.path("byte_bpe_50k.json")
@@ -111,3 +113,35 @@ def test_op3_query(spark, sf_dir):
     got = packing.op3(spark, sf_dir).collect()
     n = verify(rows, got, 1024)
     assert n <= 1.03 * math.ceil(sum(r.length for r in got) / 1024)
+
+
+ODD = st.text(alphabet=st.one_of(st.sampled_from(list("aAbB '.,\n\t \x1ćΣß12<|>st中᠎ \x85")), st.characters(exclude_categories=["Cs"])), max_size=60)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(ODD, max_size=6))
+def test_column_ids_are_the_librarys(texts):
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        codec = encoder(P.path(name))
+        got = codec.packed_column(pa.array(["", *texts], pa.string()).slice(1))
+        assert [np.frombuffer(x, codec.dtype).tolist() for x in got] == [codec.library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_column_over_code_points():
+    codec = encoder(PATH)
+    chars = [chr(c) for c in [*range(0x3100), *range(0x3100, 0x110000, 61)] if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"b{c}\n{c}a, {c}" for c in chars[a : a + 64]) for a in range(0, len(chars), 64)]
+    got = codec.packed_column(pa.array(texts, pa.string()))
+    assert all(np.frombuffer(x, codec.dtype).tolist() == codec.library.encode(t, add_special_tokens=False).ids for x, t in zip(got, texts, strict=True))
+
+
+def test_repeated_words_are_looked_up_once(monkeypatch):
+    """A word with marks behind it went through the memory's Python code each time it was met."""
+    missed = []
+    plain = tokens.Words.__missing__
+    monkeypatch.setattr(tokens.Words, "__missing__", lambda self, chunk: (missed.append(chunk), plain(self, chunk))[1])
+    codec = tokens.Encoder(PATH)
+    texts = ["the quick, brown fox.\nJumps, over; the lazy dog, " * 50 + "end"] * 20
+    got = codec.packed_column(pa.array(texts, pa.string()))
+    assert np.frombuffer(got[-1], codec.dtype).tolist() == codec.library.encode(texts[0], add_special_tokens=False).ids
+    assert len(missed) < 60
