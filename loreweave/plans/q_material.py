@@ -50,10 +50,12 @@ select doc_id, cast(seq as integer) as seq, cast(seq // 6 * 6 + 1 as integer) as
 """)
 def section_outline(spark, sf_dir):
     """All sentences of documents as passages under numbered headings made from their place, six to a root."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"(?<=[.!?。！？])\s+|\n+")).alias("seq", "sentence"))
+    marked = F.regexp_replace(F.regexp_replace("text", r"([.!?。！？])[\t\n\f\r ]+", "$1\x01"), r"\n+", "\x01")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(marked, "\x01")).alias("seq", "sentence"))
     below = F.element_at(F.array(*map(F.lit, ["", ".1", ".1.1", ".1.2", ".2", ".2.1"])), F.col("seq") % 6 + 1)
     root = F.floor(F.col("seq") / 6) % 999 + 1  # headings have numbers of three digits at most
-    body = F.concat(root.cast("string"), below, F.lit(" Section of words\n\n"), F.col("sentence"))
+    quoted = F.regexp_replace("sentence", r"^|\r", "\n> ")  # a sentence that begins with a number is no heading
+    body = F.concat(root.cast("string"), below, F.lit(" Section of words\n"), quoted)
     return material.outline(d.select("doc_id", "seq", F.lit("").alias("heading"), body.alias("chunk_text")), ["doc_id"])
 
 

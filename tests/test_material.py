@@ -1,5 +1,6 @@
 import hashlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,17 @@ def test_section_outline_takes_whole_texts(spark, tmp_path):
     assert got == [*long, (2, 2, 1, "1.1 Section of words"), (2, 3, 1, "1.1 Section of words")]
 
 
+def test_section_outline_keeps_sentences_that_look_like_headings(spark, tmp_path):
+    from loreweave.plans import registry
+
+    odd = ["56.187.231.175 Keit auf. Ung. Enö. Ch. Sch.", "A. B. C. 1.2.3 Part. D", "A. B.\x01C. D.", "A. B.\x0b C. D. E", "A b\r7 Other one. B. C\r\n1.1 Part. D", "```. 2 Two. C. D. E", "- - -. B. ===. D", "A. B. C. | 1 | D", ". . . . "]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, registry.queries()["section_outline"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.sql(registry.oracle_sql()["section_outline"]).fetchall())
+
+
 SAMPLE = "concept_id int, names array<string>, place int, source_type string, source_id long, title string, seq int, heading string, chunk_text string"
 
 
