@@ -173,14 +173,43 @@ def k_hop(rel: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
 
 
 def shortest_paths(rel: DataFrame, pairs: DataFrame, most: int = 6) -> DataFrame:
-    """``source, target, length``: unweighted undirected distance of stated pairs, up to ``most`` steps."""
-    walk = rel.select(F.col("head").alias("at"), F.col("tail").alias("next")).unionByName(rel.select(F.col("tail").alias("at"), F.col("head").alias("next"))).distinct()
-    front = pairs.select("source", F.col("source").alias("at")).distinct()
-    visited = front.withColumn("length", F.lit(0))
-    for step in range(1, most + 1):
-        front = front.join(walk, "at").select("source", F.col("next").alias("at")).distinct().join(visited, ["source", "at"], "left_anti")
-        visited = visited.unionByName(front.withColumn("length", F.lit(step)))
-    return pairs.join(visited.withColumnRenamed("at", "target"), ["source", "target"]).select("source", "target", "length")
+    """``source, target, length``: unweighted undirected distance of stated pairs, up to ``most`` steps.
+
+    Both ends grow until their fronts meet. A step is taken at the end whose
+    front has fewer edges, so a few targets behind a hub do not make every
+    source walk through it. An end stops for roots whose pairs are all joined,
+    and nothing is left to find where a front is empty.
+    """
+    walk = rel.select(F.col("head").alias("at"), F.col("tail").alias("next")).unionByName(rel.select(F.col("tail").alias("at"), F.col("head").alias("next")))
+    walk = staged(walk.filter("at <> next").distinct(), "walk")
+    degree = walk.groupBy("at").agg(F.count("*").alias("_n"))
+    stated = staged(pairs.select("source", "target"), "pairs")
+    open_, found, fronts, before, edges = stated.distinct(), None, {}, {}, {}
+
+    def grown(end: str) -> DataFrame:
+        """The open roots' nodes of the next level: neighbours that are not of the last two."""
+        step = fronts[end].join(open_.select(end).distinct(), end, "left_semi").join(walk, "at").select(end, F.col("next").alias("at")).distinct()
+        for met in filter(None, (fronts[end], before.get(end))):
+            step = step.join(met, [end, "at"], "left_anti")
+        return step
+
+    def put(end: str, front: DataFrame) -> None:
+        before[end], fronts[end] = fronts.get(end), staged(front, "front")
+        edges[end] = fronts[end].join(degree, "at").agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+
+    for end in ("source", "target"):
+        put(end, open_.select(end, F.col(end).alias("at")).distinct())
+    for length in range(most + 1):
+        if length:
+            end = min(edges, key=edges.get)
+            if not edges[end]:
+                break
+            put(end, grown(end))
+        now = fronts["source"].join(fronts["target"], "at").select("source", "target").distinct()
+        now = staged(now.join(open_, ["source", "target"], "left_semi").withColumn("length", F.lit(length)), "joined")
+        open_ = open_.join(now, ["source", "target"], "left_anti")
+        found = now if found is None else found.unionByName(now)
+    return stated.join(found, ["source", "target"])
 
 
 def degrees(rel: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loreweave.config import Config
 from loreweave.operators import chunk, code, context, evaluate, graph, html, lineage, maintain, rank, search, workflow
@@ -157,6 +158,36 @@ class TestGraph:
         pairs = spark.createDataFrame([("a", "d"), ("a", "zz")], "source string, target string")
         assert [(x.target, x.length) for x in graph.shortest_paths(r, pairs).collect()] == [("d", 3)]
 
+    def test_path_lengths_of_random_graphs(self, spark):
+        rng = np.random.default_rng(3)
+        for n, m in ((12, 14), (20, 40)):
+            edges = [(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2))]
+            far = {(i, i): 0 for i in range(n)}
+            for step in range(1, 5):
+                for (s, t), d in list(far.items()):
+                    for x, y in [*edges, *((y, x) for x, y in edges)]:
+                        if d == step - 1 and x == t:
+                            far.setdefault((s, y), step)
+            pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, n, (30, 2))})
+            r = self.rel(spark, [(f"v{a}", "is_a", f"v{b}", 1.0) for a, b in edges])
+            got = graph.shortest_paths(r, spark.createDataFrame([(f"v{a}", f"v{b}") for a, b in pairs], "source string, target string"), 4)
+            assert sorted(map(tuple, got.collect())) == sorted((f"v{a}", f"v{b}", far[a, b]) for a, b in pairs if (a, b) in far)
+
+    def test_paths_behind_a_hub_grow_from_the_few(self, spark, monkeypatch):
+        sizes, real = [], graph.staged
+
+        def counted(df, name):
+            sizes.append((out := real(df, name)).count())
+            return out
+
+        monkeypatch.setattr(graph, "staged", counted)
+        leaves = spark.range(500).select(F.concat(F.lit("s"), "id").alias("head"), F.lit("part_of").alias("relation"), F.lit("hub").alias("tail"))
+        r = leaves.unionByName(spark.createDataFrame([("hub", "part_of", "top")], "head string, relation string, tail string"))
+        pairs = leaves.select(F.col("head").alias("source")).crossJoin(spark.createDataFrame([("top",), ("other",)], "target string"))
+        got = graph.shortest_paths(r, pairs, 4).collect()
+        assert len(got) == 500 and {(x.target, x.length) for x in got} == {("top", 2)}
+        assert sizes and max(sizes) <= 2 * 501
+
     def test_leiden(self):
         two = [(a, b, 1.0) for c in (0, 5) for a in range(c, c + 5) for b in range(a) if b >= c] + [(0, 5, 0.1)]
         got = graph.leiden(10, two)
