@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreweave.functions import vector
-from loreweave.operators import graph, rank
+from loreweave.operators import graph, near, rank
 
 # Relations that say most, words that ask for a relation, edges of a local block at most.
 VALUABLE = ["prerequisite", "contrast_with", "is_a", "part_of"]
@@ -88,9 +87,8 @@ def reason(rel: DataFrame) -> DataFrame:
 
 def recognised_by_vector(nodes: DataFrame, asked: DataFrame, least: float = 0.62, most: int = 8, per_round: int = 2_000) -> DataFrame:
     """``question_id, id, score``: nodes (id, vec) whose cosine with a question (question_id, vec) is at least ``least``."""
-    q = asked.select("question_id", F.col("vec").alias("_q"))
-    met = lambda some: nodes.crossJoin(F.broadcast(some)).select("question_id", "id", vector.cosine(F.col("vec"), F.col("_q")).alias("score")).filter(F.col("score") >= least)
-    return rank.top(rank.in_rounds(q, "question_id", per_round, met), ["question_id"], [F.desc("score"), F.col("id")], most).drop("rank")
+    met = near.scored(nodes.select("id", "vec"), asked, most, least, lengths=False, per_round=per_round)
+    return rank.top(met, ["question_id"], [F.desc("score"), F.col("id")], most).drop("rank")
 
 
 def embedding_text(name: Column, brief: Column, wiki: Column, most: int = 1200) -> Column:
