@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreweave.functions import vector
-from loreweave.operators import rank
+from loreweave.operators import near, rank
 from loreweave.sources.staging import staged
 
 ITEM = ["source_type", "source_id", "seq"]
@@ -61,14 +61,8 @@ class ExactStore:
 
         A query that is no vector (null, zero, not finite) has none; only vectors of its length are candidates.
         """
-        rounds = max(1, -(-queries.count() // QUERIES_PER_ROUND))
-        found = None
-        for turn in range(rounds):
-            q = queries.filter(vector.is_valid(F.col("vec"))).select("question_id", F.col("vec").alias("_q")).filter(F.pmod(F.xxhash64("question_id"), F.lit(rounds)) == turn)
-            scored = self._valid(space).crossJoin(F.broadcast(q)).filter(F.size("vec") == F.size("_q")).select("question_id", *ITEM, vector.cosine(F.col("_q"), F.col("vec")).alias("score"))
-            best = self._best(scored, pool)
-            found = best if found is None else found.unionByName(best)
-        return found
+        good = queries.filter(vector.is_valid(F.col("vec"))).select("question_id", "vec")
+        return self._best(near.scored(self._valid(space), good, pool, per_round=QUERIES_PER_ROUND), pool)
 
 
 class ClusteredStore(ExactStore):
@@ -114,10 +108,10 @@ class ClusteredStore(ExactStore):
 
         return valid.filter(F.size("vec") == dim).withColumn("_c", run("vec")).select(*ITEM, "vec", "_c.*")
 
-    def _met(self, items: DataFrame, pairs: list[tuple], queries: DataFrame) -> DataFrame:
-        """Scores of the stated (question, cluster) pairs; a round's pairs and its queries are broadcast, each once."""
-        asked = items.sparkSession.createDataFrame(pairs, "question_id long, cluster int")
-        return items.join(F.broadcast(asked), "cluster").join(F.broadcast(queries), "question_id").select("question_id", *ITEM, vector.cosine(F.col("_q"), F.col("vec")).alias("score"))
+    def _met(self, items: DataFrame, cells: dict[int, list[int]], queries: DataFrame, pool: int, floor: dict[int, float] | None = None) -> DataFrame:
+        """Scores of a round's queries in the clusters that each opens."""
+        met = near.scored(items.drop("near"), queries.withColumnRenamed("_q", "vec"), pool, cells=("cluster", cells), floor=floor, per_round=QUERIES_PER_ROUND)
+        return met.select("question_id", *ITEM, "score")
 
     def search(self, space: str, queries: DataFrame, pool: int) -> DataFrame:
         """As of the exact store; query identifiers are integers."""
@@ -143,12 +137,10 @@ class ClusteredStore(ExactStore):
             to_center = np.arccos(np.clip(q / np.linalg.norm(q, axis=1, keepdims=True) @ centers.T, -1, 1))
             bound = np.cos(np.maximum(0, to_center - angle[None, :]))
             order = np.argsort(to_center, axis=1)[:, : self.probes]
-            first = [(ids[i], int(c)) for i in range(len(ids)) for c in order[i] if int(c) in widest]
-            near = self._best(self._met(items, first, some), pool)
-            kth = {r.question_id: r.score for r in near.filter(F.col("rank") == pool).select("question_id", "score").collect()}
-            opened = set(first)
-            rest = [(ids[i], c) for i in range(len(ids)) for c in range(len(centers)) if c in widest and bound[i, c] >= kth.get(ids[i], -2) - 1e-9 and (ids[i], c) not in opened]
-            both = near.drop("rank").unionByName(self._met(items, rest, some)) if rest else near.drop("rank")
-            return self._best(both, pool)
+            first = {ids[i]: [int(c) for c in order[i] if int(c) in widest] for i in range(len(ids))}
+            near_ = self._best(self._met(items, first, some, pool), pool)
+            kth = {r.question_id: r.score for r in near_.filter(F.col("rank") == pool).select("question_id", "score").collect()}
+            opened = {ids[i]: [c for c in range(len(centers)) if c in widest and (c in first[ids[i]] or bound[i, c] >= kth.get(ids[i], -2) - 1e-9)] for i in range(len(ids))}
+            return self._best(self._met(items, opened, some, pool, kth) if opened != first else near_.drop("rank"), pool)
 
         return rank.in_rounds(queries, "question_id", QUERIES_PER_ROUND, answer)
