@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loreweave.config import Config
 from loreweave.functions import text, vector
-from loreweave.operators import rank
+from loreweave.operators import near, rank
 
 #: Distinct terms that one automaton holds and one broadcast carries.
 TERMS_PER_PASS = 200_000
@@ -224,20 +223,12 @@ def vector_channel(vectors: DataFrame, queries: DataFrame, cfg: Config | None =
     cfg = cfg or Config()
     if fresh is not None:
         vectors = vectors.join(fresh.select(*PASSAGE, "chunk_text"), [*PASSAGE, "chunk_text"], "left_semi")
-    v = vectors.filter(vector.is_valid(F.col("vec"))).withColumn("_norm", vector.norm(F.col("vec")))
     spaces = ["embedding_space"] if "embedding_space" in queries.columns else []
-    q = queries.filter(vector.is_valid(F.col("vec"))).select("question_id", F.col("vec").alias("_q"), vector.norm(F.col("vec")).alias("_qnorm"), *[F.col(c).alias(f"_{c}") for c in spaces])
-
-    def scores(some: DataFrame) -> DataFrame:
-        """Each vector meets the queries of a round, which are broadcast, where it is read."""
-        same = [F.size("vec") == F.size("_q"), *[F.col(c) == F.col(f"_{c}") for c in spaces]]
-        met = v.crossJoin(F.broadcast(some)).filter(reduce(lambda a, b: a & b, same))
-        found = met.select("question_id", *PASSAGE, vector.cosine(F.col("vec"), F.col("_q"), F.col("_norm"), F.col("_qnorm")).alias("score")).filter(F.col("score") >= cfg.vector_min_score)
-        # The best of a round's questions combines map-side and goes back to the vectors, so only the band is shuffled.
-        best = found.groupBy("question_id").agg(F.max("score").alias("_best"))
-        return found.join(F.broadcast(best), "question_id").filter(F.col("score") >= F.col("_best") - cfg.vector_score_gap).drop("_best")
-
-    banded = rank.in_rounds(q, "question_id", VECTORS_PER_ROUND, scores)
+    v, q = (t.filter(vector.is_valid(F.col("vec"))).select(*key, *spaces, "vec") for t, key in ((vectors, PASSAGE), (queries, ["question_id"])))
+    # A hit below the best hits of as many sources as there are places cannot have one, so only the others are shuffled.
+    found = near.scored(v, q, cfg.candidates, cfg.vector_min_score, SOURCE, spaces, per_round=VECTORS_PER_ROUND).select("question_id", *PASSAGE, "score")
+    best = F.max("score").over(Window.partitionBy("question_id"))
+    banded = found.withColumn("_best", best).filter(F.col("score") >= F.col("_best") - cfg.vector_score_gap).drop("_best")
     ranked = banded.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), passage_key())))
     return rank.diversify(ranked, ["question_id"], SOURCE, cfg.vector_source_priority, cfg.candidates)
 
