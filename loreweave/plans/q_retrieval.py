@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loreweave.config import Config
-from loreweave.functions import text, vector
-from loreweave.operators import rank, search
+from loreweave.functions import text
+from loreweave.operators import near, rank, search
 from loreweave.plans.registry import query
 from loreweave.sources import spread, table, views
 
@@ -75,11 +75,9 @@ with {VECTORS}, s as (select q.vec_id as question_id, v.vec_id, round({COSINE},
 select question_id, vec_id, score, rank from (select *, row_number() over (partition by question_id order by score desc, vec_id) as rank from s) where rank <= 10
 """)
 def cosine_pairs_topk(spark, sf_dir):
-    """every stated query against all vectors, in broadcast rounds; a window group limit keeps the best where they are read."""
-    v = _vectors(spark, sf_dir).withColumn("n", vector.norm(F.col("vec")))
-    q = _queries(spark, sf_dir).select("question_id", F.col("vec").alias("q"), vector.norm(F.col("vec")).alias("qn"))
-    met = lambda some: v.crossJoin(F.broadcast(some)).filter("vec_id <> question_id")
-    s = rank.in_rounds(q, "question_id", search.VECTORS_PER_ROUND, met).select("question_id", "vec_id", F.round(vector.cosine(F.col("vec"), F.col("q"), F.col("n"), F.col("qn")), 9).alias("score"))
+    """every stated query against all vectors, in rounds of matrix products; one more than ten, as a query also meets itself."""
+    met = near.scored(_vectors(spark, sf_dir).select("vec_id", "vec"), _queries(spark, sf_dir), 11, lengths=False, per_round=search.VECTORS_PER_ROUND)
+    s = met.filter("vec_id <> question_id").select("question_id", "vec_id", F.round("score", 9).alias("score"))
     return rank.top(s, ["question_id"], [F.desc("score"), F.col("vec_id")], 10).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -205,8 +203,8 @@ def percentile_nearest_rank(spark, sf_dir):
 @query("mmr_order")
 def mmr_order(spark, sf_dir):
     """Greedy diversity order of the ten nearest vectors of each stated query."""
-    near = cosine_pairs_topk(spark, sf_dir).join(_vectors(spark, sf_dir).select("vec_id", "vec"), "vec_id")
-    return rank.mmr(near.select("question_id", F.col("vec_id").alias("key"), "rank", "vec"), ["question_id"])
+    best = cosine_pairs_topk(spark, sf_dir).join(_vectors(spark, sf_dir).select("vec_id", "vec"), "vec_id")
+    return rank.mmr(best.select("question_id", F.col("vec_id").alias("key"), "rank", "vec"), ["question_id"])
 
 
 @query("source_cap_channels", f"with {FUSED} select channels, count(*) as n, round(max(score), 9) as best from fused group by 1")
