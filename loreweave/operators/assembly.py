@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loreweave.config import Config
-from loreweave.operators import context, rank, search
+from loreweave.operators import context, near, rank, search
 from loreweave.sources.staging import staged
 
 # The least characters of a neighbour's excerpt, passages that a reranker sees, extra queries of a question.
@@ -256,9 +256,8 @@ def probe(vectors: DataFrame, queries: DataFrame, most: int = 10) -> DataFrame:
     from loreweave.functions import vector
 
     v = vectors.filter(vector.is_valid(F.col("vec")))
-    q = queries.select("question_id", F.col("vec").alias("_q"))
-    met = lambda some: v.crossJoin(F.broadcast(some)).select("question_id", *PASSAGE, vector.cosine(F.col("vec"), F.col("_q")).alias("score"))
-    return rank.top(rank.in_rounds(q, "question_id", search.VECTORS_PER_ROUND, met), ["question_id"], [F.desc("score"), search.passage_key()], most)
+    met = near.scored(v.select(*PASSAGE, "vec"), queries, most, lengths=False, per_round=search.VECTORS_PER_ROUND)
+    return rank.top(met, ["question_id"], [F.desc("score"), search.passage_key()], most)
 
 
 def compared(one: DataFrame, two: DataFrame) -> DataFrame:
