@@ -36,10 +36,8 @@ def goods(spark, sf_dir):
 @query("pair_paths", f"with recursive {GOODS} select source, target, (len(ids) - 1)::int as length, array_to_string(ids, ' > ') as path from path")
 def pair_paths(spark, sf_dir):
     """Paths of at most four edges between suppliers of one nation, over the parts they sent."""
-    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey")
-    pairs = s.join(s.withColumnRenamed("s_suppkey", "t"), "s_nationkey").filter("s_suppkey < t")
-    pairs = pairs.select(F.concat(F.lit("s"), "s_suppkey").alias("source"), F.concat(F.lit("s"), "t").alias("target"))
-    return paths.shortest_paths(goods(spark, sf_dir), pairs, 4).select("source", "target", "length", F.array_join("ids", " > ").alias("path"))
+    ends = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("group"), F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("s_suppkey").alias("place"))
+    return paths.paths_among(goods(spark, sf_dir), ends, 4).select("source", "target", "length", F.array_join("ids", " > ").alias("path"))
 
 
 @query("relation_block", f"""

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict, deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from loreweave.operators import assembly, code, communities, context, evidence, graph, paths, vectors
 
@@ -42,6 +43,25 @@ class TestPaths:
         assert {k: v for k, v in found.items() if k[0] != k[1]} == {k: v for k, v in want.items() if k[0] != k[1]}
         assert all(found[k][0] == 0 for k in found if k[0] == k[1])
 
+    @pytest.mark.parametrize("most", [1, 4])
+    def test_pairs_of_a_group(self, spark, most):
+        """As of a walk for each pair, also where places are equal in two groups; the pairs are never listed."""
+        rng = random.Random(4)
+        names = [f"n{i}" for i in range(18)]
+        edges = [(rng.choice(names), "related_to" if i % 3 else "is_a", rng.choice(names), i) for i in range(40)]
+        ends = [(g, n, k) for g in (1, 2) for k, n in enumerate(rng.sample(names, 9))]
+        got = paths.paths_among(spark.createDataFrame(edges, EDGES), spark.createDataFrame(ends, "group long, id string, place long"), most)
+        pairs = [(a[1], b[1]) for a in ends for b in ends if a[0] == b[0] and a[2] < b[2]]
+        want = [(x, y, *w) for x, y in pairs if (w := walked(edges, x, y, most)) is not None]
+        assert sorted((r.source, r.target, r.length, r.ids, r.places) for r in got.collect()) == sorted(want)
+
+    def test_ends_without_ways_cost_no_pairs(self, spark, monkeypatch):
+        sizes, real = [], paths.staged
+        monkeypatch.setattr(paths, "staged", lambda df, name: (sizes.append((out := real(df, name)).count()), out)[1])
+        ends = spark.range(600).select(F.lit(1).alias("group"), F.concat(F.lit("n"), "id").alias("id"), F.col("id").alias("place"))
+        got = paths.paths_among(spark.createDataFrame([("n1", "related_to", "p", 5), ("p", "related_to", "n7", 6)], EDGES), ends, 4).collect()
+        assert [(r.source, r.target, r.ids) for r in got] == [("n1", "n7", ["n1", "p", "n7"])] and max(sizes) <= 600
+
     def block(self, spark, rel, concepts, question, budget=10_000):
         rel = spark.createDataFrame(rel, EDGES + ", origin string, evidence string, sources array<string>")
         ids = sorted({x for c in concepts for x in [c[1]]} | {r.head for r in rel.collect()} | {r.tail for r in rel.collect()})
