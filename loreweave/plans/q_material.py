@@ -38,7 +38,7 @@ def contrast_cases(spark, sf_dir):
 def material_sample(spark, sf_dir):
     """For each source name as a concept, passages of the documents of that name."""
     c = views.corpus(spark, sf_dir)
-    passages = chunk.chunk(c).join(c.select("source_type", "source_id", "title", "category"), ["source_type", "source_id"])
+    passages = chunk.chunk(c, keep=["title", "category"])
     given = passages.select(F.col("category").alias("concept_id"), F.array(F.lower("category"), F.lit("the")).alias("names"), F.col("source_id").alias("place"), "source_type", "source_id", "title", "seq", "heading", "chunk_text")
     return material.sample(given).drop("prompt")
 

@@ -74,6 +74,15 @@ def test_section_outline_keeps_sentences_that_look_like_headings(spark, tmp_path
     assert got == sorted(con.sql(registry.oracle_sql()["section_outline"]).fetchall())
 
 
+def test_chunks_keep_columns_of_their_source(spark):
+    from loreweave.operators import chunk
+
+    c = spark.createDataFrame([("file", 1, "# A\nx\n\n# B\ny", "one"), ("file", 2, "z", None)], "source_type string, source_id long, content string, title string")
+    got = chunk.chunk(c, keep=["title"])
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert sorted(map(str, ((r.source_id, r.seq, r.title) for r in got.collect()))) == ["(1, 0, 'one')", "(1, 1, 'one')", "(2, 0, None)"]
+
+
 SAMPLE = "concept_id int, names array<string>, place int, source_type string, source_id long, title string, seq int, heading string, chunk_text string"
 
 
