@@ -9,18 +9,19 @@ from loreweave.operators import assembly, chunk, rank, search
 from loreweave.plans.q_retrieval import COSINE, KEYWORD, ROUTES, VECTORS, _queries, _routes, _vectors, passages
 from loreweave.plans.registry import query
 from loreweave.sources import spread, table, views
+from loreweave.sources.staging import staged
 
 
 def chunked(spark, sf_dir):
     """Structural chunks of documents as passages."""
     c = spread(views.corpus(spark, sf_dir))
-    return chunk.chunk(c).join(c.select("source_type", "source_id", "title"), ["source_type", "source_id"]).select("source_type", "source_id", "seq", "heading", "title", F.col("chunk_text").alias("body"))
+    return chunk.chunk(c, keep=["title"]).select("source_type", "source_id", "seq", "heading", "title", F.col("chunk_text").alias("body"))
 
 
 @query("context_with_neighbours")
 def context_with_neighbours(spark, sf_dir):
     """M13 over chunks: keyword hits of all questions with neighbours of their sections; some questions have another block."""
-    p, q = chunked(spark, sf_dir), views.questions(spark, sf_dir)
+    p, q = staged(chunked(spark, sf_dir), "chunks"), views.questions(spark, sf_dir)  # read five times, cut once
     hits = search.keyword_channel(p, q).join(q, "question_id").join(p.select(*search.PASSAGE, "title"), search.PASSAGE)
     other = q.filter("question_id % 3 = 0").select("question_id", F.lit(900).alias("chars"))
     made = assembly.build_context(hits.withColumn("channels", F.array(F.lit("keyword"))), p, auxiliary=other)
